@@ -45,7 +45,7 @@ def chunk_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     inside = at < ends[:, None]
     if not len(data):
         return np.full(at.shape, 256, np.int16)
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], 256).astype(np.int16)
+    return np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int16), np.int16(256))
 
 
 class Network:
