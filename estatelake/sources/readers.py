@@ -22,7 +22,10 @@ def statistics(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
 
 
 def registry_csv(spark: SparkSession, path: str, schema: str, encoding: str = "windows-1250") -> DataFrame:
-    """Semicolon-separated registry with a header that must match the schema's names; blanks are null."""
+    """Semicolon-separated registry with a header that must match the schema's names; blanks are null. Encodings beyond
+    Spark's short list are switched on for the session, which decodes them in the scan."""
+    if not encoding.lower().startswith(("utf", "iso-8859-1", "us-ascii")):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     wanted = T._parse_datatype_string(schema).names
     head = spark.read.csv(path, sep=";", header=True, encoding=encoding).columns
     if head != wanted:
