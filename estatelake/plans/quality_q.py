@@ -176,7 +176,7 @@ _PSC = ["110 00", "98765", "98766", "00000", "-1", "1100", "abcde", "60200"]
 
 
 def literal(rows: list[str], make):
-    return lambda f: f.spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string").select("i", *make)
+    return lambda f: f.spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string").select("i", *make())
 
 
 def literal_sql(rows: list[str], columns: str, also: str = "") -> str:
@@ -185,22 +185,22 @@ def literal_sql(rows: list[str], columns: str, also: str = "") -> str:
 
 
 _FOLD = ", trim(regexp_replace(lower(strip_accents(s)), '\\s+', ' ', 'g')) AS d"
-add("x01_fold", literal(_NAMES, [text.fold("s").alias("folded"), text.match_key("s").alias("key")]), literal_sql(_NAMES, "d AS folded, trim(regexp_replace(d, '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key", _FOLD))
+add("x01_fold", literal(_NAMES, lambda: [text.fold("s").alias("folded"), text.match_key("s").alias("key")]), literal_sql(_NAMES, "d AS folded, trim(regexp_replace(d, '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key", _FOLD))
 _SW = "(?:ul|ulice|ulici|nam|namesti|tr|trida|tride|tridu|tridy|nabr|nabrezi|sidliste|sidlisti)\\.*"
 _KEY = f"trim(regexp_replace(regexp_replace(d, '^(?:{_SW}(?: |$))+', ''), '(?:(?:^| )(?:{_SW}|[0-9]{{1,4}}[a-z]?(?:/[0-9]{{1,4}}[a-z]?)?))+$', ''))"
-add("x02_street_key", literal(_STREETS, [text.street_key("s").alias("key")]), literal_sql(_STREETS, f"nullif(CASE WHEN {_KEY} = '' THEN d ELSE {_KEY} END, '') AS key", _FOLD))
+add("x02_street_key", literal(_STREETS, lambda: [text.street_key("s").alias("key")]), literal_sql(_STREETS, f"nullif(CASE WHEN {_KEY} = '' THEN d ELSE {_KEY} END, '') AS key", _FOLD))
 _FN = lambda p: f"TRY_CAST(nullif(regexp_extract(d, '{p}', 1), '') AS INT)"
 _NP, _PP, _PA = _FN("([0-9]{1,2})\\.\\s*(?:np|nadzemni\\w*\\s+podlazi)\\b"), _FN("([0-9]{1,2})\\.\\s*(?:pp|podzemni\\w*\\s+podlazi)\\b"), _FN("([0-9]{1,2})\\.\\s*(?:patr[oau]|patre|patrem)\\b")
 _IN = lambda x: f"CASE WHEN {x} BETWEEN -3 AND 40 THEN {x} END"
-add("x04_floor", literal(_FLOORS, [text.floor_number("s").alias("floor")]), literal_sql(_FLOORS, f"CASE WHEN {_NP} IS NOT NULL THEN {_IN(_NP + ' - 1')} WHEN {_PP} IS NOT NULL THEN {_IN('-' + _PP)} WHEN {_PA} IS NOT NULL THEN {_IN(_PA)} WHEN contains(d, 'prizem') THEN 0 WHEN contains(d, 'suteren') THEN -1 END AS floor", _FOLD))
+add("x04_floor", literal(_FLOORS, lambda: [text.floor_number("s").alias("floor")]), literal_sql(_FLOORS, f"CASE WHEN {_NP} IS NOT NULL THEN {_IN(_NP + ' - 1')} WHEN {_PP} IS NOT NULL THEN {_IN('-' + _PP)} WHEN {_PA} IS NOT NULL THEN {_IN(_PA)} WHEN contains(d, 'prizem') THEN 0 WHEN contains(d, 'suteren') THEN -1 END AS floor", _FOLD))
 _PD = ", regexp_replace(s, '\\s+', '', 'g') AS d"
-add("x06_post_code", literal(_PSC, [text.post_code("s")["psc"].alias("psc"), text.post_code("s")["country"].alias("country"), text.post_code("s")["rejection"].alias("rejection")]), literal_sql(_PSC, "CASE WHEN regexp_full_match(d, '[0-9]{5}') AND d NOT IN ('00000', '98765', '98766') THEN d END AS psc, CASE d WHEN '98765' THEN 'SK' WHEN '98766' THEN 'XX' END AS country, CASE WHEN d IN ('-1', '0', '00000') THEN 'psc_sentinel' WHEN d IN ('98765', '98766') THEN 'psc_portal_bucket' WHEN NOT regexp_full_match(d, '[0-9]{5}') THEN 'psc_malformed' END AS rejection", _PD))
-add("x07_contacts", literal(_CONTACTS, [text.email("s").alias("email"), text.phone("s").alias("phone")]), literal_sql(_CONTACTS, "CASE WHEN strpos(e, '@') > 1 AND NOT ends_with(e, '@') AND contains(substr(e, strpos(e, '@') + 1), '.') THEN e END AS email, CASE WHEN length(g) = 9 THEN '420' || g WHEN length(g) > 9 THEN g END AS phone", ", lower(trim(s)) AS e, regexp_replace(s, '[^0-9]', '', 'g') AS g"))
-add("x08_name_key", literal(_NAMES, [text.name_key("s").alias("key"), text.name_relation(F.col("s"), F.lit("Jan Novák")).alias("relation")]))
+add("x06_post_code", literal(_PSC, lambda: [text.post_code("s")["psc"].alias("psc"), text.post_code("s")["country"].alias("country"), text.post_code("s")["rejection"].alias("rejection")]), literal_sql(_PSC, "CASE WHEN regexp_full_match(d, '[0-9]{5}') AND d NOT IN ('00000', '98765', '98766') THEN d END AS psc, CASE d WHEN '98765' THEN 'SK' WHEN '98766' THEN 'XX' END AS country, CASE WHEN d IN ('-1', '0', '00000') THEN 'psc_sentinel' WHEN d IN ('98765', '98766') THEN 'psc_portal_bucket' WHEN NOT regexp_full_match(d, '[0-9]{5}') THEN 'psc_malformed' END AS rejection", _PD))
+add("x07_contacts", literal(_CONTACTS, lambda: [text.email("s").alias("email"), text.phone("s").alias("phone")]), literal_sql(_CONTACTS, "CASE WHEN strpos(e, '@') > 1 AND NOT ends_with(e, '@') AND contains(substr(e, strpos(e, '@') + 1), '.') THEN e END AS email, CASE WHEN length(g) = 9 THEN '420' || g WHEN length(g) > 9 THEN g END AS phone", ", lower(trim(s)) AS e, regexp_replace(s, '[^0-9]', '', 'g') AS g"))
+add("x08_name_key", literal(_NAMES, lambda: [text.name_key("s").alias("key"), text.name_relation(F.col("s"), F.lit("Jan Novák")).alias("relation")]))
 add("x09_trigram", lambda f: f.table("part").where("p_partkey <= 300").select("p_partkey", F.round(text.trigram_similarity(F.col("p_name"), F.lit("Part 12")), 4).alias("sim")))
 add("x19_hamming", lambda f: f.events.select("event_id", values.hamming(F.col("event_id") * 2654435761, F.col("user_id") * 40503).alias("bits")), "SELECT event_id, CAST(bit_count(xor(event_id * 2654435761, user_id * 40503)) AS INT) AS bits FROM events")
 add("x10_haversine", lambda f: f.people.select("id", F.round(geo.haversine(F.col("lat"), F.col("lng"), F.lit(50.08), F.lit(14.43)), 1).alias("m")), "SELECT id, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(50.08 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(50.08)) * pow(sin(radians(14.43 - lng) / 2), 2)))), 1) AS m FROM (SELECT c_custkey AS id, 48.5 + (c_custkey * 37 % 250) / 100.0 AS lat, 12.1 + (c_custkey * 53 % 670) / 100.0 AS lng FROM customer)")
-add("x14_trust_rank", literal(["sreality", "bazos", "remax", "nobody", ""], [values.source_trust(F.col("s")).cast("int").alias("rank")]), literal_sql(["sreality", "bazos", "remax", "nobody", ""], "CASE s WHEN 'sreality' THEN 1 WHEN 'bazos' THEN 9 WHEN 'remax' THEN 5 ELSE 10 END AS rank"))
+add("x14_trust_rank", literal(["sreality", "bazos", "remax", "nobody", ""], lambda: [values.source_trust(F.col("s")).cast("int").alias("rank")]), literal_sql(["sreality", "bazos", "remax", "nobody", ""], "CASE s WHEN 'sreality' THEN 1 WHEN 'bazos' THEN 9 WHEN 'remax' THEN 5 ELSE 10 END AS rank"))
 add("x16_content_hash", lambda f: f.table("nation").select("n_nationkey", values.content_hash(["n_name", "n_regionkey", "n_nationkey"], ("n_nationkey",)).alias("h")), """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS h FROM nation""")
 add("x18_fingerprint", lambda f: f.table("nation").select("n_nationkey", values.json_sha(F.col("n_name"), F.col("n_regionkey"), F.lit(None)).alias("h")), """SELECT n_nationkey, sha256('["' || n_name || '","' || n_regionkey || '",null]') AS h FROM nation""")
 add("x21_cosine", lambda f: _cosine(f), "SELECT a.vec_id, b.vec_id AS other, round(1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS d FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) a JOIN (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) b ON b.vec_id = a.vec_id + 1")
@@ -225,15 +225,15 @@ def _zero_shot(f: Frames):
 
 add("x20_zero_shot", _zero_shot)
 add("x22_clamps", lambda f: f.listing.select("id", values.clamp_int(F.col("price_czk") * 10000).alias("price"), values.placeholder_area(F.col("area_m2") % 5).alias("area")), "SELECT id, CASE WHEN price_czk * 10000 BETWEEN -2147483648 AND 2147483647 THEN price_czk * 10000 END AS price, CASE WHEN area_m2 % 5 > 0 THEN area_m2 % 5 END AS area FROM listing", LISTING)
-add("x24_size_class", literal(["1+kk", "2+1", "0", "4+1", "9+2", "atyp", ""], [text.size_class("s").alias("class")]), literal_sql(["1+kk", "2+1", "0", "4+1", "9+2", "atyp", ""], "CASE WHEN s LIKE '0%' OR s LIKE '1%' THEN 1 WHEN s LIKE '2%' THEN 2 WHEN s LIKE '3%' THEN 3 WHEN regexp_matches(s, '^[4-9]') THEN 4 END AS class"))
+add("x24_size_class", literal(["1+kk", "2+1", "0", "4+1", "9+2", "atyp", ""], lambda: [text.size_class("s").alias("class")]), literal_sql(["1+kk", "2+1", "0", "4+1", "9+2", "atyp", ""], "CASE WHEN s LIKE '0%' OR s LIKE '1%' THEN 1 WHEN s LIKE '2%' THEN 2 WHEN s LIKE '3%' THEN 3 WHEN regexp_matches(s, '^[4-9]') THEN 4 END AS class"))
 _DATES = ["2024-05-01T10:00", "1.5.2024", "31. 12. 2023", "nonsense", "30.2.2024", ""]
-add("x25_dates", literal(_DATES, [text.czech_date("s").cast("string").alias("date")]), literal_sql(_DATES, "list_extract(['2024-05-01', '2024-05-01', '2023-12-31', NULL, NULL, NULL], i + 1) AS date"))
+add("x25_dates", literal(_DATES, lambda: [text.czech_date("s").cast("string").alias("date")]), literal_sql(_DATES, "list_extract(['2024-05-01', '2024-05-01', '2023-12-31', NULL, NULL, NULL], i + 1) AS date"))
 _FREE = ["write to jan.novak@example.com now", "call +420 777 123 456", "nothing here"]
-add("p08_x32_redact", literal(_FREE, [text.redact("s").alias("t")]), literal_sql(_FREE, "list_extract(['write to [redacted] now', 'call [redacted]', 'nothing here'], i + 1) AS t"))
+add("p08_x32_redact", literal(_FREE, lambda: [text.redact("s").alias("t")]), literal_sql(_FREE, "list_extract(['write to [redacted] now', 'call [redacted]', 'nothing here'], i + 1) AS t"))
 add("p09_masked_search", lambda f: f.spark.createDataFrame([(i, s) for i, s in enumerate(_FREE)], "i int, s string").withColumn("m", text.redact("s")).where(F.col("m").ilike("%novak%") | F.col("m").ilike("%redacted%")).select("i"), literal_sql(_FREE, "1 AS one").replace("SELECT i, 1 AS one", "SELECT i") + " WHERE i < 2")
 add("x31_transforms", lambda f: f.spark.createDataFrame([(i, s) for i, s in enumerate(["-", " 602 00", "n/a", "Praha 5", "obec Brno"])], "i int, s string").select("i", text.TRANSFORMS["sentinel_drop"]("s").alias("kept"), text.TRANSFORMS["psc_normalise"]("s").alias("psc"), text.strip_prefix("s", "obec ").alias("bare")), literal_sql(["-", " 602 00", "n/a", "Praha 5", "obec Brno"], "CASE WHEN i NOT IN (0, 2) THEN s END AS kept, CASE WHEN i = 1 THEN '60200' END AS psc, CASE WHEN i = 4 THEN 'Brno' ELSE s END AS bare"))
 _HN = ["123/45a", "12", "ev. 77", "č.p.", ""]
-add("x05_house_number", literal(_HN, [text.house_number("s")["cp"].alias("cp"), text.house_number("s")["co"].alias("co"), text.house_number("s")["sign"].alias("sign"), text.house_number("s")["ev"].alias("ev")]), literal_sql(_HN, "list_extract(['123', '12', NULL, NULL, NULL], i + 1) AS cp, CASE WHEN i = 0 THEN '45' END AS co, CASE WHEN i = 0 THEN 'a' END AS sign, CASE WHEN i = 2 THEN '77' END AS ev"))
+add("x05_house_number", literal(_HN, lambda: [text.house_number("s")["cp"].alias("cp"), text.house_number("s")["co"].alias("co"), text.house_number("s")["sign"].alias("sign"), text.house_number("s")["ev"].alias("ev")]), literal_sql(_HN, "list_extract(['123', '12', NULL, NULL, NULL], i + 1) AS cp, CASE WHEN i = 0 THEN '45' END AS co, CASE WHEN i = 0 THEN 'a' END AS sign, CASE WHEN i = 2 THEN '77' END AS ev"))
 
 # sources
 _JSON = '[{"year":2020,"month":1,"price":10.5,"active_count":3},{"year":2020,"month":13,"price":1},{"year":2021,"month":2,"price":null}]'
