@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAP = 20
-
+from ..storage import written
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet below ``spark.checkpoint.dir`` (or a temporary folder where it is unset), read again."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/resolve-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+CAP = 20
 
 
 def discriminating(contacts: DataFrame) -> DataFrame:
@@ -52,13 +42,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): least node reachable. Each round takes the least label of the neighbours and then the label's own
     label (pointer jumping); it is written down, and one count a round comes to the driver."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _written(both)
-    labels = _written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    both = written(both, "edges")
+    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("_l")), "b").groupBy("a").agg(F.min("_l").alias("_m"))
         new = labels.join(near, "a").select("a", F.least("label", "_m").alias("_n"), F.col("label").alias("_old"))
         jump = labels.select(F.col("a").alias("_n"), F.col("label").alias("_j"))
-        new = _written(new.join(jump, "_n", "left").select("a", F.least("_n", F.coalesce("_j", "_n")).alias("label"), "_old"))
+        new = written(new.join(jump, "_n", "left").select("a", F.least("_n", F.coalesce("_j", "_n")).alias("label"), "_old"), "labels")
         moved = new.where("label <> _old").limit(1).count()
         labels = new.select("a", "label")
         if not moved:

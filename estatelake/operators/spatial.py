@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE, grid, haversine
+from ..storage import written
 
 #: Largest latitude for which cell sizes are computed.
 NORTH = 60.0
@@ -43,16 +44,18 @@ def nearest_within(left: DataFrame, right: DataFrame, metres: float) -> DataFram
     return left.join(near, "id", "left").select(*left.columns, F.col("_n.rid").alias("nearest_id"), F.col("_n.distance").alias("nearest_m"))
 
 
-def nearest(left: DataFrame, right: DataFrame, start: float = 5_000, rings: int = 6) -> DataFrame:
-    """Nearest neighbour by growing rings: rows that a radius doesn't settle go on with twice the radius; what the last ring
-    leaves open has nulls."""
+def nearest(left: DataFrame, right: DataFrame, start: float = 5_000, rings: int = 8) -> DataFrame:
+    """Nearest neighbour by growing rings: rows that a radius doesn't settle go on with three times the radius, until none is
+    open; what the last ring leaves open has nulls. Each ring is written, so none is computed twice."""
     open_, out, metres = left, None, start
     for _ in range(rings):
-        got = nearest_within(open_, right, metres)
+        got = written(nearest_within(open_, right, metres), "nearest")
         done = got.where("nearest_id is not null")
         out = done if out is None else out.unionByName(done)
         open_ = got.where("nearest_id is null").select(*left.columns)
-        metres *= 2
+        metres *= 3
+        if open_.isEmpty():
+            break
     return out.unionByName(open_.withColumn("nearest_id", F.lit(None).cast(right.schema["rid"].dataType)).withColumn("nearest_m", F.lit(None).cast("double")))
 
 

@@ -96,7 +96,7 @@ add("k01_cursor_window", lambda f: f.events.where((F.col("event_id") > 500) & (F
 def _read_model(f: Frames):
     """A snapshot written whole, clustered by its leading filter, and read again with a pushed-down predicate."""
     from ..sources.readers import stage
-    from ..streaming import folder
+    from ..storage import folder
 
     path = folder(f.spark, "read-model")
     stage(f.listing.select("id", "category_main", "price_czk", "district").repartition("category_main").sortWithinPartitions("category_main", "price_czk"), path, ["category_main"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import streaming
+from ..storage import folder
 from .frames import Family, Frames
 
 family = Family()
@@ -34,7 +35,7 @@ add("k11_sliding_windows", lambda f: done(streaming.tumbling(_stream(f), "ts", "
 
 def _dirty(f: Frames):
     """The recomputed aggregates of the keys that the stream touched."""
-    target, offsets = streaming.folder(f.spark, "dirty"), streaming.folder(f.spark, "dirty-offsets")
+    target, offsets = folder(f.spark, "dirty"), folder(f.spark, "dirty-offsets")
     full = lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
     streaming.recompute_dirty(_stream(f).where("event_type = 'purchase'"), "user_id", full, f.table("events"), target, offsets)
     return streaming.newest_versions(f.spark, target, "user_id")
