@@ -19,7 +19,7 @@ _FRESH = "first_seen_at >= TIMESTAMP '2001-01-01'"
 add(
     "a35_drift",
     lambda f: quality.drift(f.listing_np, ["district"], _FIELDS, F.col("first_seen_at") >= F.lit("2001-01-01").cast("timestamp")),
-    "SELECT district, arg_min(field, (-d, field)) AS worst_field, round(max(d) * 100, 2) AS drift_pts FROM (" + " UNION ALL ".join(f"SELECT district, '{c}' AS field, avg(CASE WHEN NOT {_FRESH} THEN CAST({c} IS NOT NULL AS INT) END) - avg(CASE WHEN {_FRESH} THEN CAST({c} IS NOT NULL AS INT) END) AS d FROM listing_np GROUP BY district" for c in _FIELDS) + ") WHERE d IS NOT NULL GROUP BY district",
+    "SELECT district, arg_min(field, (-d, field)) FILTER (WHERE d IS NOT NULL) AS worst_field, round(max(d) * 100, 2) AS drift_pts FROM (" + " UNION ALL ".join(f"SELECT district, '{c}' AS field, avg(CASE WHEN NOT {_FRESH} THEN CAST({c} IS NOT NULL AS INT) END) - avg(CASE WHEN {_FRESH} THEN CAST({c} IS NOT NULL AS INT) END) AS d FROM listing_np GROUP BY district" for c in _FIELDS) + ") GROUP BY district",
     LISTING_NP,
 )
 

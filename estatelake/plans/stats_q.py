@@ -18,7 +18,7 @@ def with_tom(df):
 
 
 def rounded(df, names, places=2):
-    return df.select(*[F.round(F.col(c), places).alias(c) if c in names else c for c in df.columns])
+    return df.select(*[F.round(F.col(c).cast("decimal(28,8)"), places).cast("double").alias(c) if c in names else c for c in df.columns])
 
 
 add(
@@ -31,7 +31,7 @@ _DIST = ["min", "max", "mean", "median", "p10", "p25", "p75", "p90", "stddev", "
 add(
     "a01_distribution",
     lambda f: rounded(stats.distribution(f.listing_np, "price_czk", ["district", "disposition"]), _DIST, 4),
-    "SELECT district, disposition, n, round(min, 4) AS min, round(max, 4) AS max, round(mean, 4) AS mean, round(median, 4) AS median, " + ", ".join(f"CASE WHEN n >= 5 THEN round({c}, 4) END AS {c}" for c in _DIST[4:]) + " FROM (SELECT district, disposition, count(p) AS n, min(p) AS min, max(p) AS max, avg(p) AS mean, quantile_cont(p, 0.5) AS median, quantile_cont(p, 0.1) AS p10, quantile_cont(p, 0.25) AS p25, quantile_cont(p, 0.75) AS p75, quantile_cont(p, 0.9) AS p90, stddev_samp(p) AS stddev, quantile_cont(p, 0.75) - quantile_cont(p, 0.25) AS iqr FROM (SELECT *, price_czk AS p FROM listing_np) GROUP BY district, disposition)",
+    "SELECT district, disposition, n, CAST(round(CAST(min AS DECIMAL(28, 8)), 4) AS DOUBLE) AS min, CAST(round(CAST(max AS DECIMAL(28, 8)), 4) AS DOUBLE) AS max, CAST(round(CAST(mean AS DECIMAL(28, 8)), 4) AS DOUBLE) AS mean, CAST(round(CAST(median AS DECIMAL(28, 8)), 4) AS DOUBLE) AS median, " + ", ".join(f"CASE WHEN n >= 5 THEN CAST(round(CAST({c} AS DECIMAL(28, 8)), 4) AS DOUBLE) END AS {c}" for c in _DIST[4:]) + " FROM (SELECT district, disposition, count(p) AS n, min(p) AS min, max(p) AS max, avg(p) AS mean, quantile_cont(p, 0.5) AS median, quantile_cont(p, 0.1) AS p10, quantile_cont(p, 0.25) AS p25, quantile_cont(p, 0.75) AS p75, quantile_cont(p, 0.9) AS p90, stddev_samp(p) AS stddev, quantile_cont(p, 0.75) - quantile_cont(p, 0.25) AS iqr FROM (SELECT *, price_czk AS p FROM listing_np) GROUP BY district, disposition)",
     LISTING_NP,
 )
 _DEAR = "SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_orderkey % 50 = 0 THEN 4 * l_extendedprice ELSE l_extendedprice END AS price FROM lineitem"
@@ -232,7 +232,7 @@ add("a20_growth", lambda f: series.growth(f.monthly, ["entity", "kind"]), f"SELE
 add("a22_a24_window_cagr", lambda f: series.window_cagr(f.monthly, ["entity", "kind"], 3), f"SELECT entity, kind, m1 - m0 AS months, {_CAGR} AS cagr_pct, mina AS min_active FROM (SELECT entity, kind, min(m) AS m0, max(m) AS m1, arg_min(price, m) AS p0, arg_max(price, m) AS p1, min(active_count) AS mina FROM (SELECT *, max(m) OVER (PARTITION BY entity, kind) AS lm FROM (SELECT *, year * 12 + month - 1 AS m FROM monthly)) WHERE m >= lm - 36 GROUP BY entity, kind)", MONTHLY)
 add("a21_a23_series_pivot", lambda f: series.sale_and_rent(f.monthly, ["entity"]), "SELECT *, CASE WHEN sale_price > 0 THEN round_even(12 * rent_price / sale_price * 100, 2) END AS gross_yield_pct FROM (SELECT entity, year, month, max(CASE WHEN kind = 'sale' THEN price END) AS sale_price, max(CASE WHEN kind = 'rent' THEN price END) AS rent_price FROM monthly GROUP BY entity, year, month)", MONTHLY)
 add("a20_yield_drift", lambda f: series.yield_drift(f.monthly, ["entity"]), "SELECT entity, y0 AS yield_start, y1 AS yield_end, CASE WHEN mo >= 12 THEN round_even((y1 - y0) / (mo / 12.0), 2) END AS drift_pp_year FROM (SELECT s.entity, round_even(12 * r.p0 / s.p0 * 100, 2) AS y0, round_even(12 * r.p1 / s.p1 * 100, 2) AS y1, greatest(s.m1 - s.m0, r.m1 - r.m0) AS mo FROM ends s JOIN ends r ON s.entity = r.entity AND s.kind = 'sale' AND r.kind = 'rent')", MONTHLY, _ENDS)
-add("a25_weighted_months", lambda f: series.weighted_months(f.monthly, ["kind"]), "SELECT kind, year, month, round(sum(price * greatest(active_count, 1)) / sum(greatest(active_count, 1)), 2) AS price, CAST(sum(greatest(active_count, 1)) AS BIGINT) AS weight, count(*) AS entities FROM monthly GROUP BY kind, year, month", MONTHLY)
+add("a25_weighted_months", lambda f: series.weighted_months(f.monthly, ["kind"]), "SELECT kind, year, month, CAST(round(CAST(sum(price * greatest(active_count, 1)) / sum(greatest(active_count, 1)) AS DECIMAL(28, 8)), 2) AS DOUBLE) AS price, CAST(sum(greatest(active_count, 1)) AS BIGINT) AS weight, count(*) AS entities FROM monthly GROUP BY kind, year, month", MONTHLY)
 
 
 def _rent(f: Frames):
