@@ -9,15 +9,17 @@ scores don't add up: the merges of a prefix end in exactly one piece, the piece
 the two are merged by themselves; that test takes the place of the sum, and the ids are those of the merges. No search of
 merges over the text is needed.
 
-Where no piece goes on from another character to a word mark, every word is a place where all paths converge; what such a
-stretch gives is remembered in a table of bounded size.
+Where no piece goes on from another character to a word mark, every word is a place where all paths converge, and so are
+other seams that no piece crosses; what such a stretch gives is remembered in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -29,7 +31,7 @@ MARK = "▁"
 #: Fixed values of the model format: fields of its message and kinds of model.
 TRAINER_SPEC, MODEL_TYPE, UNIGRAM, BPE = 2, 3, 1, 2
 NORMALIZER_SPEC, CHARSMAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE = 3, 2, 3, 4, 5
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -79,26 +81,44 @@ class Codec:
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
         self.silent = {i for i in range(len(sp)) if sp.is_control(i)}
+        self.special = np.array([sp.is_control(i) or sp.is_byte(i) or i == self.unk for i in range(len(sp))])
         usable = [i for i in range(len(sp)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in usable}
         self.score = {self.pieces[i]: sp.get_score(i) for i in usable}
         self.longest = max(map(len, self.ids), default=1)
         self.lowest = min(self.score.values(), default=0.0) - 10
-        crosses = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.words = None if crosses else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.words = self._stretches()
         self.memory: dict[str, bytes] = {}
         self.apart: dict[tuple[str, str], bool] = {}
         self.split: dict[str, tuple[str, str] | None] = {}
         self.rank = {p: -v for p, v in self.score.items() if len(p) > 1}
-        #: Pieces of two characters and more that merges can make, and by their last two characters their lengths.
-        self.whole = {p for p in self.rank if self._halves(p)} if self.bpe else set(self.rank)
-        tails: dict[str, set[int]] = {}
-        for p in self.whole:
-            tails.setdefault(p[-2:], set()).add(len(p))
-        self.tails = {t: tuple(sorted(k, reverse=True)) for t, k in tails.items()}
+        #: Finds the pieces of two characters and more that merges can make.
+        self.whole = ahocorasick.Automaton()
+        for p in self.rank if self.bpe else ():
+            if self._halves(p):
+                self.whole.add_word(p, (p, len(p)))
+        self.whole.make_automaton()
 
     # encoding
 
+    def _stretches(self) -> re.Pattern | None:
+        """A pattern whose matches cover any text and meet only where no piece goes across, so that all paths converge
+        there: before a word mark; on both sides of a character that stands in no longer piece; and before a character of
+        a set that pieces never put after any but its own (full stops and commas, in most models). None if pieces go
+        across word marks."""
+        longer = [p for p in self.ids if len(p) > 1]
+        if any(MARK in p.lstrip(MARK) for p in longer):
+            return None
+        alone = {c for c in self.ids if len(c) == 1 and c != MARK} | {"\n", "\t", "\r"}
+        alone -= {c for p in longer for c in p}
+        closing = {c for p in longer for c in p[1:] if not c.isalnum() and c != MARK}
+        before = [(a, b) for p in longer for a, b in zip(p, p[1:], strict=False) if a != MARK]
+        while bad := {b for a, b in before if b in closing and a not in closing}:
+            closing -= bad
+        group = lambda s: "".join(map(re.escape, sorted(s)))
+        stop, one = group(closing), group(alone)
+        return re.compile(f"[{one}]|{MARK}*[^{MARK}{stop}{one}]+|{MARK}*[{stop}]+[^{MARK}{stop}{one}]*|{MARK}+" if closing else f"[{one}]|{MARK}*[^{MARK}{one}]+|{MARK}+")
+
     def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """BPE merges over a short string, by definition: the best known pair first, the leftmost of equals. Also the last
         pair merged."""
@@ -200,26 +220,21 @@ class Codec:
 
     def _short(self, chars: str) -> list[str]:
         """``stream`` for a BPE model and a stretch within one window: there is nothing to commit before its end."""
-        whole, apart, tails, n = self.whole, self.apart, self.tails, len(chars)
-        last, back = [""] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            piece, start = chars[end - 1], end - 1
-            for k in tails.get(chars[end - 2 : end], ()) if end > 1 else ():
-                if k > end:
+        apart, n = self.apart, len(chars)
+        last, back, settled = ["", *chars], [0, *range(n)], 0
+        for at, (piece, k) in self.whole.iter(chars):  # of pieces that end at one place the longest comes first
+            end = at + 1
+            if end == settled:
+                continue
+            start = end - k
+            if start:
+                key = (last[start], piece)
+                ok = apart.get(key)
+                if ok is None:
+                    ok = self._joins(*key)
+                if not ok:
                     continue
-                longer = chars[end - k : end]
-                if longer in whole:
-                    if k == end:
-                        piece, start = longer, 0
-                        break
-                    key = (last[end - k], longer)
-                    ok = apart.get(key)
-                    if ok is None:
-                        ok = self._joins(*key)
-                    if ok:
-                        piece, start = longer, end - k
-                        break
-            last[end], back[end] = piece, start
+            last[end], back[end], settled = piece, start, end
         out, end = [], n
         while end:
             out.append(last[end])
@@ -249,7 +264,14 @@ class Codec:
 
     def _ids(self, stretch: str) -> bytes:
         out: list[int] = []
-        for run in (self._short(stretch),) if self.bpe and len(stretch) <= 64 else self.stream(stretch):
+        runs: Iterable[list[str]] = self.stream(stretch)
+        if self.bpe and len(stretch) <= 64:
+            runs = (parts := self._short(stretch),)
+            try:
+                return array("i", [self.ids[p] for p in parts]).tobytes()
+            except KeyError:  # a character without a piece
+                pass
+        for run in runs:
             for p in run:
                 known = self.ids.get(p)
                 if known is not None:
@@ -285,7 +307,11 @@ class Codec:
         """The text of ids; control ids are silent, runs of bytes are read as UTF-8, an unknown id reads as U+2047."""
         if ids is None or not len(ids):
             return ""
-        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        numbers = np.asarray(ids)
+        ids = numbers.tolist()
+        if not self.special[numbers].any():
+            text = "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
+            return text[1:] if self.prefix and text.startswith(" ") else text
         out, raw, pieces, byte_of = [], [], self.pieces, self.byte_of
         for i in ids:
             b = byte_of.get(i)
