@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 10
 #: Fixed by the contract: words after A-Z became a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,29 +58,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     scan = base.select("doc_id", "_t", "_w", F.posexplode_outer("_w").alias("_p", "_word"))
     scan = scan.withColumn("_p", F.coalesce("_p", F.lit(0)))
     lengths = sorted(sizes)
-    probe = F.lit(None).cast("array<long>")
     if lengths == [window] or not lengths:
         scan = scan.withColumn("_n", F.lit(window))
     else:
         scan = scan.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths])))
-    del probe
     fits = F.expr("_p + _n <= size(_w)")
     scan = scan.withColumn("_h", F.when(fits, F.xxhash64(F.expr("slice(_w, _p + 1, _n)"))))
     right = known.select(F.col("h").alias("_h"), F.col("gram").alias("_g"), F.col("size").alias("_s"))
+    here = F.expr("case when _h is not null then slice(_w, _p + 1, _n) end")
     if small:
-        hits = scan.join(F.broadcast(right), "_h", "left")
-    else:
-        # the set is too large to send around: only what a window needs is shuffled
-        scan = scan.select("doc_id", "_t", "_p", "_n", "_h", F.expr("case when _h is not null then slice(_w, _p + 1, _n) end").alias("_v"), F.size("_w").alias("_c"))
-        hits = scan.join(right, "_h", "left")
-    if small:
-        verified = F.col("_g").isNotNull() & (F.expr("slice(_w, _p + 1, _n)") == F.col("_g"))
-        hits = hits.withColumn("_ok", F.coalesce(verified, F.lit(False))).where("_ok or _p = 0")
-        hits = hits.select("doc_id", "_t", F.size("_w").cast("long").alias("_c"), "_p", "_n", "_ok", F.when(F.col("_ok"), F.col("_g")).alias("_g"))
+        hits = scan.join(F.broadcast(right), "_h", "left").select("doc_id", "_t", "_p", "_n", "_g", here.alias("_v"), F.size("_w").alias("_c"))
     else:
-        hits = hits.withColumn("_ok", F.coalesce(F.col("_g") == F.col("_v"), F.lit(False))).where("_ok or _p = 0")
-        hits = hits.select("doc_id", "_t", F.col("_c").cast("long"), "_p", "_n", "_ok", F.when(F.col("_ok"), F.col("_g")).alias("_g"))
-    found = hits.select("doc_id", "_t", "_c", "_p", "_n", "_ok", F.xxhash64("_g").alias("_gh"), F.col("_g").alias("_gram"))
+        # the set is too large to send around: of the documents only what a window needs is shuffled
+        hits = scan.select("doc_id", "_t", "_p", "_n", "_h", here.alias("_v"), F.size("_w").alias("_c")).join(right, "_h", "left")
+    hits = hits.withColumn("_ok", F.coalesce(F.col("_g") == F.col("_v"), F.lit(False))).where("_ok or _p = 0")
+    found = hits.select("doc_id", "_t", F.col("_c").cast("long").alias("_c"), "_p", "_n", "_ok", F.when(F.col("_ok"), F.col("_g")).alias("_gram"))
     return _per_document(found, grams)
 
 
@@ -90,7 +84,8 @@ def _per_document(found: DataFrame, grams: DataFrame) -> DataFrame:
         F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("_ok"), covered))))).cast("long").alias("n_hit"),
         F.collect_set(F.when(F.col("_ok"), F.col("_gram"))).alias("_grams"),
     )
-    docs = docs.select("doc_id", "_t", "n_words", "n_hit", "_grams")
+    # written, for it is read twice and the scan below it is all the work
+    docs = written(docs.select("doc_id", "_t", "n_words", "n_hit", "_grams"), "hits")
     of = grams.select(F.col("gram").alias("_gram"), F.col("item").cast("string").alias("_item"))
     items = (
         docs.where("n_hit > 0")
