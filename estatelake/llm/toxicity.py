@@ -32,6 +32,8 @@ FOLDS, HELD = 5, 0
 #: The model is fitted on at most this many labelled documents of each class.
 PER_CLASS = 700
 LANDMARKS = 160
+#: Of words that occur in one clean document of the sample this many take part in the fit.
+OWN_WORDS = 40_000
 
 
 def _letter_table() -> np.ndarray:
@@ -186,7 +188,12 @@ def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int
     bags = [sorted({w for w in b if 4 <= len(w) <= 40}) for b in bags]
     n_pos, n_neg = labels.sum(), (1 - labels).sum()
     seen = {y: Counter(w for b, l in zip(bags, labels, strict=True) if l == y for w in b) for y in (0, 1)}
-    vocabulary = sorted(set(seen[0]) | set(seen[1]))
+    # a clean document's own word is one of very many alike; a part of them is enough as negatives
+    rare = sorted(w for w, n in seen[0].items() if n == 1 and w not in seen[1])
+    left_out = {rare[i] for i in rng.permutation(len(rare))[OWN_WORDS:]}
+    vocabulary = sorted((set(seen[0]) | set(seen[1])) - left_out)
+    bags = [[w for w in b if w not in left_out] for b in bags]
+    del rare, left_out
     number = {w: i for i, w in enumerate(vocabulary)}
     pos, neg = (np.array([seen[y][w] for w in vocabulary], float) for y in (1, 0))
     odds = np.log((pos + 0.2) / (n_pos + 1)) - np.log((neg + 0.2) / (n_neg + 1))
@@ -206,9 +213,8 @@ def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int
 
     k_zz = kernel([z.tobytes() for z in chosen])
     values, vectors = np.linalg.eigh((k_zz + k_zz.T) / 2)
-    root = vectors / np.sqrt(np.maximum(values, 1e-2))
-    k_all = kernel(vocabulary)
-    x_all = np.concatenate([k_all @ root, np.ones((len(vocabulary), 1))], axis=1)
+    root = (vectors / np.sqrt(np.maximum(values, 1e-2))).astype(np.float32)
+    x_all = np.concatenate([kernel(vocabulary) @ root, np.ones((len(vocabulary), 1), np.float32)], axis=1)
     index = [np.array([number[w] for w in b], int) for b in bags]
     score, clean = odds.copy(), [i for i, y in zip(index, labels, strict=True) if not y and len(i)]
     negatives = np.unique(np.concatenate(clean)) if clean else np.zeros(0, int)
