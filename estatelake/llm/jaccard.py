@@ -1,9 +1,9 @@
 """N-gram Jaccard join by chosen paths.
 
 Documents are sets of hashed word n-grams. Copies (equal sets) are one class and only its least document goes on. A run
-splits the classes on a shared token sampled by each of four hash functions (the token that is least under it); where more
-than BLOCK classes stay together, the run splits that bucket on four more. A bucket that is small then, or whose members
-agree on all of its tokens, is compared by brute force on sketches, a large one in blocks. Runs are repeated until two sets
+splits the classes on a shared token sampled by each of four hash functions (the token that is least under it). Where more
+than BLOCK classes stay together, that bucket is not compared; its classes go through runs of eight tokens instead. A bucket
+is compared by brute force on sketches, a large one of eight tokens in blocks. Both kinds of run are repeated until two sets
 at the threshold meet in one at least with the wanted probability. Candidates form components; within a component each pair
 of classes is checked exactly on the whole n-gram sets, block by block, without writing pairs down: what leaves a block is
 each class's number of links and a spanning set of them.
@@ -31,9 +31,9 @@ MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Runs until sets of this similarity share a path of SHORT_PATH tokens with this probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**SHORT_PATH)))
+def runs_for(threshold: float, recall: float, depth: int = SHORT_PATH) -> int:
+    """Runs until sets of this similarity share a path of ``depth`` tokens with this probability."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,12 +117,12 @@ def shingles(h: np.ndarray, counts: np.ndarray, words: int = WORDS) -> tuple[np.
     return x[new], text[new]
 
 
-def signatures(batch_text: pa.Array, runs: int, words: int) -> dict[str, np.ndarray]:
-    """For each text: n (its n-grams), d1 and d2 (digests of the set), short and long paths of each run, and the sketch."""
+def signatures(batch_text: pa.Array, runs: int, long_runs: int, words: int) -> dict[str, np.ndarray]:
+    """For each text: n (its n-grams), d1 and d2 (digests of the set), the paths of the short and of the long runs, and the sketch."""
     data, offsets = text_bytes(batch_text)
     n = len(offsets) - 1
     rng = np.random.default_rng(11)
-    k = max(SKETCH, runs * LONG_PATH)
+    k = max(SKETCH, runs * SHORT_PATH, long_runs * LONG_PATH)
     mult, add = (rng.integers(0, 1 << 32, size=k, dtype=np.uint32) | np.uint32(1) for _ in range(2))
     out = {"n": np.zeros(n, np.int64), "d1": np.zeros(n, np.uint64), "d2": np.zeros(n, np.uint64)}
     least = np.zeros((k, n), np.uint32)
@@ -139,10 +139,10 @@ def signatures(batch_text: pa.Array, runs: int, words: int) -> dict[str, np.ndar
         for j in range(k):
             least[j, at] = np.minimum.reduceat(low * mult[j] + add[j], heads)
     keys = []
-    for depth in (SHORT_PATH, LONG_PATH):
-        p = np.zeros((n, runs), np.uint64)
-        for r in range(runs):
-            for j in range(r * LONG_PATH, r * LONG_PATH + depth):
+    for depth, number in ((SHORT_PATH, runs), (LONG_PATH, long_runs)):
+        p = np.zeros((n, number), np.uint64)
+        for r in range(number):
+            for j in range(r * depth, (r + 1) * depth):
                 p[:, r] = _mix(p[:, r] + least[j].astype(np.uint64) + np.uint64(j + 1))
         keys.append(p.view(np.int64))
     out["short"], out["long"] = keys
@@ -155,7 +155,7 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
 
 
-def _signed(docs: DataFrame, runs: int, words: int) -> DataFrame:
+def _signed(docs: DataFrame, runs: int, long_runs: int, words: int) -> DataFrame:
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     names = ["doc_id", "n", "d1", "d2", "short", "long", "sketch"]
 
@@ -163,7 +163,7 @@ def _signed(docs: DataFrame, runs: int, words: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                s = signatures(part.column(1), runs, words)
+                s = signatures(part.column(1), runs, long_runs, words)
                 sketch = pa.array([r.tobytes() for r in s["sketch"]], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s["n"]), pa.array(s["d1"].view(np.int64)), pa.array(s["d2"].view(np.int64)), _lists(s["short"]), _lists(s["long"]), sketch], names=names)
 
@@ -218,7 +218,7 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def _alike(sketch: np.ndarray, mine: np.ndarray, theirs: np.ndarray, same: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows whose sketches agree in ``least`` places, a few rows at a time."""
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # a block may be empty
     step = max(1, (1 << 22) // max(1, len(theirs) * sketch.shape[1]))
     for i in range(0, len(mine), step):
         part = mine[i : i + step]
@@ -353,19 +353,21 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     null id is in no class (null) and has no links; rows that repeat an id are copies of one document when their texts
     agree, and join their classes when not. The ids must be whole numbers.
     """
-    runs = runs_for(threshold, recall)
+    # a pair is missed if no short run brings it together, or only ones in crowded buckets and no long run either
+    each = 1 - (1 - recall) / 2
+    runs, long_runs = (runs_for(threshold, each, depth) for depth in (SHORT_PATH, LONG_PATH))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(_signed(ids, runs, words), "signatures")
+    signed = written(_signed(ids, runs, long_runs, words), "signatures")
     worded = signed.where("doc_id is not null and n > 0")
     classes = worded.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("short").alias("short"), F.first("long").alias("long"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
-    paths = classes.select("rep", F.posexplode(F.arrays_zip("short", "long")).alias("run", "_p")).select("run", "rep", F.col("_p.short").alias("k1"), F.col("_p.long").alias("k2"))
-    many = paths.groupBy("run", "k1").agg(F.count("*").alias("size")).where("size > 1")
-    met = paths.join(many, ["run", "k1"])
-    near = met.where(F.col("size") <= BLOCK).select("run", F.col("k1").alias("key"), "size", "rep")
-    far = met.where(F.col("size") > BLOCK).select("run", "k2", "rep")
-    deep = far.groupBy("run", "k2").agg(F.count("*").alias("size")).where("size > 1")
-    far = far.join(deep, ["run", "k2"]).select("run", F.col("k2").alias("key"), "size", "rep")
+    short = classes.select("rep", F.posexplode("short").alias("run", "key"))
+    met = short.join(short.groupBy("run", "key").agg(F.count("*").alias("size")).where("size > 1"), ["run", "key"])
+    near = met.where(F.col("size") <= BLOCK).select("run", "key", "size", "rep")
+    crowded = written(met.where(F.col("size") > BLOCK).select("rep").distinct(), "crowded")
+    # numbered from -1 down, apart from the short runs
+    long = classes.join(crowded, "rep").select("rep", F.posexplode("long").alias("run", "key")).withColumn("run", -1 - F.col("run"))
+    far = long.join(long.groupBy("run", "key").agg(F.count("*").alias("size")).where("size > 1"), ["run", "key"]).select("run", "key", "size", "rep")
     buckets = near.unionByName(far).join(classes.select("rep", "sketch"), "rep")
     buckets = _in_blocks(buckets, "size", "rep").select("run", "key", "b1", "b2", "mine", "rep", "sketch")
     buckets = buckets.repartition("run", "key", "b1", "b2").sortWithinPartitions("run", "key", "b1", "b2")
