@@ -168,9 +168,8 @@ def main_text(html: str | None) -> str:
     total = sum(len(x[0]) for x, c in zip(lines, core.tolist(), strict=True) if c)
     landmark = [n for n in articles if weight.get(n, 0) >= 0.5 * total]
     if landmark:
-        region = {max(landmark)}
-        several = {n for n in articles if parser.kinds[n] == "article" and weight.get(n, 0) >= 0.2 * total}
-        region |= several if max(landmark) not in several else set()
+        # a main with its text beside the articles, and each article with a share of the text
+        region = {*landmark, *(n for n in articles if parser.kinds[n] == "article" and weight.get(n, 0) >= 0.2 * total)}
     elif inside:
         region = articles
     else:

@@ -220,6 +220,14 @@ def test_lines_over_awkward_rows(spark):
 # main text
 
 
+@pytest.mark.parametrize("sizes", [(6, 4), (5, 5), (4, 6), (4, 4, 4)])
+def test_main_text_of_several_articles(sizes):
+    parts = [[f"Paragraph {k} of part {i}, told at some length." for k in range(n)] for i, n in enumerate(sizes)]
+    body = "".join("<article>" + "".join(f"<p>{t}</p>" for t in p) + "</article>" for p in parts)
+    assert html_text.main_text(f"<body><nav>Home</nav>{body}</body>") == "\n\n".join(t for p in parts for t in p)
+    assert html_text.main_text(f"<body><main><h1>Head</h1><p>A lead before it.</p>{body}</main></body>") == "\n\n".join(["Head", "A lead before it.", *(t for p in parts for t in p)])
+
+
 def test_main_text_of_a_page_without_landmarks():
     html = '<html><head><title>t</title></head><body><div id="menu"><a>Home</a><a>News</a></div><div class="c"><h2>Head &amp; line</h2><p>A long\n paragraph of the <b>story</b>, told at length and without a hurry.<p>Short.<ul><li>one<li>two</ul></div><div class="comments"><p>I disagree at some length, says a reader.</p></div><div class=cookie-notice>We use cookies</div><script>var a = "</p>";</script><footer>(c)</footer>'
     assert html_text.main_text(html) == "Head & line\n\nA long paragraph of the story, told at length and without a hurry.\n\nShort.\n\none\n\ntwo"
