@@ -41,7 +41,7 @@ def _reference(f: Frames):
 add("a26_a27_reference_yield", _reference, "SELECT id, CAST(r AS BIGINT) AS rent, round_even(12 * r / price_czk * 100, 2) AS yield_pct FROM (SELECT *, (CASE WHEN building_type = 'skelet' THEN 260.0::DOUBLE ELSE 200.0::DOUBLE END + 10 * least(CAST(substr(disposition, 1, 1) AS INT), 4) + CASE WHEN has_lift THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN floor > 4 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END) * area_m2 AS r FROM listing_np WHERE price_czk >= 100000 AND area_m2 >= 12)", LISTING_NP)
 add("a29_member_rollup", lambda f: f.child.groupBy("child_id").agg(F.countDistinct("property_id").alias("properties"), F.max_by("property_id", F.struct("last_seen", "property_id")).alias("newest"), F.sum("qty").alias("total")), "SELECT child_id, count(DISTINCT property_id) AS properties, arg_max(property_id, (last_seen, property_id)) AS newest, sum(qty) AS total FROM child GROUP BY child_id", CHILD)
 add("a46_a45_pattern_counts", lambda f: history.patterns(f.snapshot, "price", ["listing_id"], ["scraped_at", "o1", "o2"]).groupBy("pattern").agg(F.count("*").alias("n")))
-add("a55_greedy_phrases", lambda f: clustering.greedy_phrases(f.table("part").where("p_partkey <= 400").select("p_brand", F.regexp_replace("p_name", r"\d+$", "").alias("phrase"), F.lit(1).alias("n")), "p_brand", "phrase", "n"))
+add("a55_greedy_phrases", lambda f: clustering.greedy_phrases(f.table("part").select("p_brand", F.regexp_replace("p_name", r"\d+$", "").alias("phrase"), F.lit(1).alias("n")), "p_brand", "phrase", "n"))
 add("a58_geo_options", lambda f: f.listing.groupBy("region").agg(F.countDistinct("district").alias("districts"), F.countDistinct("property_id").alias("properties")), "SELECT region, count(DISTINCT district) AS districts, count(DISTINCT property_id) AS properties FROM listing GROUP BY region", LISTING)
 add("c04_clusters", lambda f: clustering.cluster_comparables(f.listing.where("disposition = '2+kk'"), ["district"], "id", ["price_czk", "area_m2"], 3).groupBy("district", "cluster").agg(F.count("*").alias("n")))
 add("c06_manual_estimates", lambda f: golden.latest(f.events.where("event_type = 'purchase'").select(F.col("user_id").alias("listing"), "ts", "event_id", "value"), ["listing"], [F.desc("ts"), F.desc("event_id")]).select("listing", "value"), "SELECT user_id AS listing, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id")

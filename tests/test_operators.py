@@ -154,3 +154,15 @@ def test_change_feed_and_staging(spark, tmp_path):
     readers.stage(df, str(tmp_path / "out"))
     readers.stage(df, str(tmp_path / "out"))
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1, "a"), (2, "b")]
+
+
+def test_queries_without_sql_cover_whole_tables(spark):
+    from estatelake import plans
+
+    sf = "/root/testdata/sf0.01"
+    q = plans.queries()
+    parts, vectors = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("part", "embeddings"))
+    assert q["x09_trigram"](spark, sf).count() == parts.count()
+    assert q["a55_greedy_phrases"](spark, sf).agg({"count": "sum"}).first()[0] == parts.count()
+    got = {r["label"] for r in q["x20_zero_shot"](spark, sf).select("label").distinct().collect()}
+    assert got - {r["label"] for r in vectors.where("label < 5").select("label").distinct().collect()}
