@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from .graph import components
 
 CAP = 20
 
@@ -38,26 +38,6 @@ def firm_edges(identities: DataFrame, contacts: DataFrame) -> DataFrame:
     return members.join(contradicted, ["name_key", "firm"], "left_anti").where("identity <> a").select("a", F.col("identity").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): least node reachable. Each round takes the least label of the neighbours and then the label's own
-    label (pointer jumping); it is written down, and one count a round comes to the driver."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("_l")), "b").groupBy("a").agg(F.min("_l").alias("_m"))
-        new = labels.join(near, "a").select("a", F.least("label", "_m").alias("_n"), F.col("label").alias("_old"))
-        jump = labels.select(F.col("a").alias("_n"), F.col("label").alias("_j"))
-        new = written(new.join(jump, "_n", "left").select("a", F.least("_n", F.coalesce("_j", "_n")).alias("label"), "_old"), "labels")
-        moved = new.where("label <> _old").limit(1).count()
-        labels = new.select("a", "label")
-        if not moved:
-            break
-    else:
-        raise RuntimeError("components: the rounds did not suffice")
-    return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
-
-
 def resolve(edges: DataFrame, suppressed: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     """(groups to merge, edges to review). Components are those of all edges. A component above ``cap``, or one that holds a
     suppressed pair (a < b), isn't merged: its edges that aren't suppressed themselves go to review."""
