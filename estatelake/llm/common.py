@@ -1,44 +1,11 @@
-"""What several operators of this package share: the shared folder, fold rule, labelled samples and components."""
+"""What several operators of this package share: the fold rule and labelled samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset (local tests) a temporary folder is made and used for checkpoints too.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        sc = spark.sparkContext
-        held = sc._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else None
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="estatelake-")
-            sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends there, and lost executors don't
-    bring back the work before it."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (0 for a null id)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % F.lit(folds), F.lit(0))
@@ -48,8 +15,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """At most ``per_class`` (text, label) rows of each label, from ids outside the held-out fold.
 
     The rows come in the order of a hash of the id, so the sample is the same on every run. Null ids, texts and labels are
-    left out; an id with several labels counts with the largest. The chosen ids are a bounded list (two times
-    ``per_class``), so broadcasting them to the scan of ``docs`` is safe.
+    left out; an id with several labels counts with the largest, an id with several texts with one of them. The chosen ids
+    are a bounded list (two times ``per_class``), so broadcasting them to the scan of ``docs`` is safe, and of each id one
+    text comes to the driver, however often its row is repeated.
     """
     ids = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -66,35 +34,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
         .where(F.col("_text").isNotNull())
         .join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
-        .select("_h", "_id", "_y", "_text")
+        .groupBy("_h", "_id", "_y")
+        .agg(F.min("_text").alias("_text"))
         .collect()
     )
-    return [(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_h"], r["_id"], r["_text"]))][: 2 * per_class]
-
-
-def components(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
-    """Connected components of undirected ``edges`` (a, b): rows (node, component), the component being its least node.
-
-    Alternating large-star and small-star rounds, each a pair of groupings over edges; every round is written to the shared
-    folder. Nothing but one number a round comes to the driver. The rounds grow with the logarithm of the longest path. A
-    node with very many neighbours is met by ``min`` aggregates and a join that skew handling can split, never by a list.
-    """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: every larger neighbour of a node is tied to the least of its surroundings
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: every smaller neighbour, and the node, are tied to the least smaller neighbour
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = written(small.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct(), label)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components: the rounds did not suffice")
-    nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return [(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_h"], r["_id"]))]

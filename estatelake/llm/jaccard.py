@@ -1,12 +1,17 @@
 """N-gram Jaccard join by chosen paths.
 
-Documents are sets of hashed word n-grams. Copies (equal sets) are one class and only its least document goes on. A run
-splits the classes on a shared token sampled by each of four hash functions (the token that is least under it). Where more
-than BLOCK classes stay together, that bucket is not compared; its classes go through runs of eight tokens instead. A bucket
-is compared by brute force on sketches, a large one of eight tokens in blocks. Both kinds of run are repeated until two sets
-at the threshold meet in one at least with the wanted probability. Candidates form components; within a component each pair
-of classes is checked exactly on the whole n-gram sets, block by block, without writing pairs down: what leaves a block is
-each class's number of links and a spanning set of them.
+Documents are sets of hashed word n-grams. Copies (equal sets) are one class, and classes are what is compared. A path is a
+list of sampled tokens: under each of POOL hash functions the token that is least is a sample of the set, and two sets share
+it with the probability of their similarity. Each run splits the classes on a path of STEP tokens. A bucket of at most BLOCK
+classes is compared by brute force on sketches. A larger one is first held against pivots, some 256 of its own classes: all
+that are near to more than half of them are connected (any two have a near pivot in common), and if at most BLOCK others are
+left these are compared with the whole bucket, and it is done. If more are left, the bucket is split again: every class goes
+on by several branches, each with STEP more tokens chosen by the path, and the same holds for the buckets these lead to, at
+any depth. There are so many branches that a pair at the threshold stays together with a known probability however deep the
+recursion goes, and so many runs that it meets in one of them at least with the wanted probability.
+
+Candidates form components; within a component each pair of classes is checked exactly on the whole n-gram sets, block by
+block, without writing pairs down: what leaves a block is each class's number of links and a spanning set of them.
 """
 
 from __future__ import annotations
@@ -20,20 +25,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
+from ..storage import forget, written
 from .buffers import pieces, text_bytes
-from .common import components, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-SHORT_PATH, LONG_PATH, SKETCH = 4, 8, 128
-#: Classes of a bucket or component that are compared in one go.
-BLOCK = 512
+#: Tokens by which a path grows, hash functions at least, and those that make up a sketch.
+STEP, POOL, SKETCH = 4, 128, 128
+#: Classes of a bucket or component that are compared in one go; pivots and rows of a part of a larger bucket.
+BLOCK, PIVOTS, PART = 512, 256, 2048
+#: The probability, at least, that a pair at the threshold stays together from a split on, at any depth.
+KEPT = 0.9
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def runs_for(threshold: float, recall: float, depth: int = SHORT_PATH) -> int:
-    """Runs until sets of this similarity share a path of ``depth`` tokens with this probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
+def branches_for(threshold: float, kept: float = KEPT) -> tuple[int, float]:
+    """(branches of a split, probability that a pair at the threshold meets below it, at any depth). The probability is the
+    fixed point of q = 1 - (1 - s q) ** branches, s being that of sharing STEP tokens."""
+    s = threshold**STEP
+    for branches in range(math.ceil(1 / s), 10_000):
+        q = 1.0
+        for _ in range(1000):
+            q = 1 - (1 - s * q) ** branches
+        if q >= kept:
+            return branches, q
+    raise ValueError("the threshold is too low to split by")
+
+
+def runs_for(threshold: float, recall: float) -> int:
+    """Runs until sets of this similarity meet in a bucket that is compared with this probability, split or not."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**STEP * branches_for(threshold)[1])))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,12 +139,12 @@ def shingles(h: np.ndarray, counts: np.ndarray, words: int = WORDS) -> tuple[np.
     return x[new], text[new]
 
 
-def signatures(batch_text: pa.Array, runs: int, long_runs: int, words: int) -> dict[str, np.ndarray]:
-    """For each text: n (its n-grams), d1 and d2 (digests of the set), the paths of the short and of the long runs, and the sketch."""
+def signatures(batch_text: pa.Array, runs: int, words: int) -> dict[str, np.ndarray]:
+    """For each text: n (its n-grams), d1 and d2 (digests of the set), the pool of sampled tokens and the runs' first paths."""
     data, offsets = text_bytes(batch_text)
     n = len(offsets) - 1
     rng = np.random.default_rng(11)
-    k = max(SKETCH, runs * SHORT_PATH, long_runs * LONG_PATH)
+    k = max(POOL, runs * STEP)
     mult, add = (rng.integers(0, 1 << 32, size=k, dtype=np.uint32) | np.uint32(1) for _ in range(2))
     out = {"n": np.zeros(n, np.int64), "d1": np.zeros(n, np.uint64), "d2": np.zeros(n, np.uint64)}
     least = np.zeros((k, n), np.uint32)
@@ -138,15 +160,12 @@ def signatures(batch_text: pa.Array, runs: int, long_runs: int, words: int) -> d
         low = (x ^ (x >> np.uint64(32))).astype(np.uint32)
         for j in range(k):
             least[j, at] = np.minimum.reduceat(low * mult[j] + add[j], heads)
-    keys = []
-    for depth, number in ((SHORT_PATH, runs), (LONG_PATH, long_runs)):
-        p = np.zeros((n, number), np.uint64)
-        for r in range(number):
-            for j in range(r * depth, (r + 1) * depth):
-                p[:, r] = _mix(p[:, r] + least[j].astype(np.uint64) + np.uint64(j + 1))
-        keys.append(p.view(np.int64))
-    out["short"], out["long"] = keys
-    out["sketch"] = np.ascontiguousarray((least[:SKETCH] >> np.uint32(9)).astype(np.uint8).T)
+    paths = np.zeros((n, runs), np.uint64)
+    for r in range(runs):
+        for j in range(r * STEP, (r + 1) * STEP):
+            paths[:, r] = _mix(paths[:, r] + least[j].astype(np.uint64) + np.uint64(j + 1))
+    out["paths"] = paths.view(np.int64)
+    out["pool"] = np.ascontiguousarray(least.T)
     return out
 
 
@@ -155,20 +174,32 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
 
 
-def _signed(docs: DataFrame, runs: int, long_runs: int, words: int) -> DataFrame:
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    names = ["doc_id", "n", "d1", "d2", "short", "long", "sketch"]
+def _rows_as_binary(values: np.ndarray) -> pa.Array:
+    width = values.shape[1] * values.itemsize
+    at = pa.py_buffer((np.arange(len(values) + 1) * width).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, at, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _signed(docs: DataFrame, runs: int, words: int) -> DataFrame:
+    """(doc_id, th, n, d1, d2, paths, pool, sketch); th is a hash of the text, which tells apart rows that share an id."""
+    source = docs.select("doc_id", "th", "text")
+    names = ["doc_id", "th", "n", "d1", "d2", "paths", "pool", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                s = signatures(part.column(1), runs, long_runs, words)
-                sketch = pa.array([r.tobytes() for r in s["sketch"]], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s["n"]), pa.array(s["d1"].view(np.int64)), pa.array(s["d2"].view(np.int64)), _lists(s["short"]), _lists(s["long"]), sketch], names=names)
+                s = signatures(part.column(2), runs, words)
+                sketch = (s["pool"][:, :SKETCH] >> np.uint32(9)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s["n"]), pa.array(s["d1"].view(np.int64)), pa.array(s["d2"].view(np.int64)), _lists(s["paths"]), _rows_as_binary(s["pool"]), _rows_as_binary(sketch)], names=names)
 
     long = T.LongType()
-    kinds = [source.schema["doc_id"].dataType, long, long, long, T.ArrayType(long), T.ArrayType(long), T.BinaryType()]
+    kinds = [source.schema["doc_id"].dataType, long, long, long, long, T.ArrayType(long), T.BinaryType(), T.BinaryType()]
     return source.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
@@ -233,36 +264,129 @@ def _alike(sketch: np.ndarray, mine: np.ndarray, theirs: np.ndarray, same: bool,
     return np.concatenate(left), np.concatenate(right)
 
 
-def _candidates(buckets: DataFrame, least: int) -> DataFrame:
-    """Spanning candidate links within buckets (run, key, b1, b2, mine, rep, sketch), sorted by their first four columns."""
+def _in_small(buckets: DataFrame, least: int) -> DataFrame:
+    """Spanning candidate links (a, b) within buckets (path, cls, sketch), each compared by brute force."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, heads in _groups(batches, 4):
-            rep, mine = t.column("rep").to_numpy(), t.column("mine").to_numpy()
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            b1, b2 = t.column("b1").to_numpy(), t.column("b2").to_numpy()
-            sizes = np.diff(heads, append=len(rep))
+        for t, heads in _groups(batches, 1):
+            cls, sketch = t.column("cls").to_numpy(), _matrix(t.column("sketch"), np.uint8)
+            sizes = np.diff(heads, append=len(cls))
             a, b = [], []
-            two = heads[(sizes == 2) & (b1[heads] == b2[heads])]
+            two = heads[sizes == 2]
             if len(two):  # most buckets
                 ok = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= least]
-                a.append(rep[ok])
-                b.append(rep[ok + 1])
-            for h, n in zip(heads[(sizes > 2) | (b1[heads] != b2[heads])].tolist(), sizes[(sizes > 2) | (b1[heads] != b2[heads])].tolist(), strict=True):
+                a.append(cls[ok])
+                b.append(cls[ok + 1])
+            for h, n in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 rows = np.arange(n)
-                s = sketch[h : h + n]
-                if b1[h] == b2[h]:
-                    x, y = _alike(s, rows, rows, True, least)
-                else:
-                    m = mine[h : h + n]
-                    x, y = _alike(s, rows[m == b1[h]], rows[m == b2[h]], False, least)
+                x, y = _alike(sketch[h : h + n], rows, rows, True, least)
                 for i, j in _spanning(n, x, y):
-                    a.append(rep[h + i : h + i + 1])
-                    b.append(rep[h + j : h + j + 1])
+                    a.append(cls[h + i : h + i + 1])
+                    b.append(cls[h + j : h + j + 1])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return buckets.mapInArrow(run, "a long, b long")
+    return buckets.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+
+
+def _bipartite(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Components of the graph between the rows and the columns of a matrix: a column's number for each row (-1 for a row
+    without any) and for each column."""
+    columns = np.arange(near.shape[1])
+    while True:
+        rows = np.where(near, columns, near.shape[1]).min(axis=1, initial=near.shape[1])
+        new = np.minimum(columns, np.where(near, rows[:, None], near.shape[1]).min(axis=0, initial=near.shape[1]))
+        if (new == columns).all():
+            return np.where(rows < near.shape[1], rows, -1), columns
+        columns = new
+
+
+def _against(members: DataFrame, pivots: DataFrame, least: int) -> DataFrame:
+    """Members of large buckets (path, size, cls, sketch) held against pivots of theirs (path, size, cls, sketch), PART members
+    at a time: rows (null, a, b) of candidate links and (path, cls, null) for members that are near to half of the pivots or
+    fewer."""
+    parts = F.ceil(F.col("size") / F.lit(PART)).cast("int")
+    rows = members.select("path", F.pmod(F.xxhash64("cls", "path"), parts).cast("int").alias("part"), F.lit(1).alias("role"), "cls", "sketch")
+    rows = rows.unionByName(pivots.select("path", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), "cls", "sketch"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, heads in _groups(batches, 2):
+            path, role, cls, sketch = t.column("path").to_numpy(), t.column("role").to_numpy(), t.column("cls").to_numpy(), _matrix(t.column("sketch"), np.uint8)
+            for h, end in zip(heads.tolist(), [*heads[1:].tolist(), len(cls)], strict=True):
+                cut = h + int((role[h:end] == 0).sum())
+                near = np.zeros((end - cut, cut - h), bool)
+                for i in range(0, end - cut, 64):
+                    near[i : i + 64] = (sketch[cut + i : min(end, cut + i + 64)][:, None, :] == sketch[h:cut][None]).sum(axis=2) >= least
+                mine, theirs = _bipartite(near)
+                tied = np.flatnonzero(mine >= 0)
+                a, b = np.concatenate([cls[cut + tied], cls[h:cut]]), np.concatenate([cls[h + mine[tied]], cls[h + theirs]])
+                a, b = a[a != b], b[a != b]
+                far = cls[cut:end][near.sum(axis=1) * 2 <= cut - h]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None] * len(a) + [int(path[h])] * len(far), pa.int64()), pa.array(np.concatenate([a, far])), pa.array([*b.tolist(), *[None] * len(far)], pa.int64())], names=["path", "a", "b"]
+                )
+
+    rows = rows.repartition("path", "part").sortWithinPartitions("path", "part", "role")
+    return rows.mapInArrow(run, "path long, a long, b long")
+
+
+def _split(members: DataFrame, branches: int) -> DataFrame:
+    """(path, cls) one level deeper: each member (path, cls, pool) goes on by ``branches`` paths, STEP sampled tokens longer;
+    which ones is chosen by the path it comes from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, pool = batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2), np.uint32).astype(np.uint64)
+            out, rows = [], np.arange(len(path))
+            for j in range(branches):
+                new = _mix(path + np.uint64(j + 1) * MIX2)
+                for i in range(STEP):
+                    at = _mix(path ^ _mix(np.array([j * STEP + i + 1], np.uint64))) % np.uint64(pool.shape[1])
+                    new = _mix(new + pool[rows, at.astype(np.int64)] + np.uint64(i + 1))
+                out.append(new.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(batch.column(1).to_numpy(), branches))], names=["path", "cls"])
+
+    return members.select("path", "cls", "pool").mapInArrow(run, "path long, cls long")
+
+
+def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
+    """Candidate links (a, b) that hold every pair at the threshold in one component, but for the recall."""
+    # sketches within four standard errors of the threshold count as candidates
+    least = math.floor(SKETCH * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)))
+    branches, _ = branches_for(threshold)
+    sketches, pools = classes.select("cls", "sketch"), classes.select("cls", "pool")
+    paths, links, small, done = classes.select("cls", F.explode("paths").alias("path")), [], [], []
+    while True:
+        sizes = written(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        met = written(paths.join(sizes, "path"), "met")
+        forget(sizes, *done)
+        done = [met]
+        small.append(met.where(F.col("size") <= BLOCK).select("path", "cls"))
+        large = met.where(F.col("size") > BLOCK)
+        if not large.limit(1).count():
+            break
+        members = written(large.join(sketches, "cls"), "members")
+        pivots = members.where(F.pmod(F.xxhash64("path", "cls"), F.col("size")) < PIVOTS)
+        held = written(_against(members, pivots, least), "held")
+        links.append(held.where("b is not null").select("a", "b"))
+        others = held.where("b is null").select("path", F.col("a").alias("cls"))
+        left = written(others.groupBy("path").agg(F.count("*").alias("left")), "left")
+        few, many = left.where(F.col("left") <= BLOCK).select("path"), left.where(F.col("left") > BLOCK).select("path")
+        rest = members.join(few, "path", "left_semi")
+        links.append(_against(rest, rest.join(others, ["path", "cls"], "left_semi"), least).where("b is not null").select("a", "b"))
+        paths = _split(large.join(many, "path", "left_semi").join(pools, "cls"), branches)
+        small[-1] = written(small[-1], "small")
+        links[-1] = written(links[-1], "links")
+        done += [members, left]
+    buckets = small[0]
+    for part in small[1:]:
+        buckets = buckets.unionByName(part)
+    out = _in_small(buckets.join(sketches, "cls").select("path", "cls", "sketch"), least)
+    for part in links:
+        out = out.unionByName(part)
+    return out
 
 
 def _in_blocks(df: DataFrame, size: str, key: str) -> DataFrame:
@@ -275,7 +399,7 @@ def _in_blocks(df: DataFrame, size: str, key: str) -> DataFrame:
 
 
 def _linked(texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Exact links within pairs of blocks (comp, b1, b2, mine, rep, copies, text), sorted: rows (a, null, weight) with each
+    """Exact links within pairs of blocks (comp, b1, b2, mine, cls, copies, text), sorted: rows (a, null, weight) with each
     class's documents linked to it there, and (a, b, null) of a spanning set."""
     bar = round(threshold * 10_000)
 
@@ -311,10 +435,10 @@ def _linked(texts: DataFrame, words: int, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, heads in _groups(batches, 3):
-            rep, copies, mine = (t.column(c).to_numpy() for c in ("rep", "copies", "mine"))
+            cls, copies, mine = (t.column(c).to_numpy() for c in ("cls", "copies", "mine"))
             b1, b2, texts = t.column("b1").to_numpy(), t.column("b2").to_numpy(), t.column("text").combine_chunks()
             a, b, w = [], [], []
-            for h, n in zip(heads.tolist(), np.diff(heads, append=len(rep)).tolist(), strict=True):
+            for h, n in zip(heads.tolist(), np.diff(heads, append=len(cls)).tolist(), strict=True):
                 s = sets(texts.slice(h, n))
                 size = np.array([len(x) for x in s])
                 rows = np.arange(n)
@@ -335,8 +459,8 @@ def _linked(texts: DataFrame, words: int, threshold: float) -> DataFrame:
                 linked = np.flatnonzero(gain)
                 x, y = np.nonzero(ok)
                 span = _spanning(n, left[x], right[y])
-                a += [*rep[h + linked].tolist(), *(int(rep[h + i]) for i, _ in span)]
-                b += [*[None] * len(linked), *(int(rep[h + j]) for _, j in span)]
+                a += [*cls[h + linked].tolist(), *(int(cls[h + i]) for i, _ in span)]
+                b += [*[None] * len(linked), *(int(cls[h + j]) for _, j in span)]
                 w += [*gain[linked].tolist(), *[None] * len(span)]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.int64())], names=["a", "b", "w"])
@@ -344,58 +468,73 @@ def _linked(texts: DataFrame, words: int, threshold: float) -> DataFrame:
     return texts.mapInArrow(run, "a long, b long, w long")
 
 
+def _joined(docs: DataFrame, words: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(rows (doc_id, th, n, d1, d2) of all documents, classes (d1, d2, n, rep, rep_th, copies, first, first_th, links)): rep is
+    the least id of the class and first that of its component, each with its text's hash; both are written tables."""
+    runs = runs_for(threshold, recall)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    signed = written(_signed(rows, runs, words), "signatures")
+    worded = signed.where("doc_id is not null and n > 0")
+    least = F.min(F.struct("doc_id", "th"))
+    classes = worded.groupBy("d1", "d2", "n").agg(least.alias("_of"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch"))
+    # numbered once and written, so the numbers stay
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "d1", "d2", "n", F.col("_of.doc_id").alias("rep"), F.col("_of.th").alias("rep_th"), "copies", "paths", "pool", "sketch"), "classes")
+    groups = components(_candidates(classes, threshold), "candidates")
+    sizes = written(groups.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    members = groups.join(sizes, "component").select(F.col("component").alias("comp"), F.col("node").alias("cls"), "size")
+    members = written(members.join(classes.select("cls", "rep", "rep_th", "copies"), "cls"), "members")
+    texts = rows.select("doc_id", "th", "text").join(members, (rows["doc_id"] == members["rep"]) & (rows["th"] == members["rep_th"]))
+    # one text for each class, however often its row is repeated
+    texts = texts.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("comp", "size", "copies", "text")])
+    texts = _in_blocks(texts, "size", "cls").select("comp", "b1", "b2", "mine", "cls", "copies", "text")
+    texts = texts.repartition("comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2")
+    links = written(_linked(texts, words, threshold), "links")
+    linked = links.where("w is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("w").alias("w"))
+    found = components(links.where("b is not null").select("a", "b"), "linked").select(F.col("node").alias("cls"), "component")
+    grouped = written(found.join(classes.select("cls", F.struct("rep", "rep_th").alias("_of")), "cls"), "grouped")
+    first = written(grouped.groupBy("component").agg(F.min("_of").alias("_first")), "first")
+    info = classes.select("cls", "d1", "d2", "n", "rep", "rep_th", "copies").join(linked, "cls", "left").join(grouped.join(first, "component").select("cls", "_first"), "cls", "left")
+    first_of = lambda c: F.coalesce(F.col(f"_first.{c}"), F.col(c))
+    info = info.select("d1", "d2", "n", "rep", "rep_th", "copies", first_of("rep").alias("first"), first_of("rep_th").alias("first_th"), (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("links"))
+    info = written(info, "joined")
+    forget(classes, sizes, members, links, grouped, first)
+    return signed.select("doc_id", "th", "n", "d1", "d2"), info
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Per document: doc_id, class_id, copy_id, n_links.
+    """Per row of ``docs``: doc_id, class_id, copy_id, n_links.
 
     ``class_id`` is the least id of all documents that links reach from this one, ``copy_id`` the least id with the same set
     of n-grams, ``n_links`` the number of other documents at the threshold or above, copies included. Words are runs of
-    ASCII letters and digits (case aside) and characters beyond ASCII. A text without words, or null, links to nothing. A
-    null id is in no class (null) and has no links; rows that repeat an id are copies of one document when their texts
-    agree, and join their classes when not. The ids must be whole numbers.
+    ASCII letters and digits (case aside) and characters beyond ASCII; a text of fewer words than an n-gram is one n-gram. A
+    text without words, or null, links to nothing and is a class of its own. A null id is in no class (null) and has no
+    links. Rows that repeat an id and its text are copies of each other; rows that share an id but not the text are
+    documents of their own. Ids may be of any type that can be ordered. Other columns are not looked at; an empty table
+    gives an empty one.
     """
-    # a pair is missed if no short run brings it together, or only ones in crowded buckets and no long run either
-    each = 1 - (1 - recall) / 2
-    runs, long_runs = (runs_for(threshold, each, depth) for depth in (SHORT_PATH, LONG_PATH))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(_signed(ids, runs, long_runs, words), "signatures")
-    worded = signed.where("doc_id is not null and n > 0")
-    classes = worded.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("short").alias("short"), F.first("long").alias("long"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
-    short = classes.select("rep", F.posexplode("short").alias("run", "key"))
-    met = short.join(short.groupBy("run", "key").agg(F.count("*").alias("size")).where("size > 1"), ["run", "key"])
-    near = met.where(F.col("size") <= BLOCK).select("run", "key", "size", "rep")
-    crowded = written(met.where(F.col("size") > BLOCK).select("rep").distinct(), "crowded")
-    # numbered from -1 down, apart from the short runs
-    long = classes.join(crowded, "rep").select("rep", F.posexplode("long").alias("run", "key")).withColumn("run", -1 - F.col("run"))
-    far = long.join(long.groupBy("run", "key").agg(F.count("*").alias("size")).where("size > 1"), ["run", "key"]).select("run", "key", "size", "rep")
-    buckets = near.unionByName(far).join(classes.select("rep", "sketch"), "rep")
-    buckets = _in_blocks(buckets, "size", "rep").select("run", "key", "b1", "b2", "mine", "rep", "sketch")
-    buckets = buckets.repartition("run", "key", "b1", "b2").sortWithinPartitions("run", "key", "b1", "b2")
-    # sketches within four standard errors of the threshold count as candidates
-    least = math.floor(SKETCH * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)))
-    candidates = components(_candidates(buckets, least), "candidates")
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
-    members = candidates.join(sizes, "component").select(F.col("component").alias("comp"), F.col("node").alias("rep"), "size")
-    members = members.join(classes.groupBy("rep").agg(F.max("copies").alias("copies")), "rep")
-    texts = ids.join(members, ids["doc_id"] == members["rep"]).select("comp", "rep", "size", "copies", "text")
-    texts = _in_blocks(texts, "size", "rep").select("comp", "b1", "b2", "mine", "rep", "copies", "text")
-    texts = texts.repartition("comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2")
-    links = written(_linked(texts, words, threshold), "links")
-    linked = links.where("w is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
-    found = components(links.where("b is not null").select("a", "b"), "linked")
-    info = classes.select("d1", "d2", "n", "rep", "copies").join(linked, "rep", "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    info = written(info.select("d1", "d2", "n", "rep", F.coalesce("component", "rep").alias("_class"), (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("_links")), "joined")
-    out = signed.select("doc_id", "d1", "d2", "n").join(info, ["d1", "d2", "n"], "left")
+    rows, info = _joined(docs, words, threshold, recall)
+    out = rows.select("doc_id", "d1", "d2", "n").join(info, ["d1", "d2", "n"], "left")
     known = F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
-        F.when(known, F.coalesce("_class", "doc_id")).alias("class_id"),
+        F.when(known, F.coalesce("first", "doc_id")).alias("class_id"),
         F.when(known, F.coalesce("rep", "doc_id")).alias("copy_id"),
-        F.when(known, F.coalesce("_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents whose class has a lesser one; rows with a null id stay."""
-    gone = jaccard_join(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of each linked group: that of the least id, of one id that of the least text hash, of rows that
+    are equal in both any one. Rows with a null id, or without words, stay, all of them."""
+    rows, info = _joined(docs, words, threshold, recall)
+    of = rows.join(info.where("copies > 1 or first <> rep or first_th <> rep_th"), ["d1", "d2", "n"])
+    wins = (F.col("doc_id") == F.col("first")) & (F.col("th") == F.col("first_th"))
+    of = of.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.max(wins).alias("__wins"), F.count("*").alias("__n"))
+    marked = written(of.where("not __wins or __n > 1"), "marked")
+    again = marked.where("__wins")
+    out = docs.join(marked, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th")), "left")
+    once = out.where("__id is null").select(*docs.columns)
+    if not again.limit(1).count():
+        return once
+    repeated = out.where("__wins").dropDuplicates(["__id", "__th"]).select(*docs.columns)
+    return once.unionByName(repeated)

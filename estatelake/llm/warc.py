@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from ..storage import folder as new_folder, written
 
 #: An archive is closed beyond this size; ranges with smaller gaps are read at once, up to READ bytes.
 ARCHIVE, GAP, READ = 512 << 20, 64 << 10, 8 << 20

@@ -10,7 +10,8 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from estatelake.llm import common, decontaminate, html_text, jaccard, lines, quality, secrets, sentencepieces, topk, toxicity, warc
+from estatelake import storage
+from estatelake.llm import decontaminate, html_text, jaccard, lines, quality, secrets, sentencepieces, topk, toxicity, warc
 from estatelake.llm.queries import model_file
 
 SF = Path("/root/testdata/sf0.01")
@@ -391,8 +392,9 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, block):
     assert got == brute_links(docs)
 
 
-def test_jaccard_finds_lone_pairs_in_crowded_buckets(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 1)  # every shared bucket counts as crowded
+def test_jaccard_finds_lone_pairs_however_deep_the_split(spark, monkeypatch):
+    for name, value in (("BLOCK", 1), ("PIVOTS", 1)):  # every shared bucket counts as large and is split
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
     docs = []
@@ -405,13 +407,55 @@ def test_jaccard_finds_lone_pairs_in_crowded_buckets(spark, monkeypatch):
     assert sum(got[i + 1] == i for i in range(0, 800, 2)) >= 396
 
 
+def test_jaccard_in_crowded_buckets(spark, monkeypatch):
+    """A passage that all share, lone pairs at 0.8 and a dense group beyond one block: buckets are split, and done by pivots."""
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    monkeypatch.setattr(jaccard, "PIVOTS", 24)
+    monkeypatch.setattr(jaccard, "PART", 50)
+    splits = []
+    split = jaccard._split
+    monkeypatch.setattr(jaccard, "_split", lambda m, b: splits.append(1) or split(m, b))
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    shared, docs = [word() for _ in range(60)], []
+    for i in range(0, 300, 2):  # half of each text is the passage
+        w = [*shared, *(word() for _ in range(60))]
+        docs.append((i, " ".join(w)))
+        docs.append((i + 1, " ".join([*w[:75], word(), *w[76:105], word(), *w[106:]])))
+    base = [word() for _ in range(150)]
+    for i in range(300, 460):  # near copies of one text
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(150)] = word()
+        docs.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_links(docs)
+    assert splits and sum(got[i] == want[i] for i in want) >= len(want) - 4
+
+
+def test_branches_and_runs():
+    branches, kept = jaccard.branches_for(0.8)
+    s = 0.8**jaccard.STEP
+    assert kept >= jaccard.KEPT and abs(kept - (1 - (1 - s * kept) ** branches)) < 1e-9
+    assert 1 - (1 - s * kept) ** jaccard.runs_for(0.8, 0.999) >= 0.999
+
+
 def test_jaccard_over_awkward_rows(spark):
     docs = awkward(spark)
     got = {r["doc_id"]: tuple(r)[1:] for r in jaccard.jaccard_join(docs).collect()}
-    assert got[5] == (4, 4, 1) and got[None] == (None, None, 0) and got[1] == (1, 1, 0) and got[3] == (3, 3, 0)
+    assert got[5] == (4, 4, 1) and got[None] == (None, None, 0) and got[1] == (1, 1, 0) and got[3] == (3, 3, 0) and got[6] == (6, 6, 1)
     kept = jaccard.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "6", "7", "8", "None"]
-    assert jaccard.jaccard_join(docs.limit(0)).count() == 0
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "8", "None"]
+    assert jaccard.jaccard_join(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_a_group_stays_by_row(spark):
+    text, other = "one text of a few words that is told", "something else that is not the same at all"
+    docs = spark.createDataFrame([("b", text, 1), ("a", other, 2), ("c", text, 3), ("c", "a third thing, told in words of its own entirely", 4), ("c", text, 5), ("d", "alone by itself", 6)], "doc_id string, text string, n_chars long")
+    kept = sorted(r["n_chars"] for r in jaccard.keep_one(docs).collect())
+    assert kept == [1, 2, 4, 6]  # the id c loses its copies and keeps its own text
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(docs).collect())
+    assert got == [("a", "a", 0), ("b", "b", 2), ("c", "b", 2), ("c", "b", 2), ("c", "c", 0), ("d", "d", 0)]
 
 
 def test_a_text_in_pieces_has_the_same_ngrams():
@@ -429,13 +473,6 @@ def test_a_text_in_pieces_has_the_same_ngrams():
     assert len(whole) == len(parts) == 1 and (whole[0] == parts[0]).all()
 
 
-def test_components(spark):
-    e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 30)] + [(5, 5)], "a long, b long")
-    got = {r["node"]: r["component"] for r in common.components(e, "t").collect()}
-    assert {got[i] for i in range(61)} == {0} and {got[200 + i] for i in range(30)} == {200}
-    assert common.components(e.limit(0), "t").count() == 0
-
-
 # secrets
 
 
@@ -472,7 +509,7 @@ def test_pipeline_stages(spark):
 
     docs, seen = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = common.written(stage(spark, docs, "/root/testdata/sf0.001"), name)
+        out = storage.written(stage(spark, docs, "/root/testdata/sf0.001"), name)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         docs = out
         seen.append(docs.count())
