@@ -4,6 +4,7 @@ Each task writes its pages as one-record gzip members to archives of its own in
 (archive, offset, length, url, digest, ...) for each record. Reading starts from the index: selected rows are dealt by
 (archive, offset) ranges, neighbouring byte ranges are coalesced, and each read is cut into its records again. An archive's
 name holds a fresh token, so a task that runs twice leaves an archive that no index row names, and nothing is half read.
+Readers are as many as the selected records' bytes ask for.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import folder as new_folder, written
 
 #: An archive is closed beyond this size; ranges with smaller gaps are read at once, up to READ bytes.
 ARCHIVE, GAP, READ = 512 << 20, 64 << 10, 8 << 20
+#: Bytes of records that one task reads; where that makes few tasks, as little as LEAST bytes each.
+TASK, LEAST = 128 << 20, 256 << 10
 EOL = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
@@ -64,16 +67,23 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def _types(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, url, html, first): ``first`` is the smallest id with an equal payload, null where the record has no equal,
-    is that page itself, or is shorter than ``least`` bytes."""
+    """(page_id, url, html, first): ``first`` is the smallest id with an equal payload, null for the response itself, for a
+    record without an equal or with one shorter than ``least`` bytes. Of rows that share the smallest id one is the response."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
     key: list[Column] = [F.sha1(F.encode("html", "UTF-8")).alias("_sha"), F.octet_length("html").alias("_len")]
-    firsts = p.select("page_id", *key).where(F.col("_len") >= least).groupBy("_sha", "_len").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
+    rows = p.select("page_id", *key).where(F.col("_len") >= least).groupBy("_sha", "_len", "page_id").agg(F.count("*").alias("_n"))
+    firsts = rows.groupBy("_sha", "_len").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "_n"))).alias("_of"), F.sum("_n").alias("_n"))
     # written first, so that the join below is between two plain tables and a payload of very many pages can be split
-    firsts = written(firsts.where("_n > 1 and _first is not null").select("_sha", "_len", "_first"), "payloads")
+    firsts = written(firsts.where("_n > 1 and _of is not null").select("_sha", "_len", F.col("_of.page_id").alias("_first"), (F.col("_of._n") > 1).alias("_twice")), "payloads")
     joined = p.select("*", *key).join(firsts, ["_sha", "_len"], "left")
-    return joined.select("page_id", "url", "html", F.expr("case when page_id is null or page_id <> _first then _first end").alias("first"))
+    tied = F.coalesce((F.col("page_id") == F.col("_first")) & F.col("_twice"), F.lit(False))
+    out = joined.where(~tied).select("page_id", "url", "html", F.expr("case when page_id is null or page_id <> _first then _first end").alias("first"))
+    if not firsts.where("_twice").limit(1).count():
+        return out
+    place = F.row_number().over(Window.partitionBy("_sha", "_len").orderBy("url"))
+    again = joined.where(tied).select("page_id", "url", "html", place.alias("_place"), "_first")
+    return out.unionByName(again.select("page_id", "url", "html", F.expr("case when _place > 1 then _first end").alias("first")))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -81,9 +91,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     written table.
 
     Of records with equal payloads of at least ``least`` bytes the one with the smallest page_id is the response and the
-    others revisit it. A null page_id comes after all others; pages that all lack an id are all responses, and so are rows
-    that repeat the response's id. Null html is an empty payload; a null url leaves its header out. Other columns are not
-    archived.
+    others revisit it; of rows that share that id the one with the least url is the response. A null page_id comes after all
+    others; pages that all lack an id are all responses, for there is no id to refer to. Null html is an empty payload; a null
+    url leaves its header out. Other columns are not archived, whatever their names; an empty table gives an empty index.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
 
@@ -132,10 +142,14 @@ def read_archives(index: DataFrame, folder: str | None = None) -> DataFrame:
     """The records that ``index`` rows select: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     A response's payload is hashed again and must agree with its header, a revisit's payload is null and its length and
-    digest are those of the full payload. An empty index reads nothing.
+    digest are those of the full payload. An empty index reads nothing; a row that stands twice in it is read twice.
     """
     selected = index.select("archive", "offset", "length", F.lit(folder).alias("folder") if folder else F.col("folder"))
-    selected = selected.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK), min(total // LEAST, 4 * index.sparkSession.sparkContext.defaultParallelism))
+    # slices of an archive go to tasks; a number keeps adaptive execution from merging them, for a row stands for many bytes
+    piece = F.floor(F.col("offset") / F.lit(max(LEAST, min(READ, total // tasks // 2))))
+    selected = selected.repartition(tasks, "archive", piece).sortWithinPartitions("archive", "offset")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 

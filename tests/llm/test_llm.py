@@ -163,7 +163,7 @@ def test_warc_round_trip(spark, tmp_path):
         assert r["payload_bytes"] == len(payload) and r["payload_digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
         assert r["payload"] is None or bytes(r["payload"]) == payload
     kind = lambda i: (got[i][0]["record_type"], got[i][0]["refers_to"])
-    assert kind(1) == ("response", None) and kind(2) == ("revisit", 1) and kind(None) == ("revisit", 1) and kind(3) == ("response", None) and kind(4) == ("revisit", 3) and [r["record_type"] for r in got[7]] == ["response"] * 2
+    assert kind(1) == ("response", None) and kind(2) == ("revisit", 1) and kind(None) == ("revisit", 1) and kind(3) == ("response", None) and kind(4) == ("revisit", 3) and sorted((r["record_type"], r["refers_to"]) for r in got[7]) == [("response", None), ("revisit", 7)]
     some = warc.read_archives(index.where("page_id in (2, 5)")).collect()
     assert sorted(r["page_id"] for r in some) == [2, 5]
     assert {r["record_type"] for r in warc.read_archives(warc.write_archives(pages.where("page_id in (3, 4)"), least=1)).collect()} == {"response"}
@@ -173,22 +173,43 @@ def test_warc_round_trip(spark, tmp_path):
 # exact search
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_top_k_equals_brute_force(spark, seed):
     rng = np.random.default_rng(seed)
-    x = rng.normal(size=(400, 6)) * (1 if seed else 0.02)
+    x = rng.normal(size=(400, 6)) * (0.02, 1, 3e5, 4.0)[seed]
+    if seed == 3:  # clusters
+        x[:] = rng.normal(size=(5, 6))[rng.integers(0, 5, 400)] * 10 + x / 100
     x[50:120] = x[50]  # many equal vectors: ties
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    bad = [(1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (None, [1.0] * 6), (1200, []), (1250, [2.0, 3.0])]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows + bad + rows[:3]], "vec_id long, embedding array<double>, rank int")
-    got = [tuple(r) for r in topk.top_k(df, data_block=90, query_block=3).orderBy("query_id", "rank").collect()]
-    q = np.floor(x * 256).astype(int)
+    rows += rows[:3] + [(100, rows[7][1])]  # a query's row twice, and an id with two vectors
+    bad = [(1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (None, [1.0] * 6), (1200, []), (1250, [2.0, 3.0]), (1300, [1e200] * 6)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows + bad], "vec_id long, embedding array<double>, rank int")
+    got = sorted(tuple(r) for r in topk.top_k(df, block_bytes=2000, cells=7).collect())
+    q = [(i, [int(np.floor(v * 256)) for v in e]) for i, e in rows]
     want = []
-    for i in range(0, 400, 50):
-        best = sorted((-int(q[i] @ q[j]), j) for j in range(400) if j != i)[:5]
-        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    assert got == want
-    assert topk.top_k(df.limit(0)).count() == 0
+    for a, (i, e) in enumerate(q):
+        if i % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(e, f, strict=True)), j) for b, (j, f) in enumerate(q) if b != a)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+    assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id = 3")).count() == 0
+
+
+def test_cover_tree_covers_and_prunes():
+    rng = np.random.default_rng(1)
+    x = np.floor(256 * (rng.normal(size=(40, 64))[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 64)) / 50)).astype(np.int32)
+    tree = topk.CoverTree(x)
+    inner = [i for i, b in enumerate(tree.below) if b is not None]
+    assert inner
+    for i in inner:
+        rows, kids = tree.rows[i], tree.below[i]
+        assert sorted(np.concatenate([tree.rows[c] for c in kids]).tolist()) == sorted(rows.tolist())
+        centres = x[[tree.centre[c] for c in kids]].astype(float)
+        apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)) + 1e9 * np.eye(len(kids))
+        assert apart.min() > tree.radius[i] / 2 and all(tree.radius[c] <= tree.radius[i] / 2 + 1e-6 for c in kids)
+    tally, own = [0], np.arange(6000)
+    topk.dual_search(x[::50], own[::50], x, own, own, 5, tally=tally)
+    assert tally[0] < 0.1 * 120 * 6000  # of all pairs
 
 
 # lines
