@@ -483,7 +483,8 @@ def _joined(docs: DataFrame, words: int, threshold: float, recall: float) -> tup
     sizes = written(groups.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     members = groups.join(sizes, "component").select(F.col("component").alias("comp"), F.col("node").alias("cls"), "size")
     members = written(members.join(classes.select("cls", "rep", "rep_th", "copies"), "cls"), "members")
-    texts = rows.select("doc_id", "th", "text").join(members, (rows["doc_id"] == members["rep"]) & (rows["th"] == members["rep_th"]))
+    # one way at every size: members grow with the input
+    texts = rows.select("doc_id", "th", "text").join(members.hint("merge"), (rows["doc_id"] == members["rep"]) & (rows["th"] == members["rep_th"]))
     # one text for each class, however often its row is repeated
     texts = texts.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("comp", "size", "copies", "text")])
     texts = _in_blocks(texts, "size", "cls").select("comp", "b1", "b2", "mine", "cls", "copies", "text")
@@ -532,7 +533,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
     of = of.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.max(wins).alias("__wins"), F.count("*").alias("__n"))
     marked = written(of.where("not __wins or __n > 1"), "marked")
     again = marked.where("__wins")
-    out = docs.join(marked, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th")), "left")
+    out = docs.join(marked.hint("merge"), (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th")), "left")
     once = out.where("__id is null").select(*docs.columns)
     if not again.limit(1).count():
         return once
