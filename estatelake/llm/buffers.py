@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+#: Bytes after which a text may be cut, by default: white space.
+BLANK = np.arange(256) <= 32
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -20,9 +22,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8), offsets
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _cut(data: np.ndarray, cut: int, end: int, piece: int, after: tuple[np.ndarray, ...]) -> int:
+    """Where to cut at ``cut`` or beyond: after a byte of the first kind within another ``piece``, or else of the next one,
+    the last kind up to the text's end. Nothing is ever cut in its middle."""
+    for i, kind in enumerate(after):
+        last = i == len(after) - 1
+        for at in range(cut, end if last else min(end, cut + piece), piece):
+            found = np.flatnonzero(kind[data[at : min(end, at + piece)]])
+            if len(found):
+                return at + int(found[0]) + 1
+    return end
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE, after: tuple[np.ndarray, ...] = (BLANK,)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(text numbers, starts, ends) of runs of about ``piece`` bytes in all; a longer text comes in several pieces, each cut
-    after white space where there is any within another ``piece``."""
+    after a byte that ``after`` names (tables of 256, the most wanted first)."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + piece, side="right")) - 1
@@ -35,8 +49,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> Iterato
         while at < end:
             cut = min(end, at + piece)
             if cut < end:
-                gap = np.flatnonzero(data[cut : min(end, cut + piece)] <= 32)
-                cut = cut + int(gap[0]) + 1 if len(gap) else min(end, cut + piece)
+                cut = _cut(data, cut - 1, end, piece, after)
             yield np.array([i]), np.array([at]), np.array([cut])
             at = cut
         i += 1

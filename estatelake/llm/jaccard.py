@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import components
 from ..storage import forget, written
-from .buffers import pieces, text_bytes
+from .buffers import BLANK, pieces, text_bytes
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Tokens by which a path grows, hash functions at least, and those that make up a sketch.
@@ -110,7 +110,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 def documents(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(text numbers, word hashes, words of each text) for runs of whole texts."""
     held: list[np.ndarray] = []
-    for docs, starts, ends in pieces(data, offsets):
+    for docs, starts, ends in pieces(data, offsets, after=(BLANK, TABLE == 0)):
         h, text = word_hashes(data, starts, ends)
         if len(docs) == 1 and int(ends[-1]) < int(offsets[docs[0] + 1]):
             held.append(h)

@@ -1,21 +1,23 @@
-"""Toxicity: a support vector machine on a gapped-subsequence string kernel, with Nystrom landmarks.
+"""Toxicity: a support vector machine on a gapped-subsequence string kernel, with Nystrom landmarks, over sentences.
 
-The kernel of two tokens counts their common subsequences of three letters, gaps allowed, each weighted by DECAY to the
-power of the stretch it spans in either token (SPAN letters at most), divided by both tokens' norms. A letter put into an
-insult leaves most of its subsequences in place, so the kernel stays high. Punctuation inside a token is dropped, some
-digits read as letters, and letters that stand alone in a row join to one token, so that spaced-out insults are tokens too.
+The kernel of two units counts their common subsequences of three letters, gaps allowed, each weighted by DECAY to the power
+of the stretch it spans in either unit (SPAN letters at most), divided by a norm for either unit's length (that of a unit
+whose subsequences are all distinct). A letter put into an insult leaves most of its subsequences in place, so the kernel
+stays high. Units are a sentence's words and its pairs of neighbouring words, so that an insult or threat of two words, or a
+word that is torn apart, counts as a whole. Punctuation inside a word is dropped, some digits read as letters, and letters
+that stand alone in a row join to one word.
 
 A machine over m landmarks is linear in the subsequences: once trained, its weights fold into one table with a value for
-each subsequence, and a token's decision is a sum of table entries. A sentence scores as its worst token and a document by
-its worst sentence and by how much of it lies above the margin, so scoring is linear in the text and of bounded memory.
+each subsequence, and a unit's decision is a sum of table entries. A sentence scores as its worst unit, a document by its
+worst sentence and by how much of it lies above the margin, so scoring is linear in the text and of bounded memory.
 
-Training is multiple-instance learning on labelled sentences: each sentence inherits its document's label, and in toxic
-documents the tokens that the machine itself finds worst are the positive examples, re-chosen over a few rounds.
+The machine is trained on labelled sentences: each sentence inherits its document's label and is represented by its worst
+unit as the machine sees it. Every sentence of a clean document is a negative example; of a toxic document, where most
+sentences are harmless, the worst ones are the positive examples, re-chosen in each round.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buffers import pieces, text_bytes
+from .buffers import BLANK, pieces, text_bytes
 from .common import fold, labelled_sample
 
 LETTERS, SPAN, DECAY, SPACE = 40, 7, 0.6, 255
 FOLDS, HELD = 5, 0
-#: The model is fitted on at most this many labelled documents of each class.
+#: The model is fitted on at most this many labelled documents of each class, whole texts.
 PER_CLASS = 700
 LANDMARKS = 160
-#: Of words that occur in one clean document of the sample this many take part in the fit.
-OWN_WORDS = 40_000
+#: A sentence ends at a line's end, or at white space after one of these.
+ENDS = np.isin(np.arange(256), list(b".!?"))
+NEWLINE = np.arange(256) == 10
+#: Long texts are cut at a line's end, or else after white space.
+AFTER = (NEWLINE, BLANK)
 
 
 def _letter_table() -> np.ndarray:
@@ -52,35 +57,58 @@ def _letter_table() -> np.ndarray:
 TABLE = _letter_table()
 
 
-def tokens_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(letters, where each token begins, text of each token) for texts that lie side by side in ``data``; a token begins
-    with a mark, so that beginnings of words are subsequences of their own."""
-    lo, hi = int(starts[0]), int(ends[-1])
-    codes = TABLE[data[lo:hi]]
-    first = np.zeros(hi - lo + 1, bool)
-    first[starts - lo] = True
-    # a boundary before a letter: white space since the letter before, or another text
-    boundary = np.cumsum((codes == SPACE) | first[:-1], dtype=np.int32)
-    keep = (codes != 0) & (codes != SPACE)
-    letters, part = codes[keep], boundary[keep]
-    if not len(letters):
-        return letters, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    heads = np.flatnonzero(np.diff(part, prepend=part[0] - 1))
-    place = np.flatnonzero(keep)[heads] + lo
-    text = np.searchsorted(starts, place, side="right") - 1
-    lengths = np.diff(heads, append=len(letters))
-    joined = np.zeros(len(heads), bool)
-    joined[1:] = (lengths[1:] == 1) & (lengths[:-1] == 1) & (text[1:] == text[:-1])
-    heads, text = heads[~joined], text[~joined]
-    marked = np.zeros(len(letters) + len(heads), np.uint8)  # class 0 stands before each token
-    number = np.zeros(len(letters), np.int64)
-    number[heads] = 1
-    marked[np.arange(len(letters)) + np.cumsum(number)] = letters
-    return marked, heads + np.arange(len(heads)), text
-
-
-def _norms(most: int) -> np.ndarray:
-    """The norm of a token by its length, as if its subsequences were distinct."""
+class Words:
+    """Words of texts side by side: ``letters`` with a mark (class 0) before each word, so that beginnings of words are
+    subsequences of their own; of each word its first place, its text and its sentence, both numbered from 0."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        lo, hi = int(starts[0]), int(ends[-1])
+        raw = data[lo:hi]
+        codes = TABLE[raw]
+        blank = codes == SPACE
+        first = np.zeros(hi - lo + 1, bool)
+        first[starts - lo] = True
+        # a boundary before a letter: white space since the letter before, or another text
+        boundary = np.cumsum(blank | first[:-1], dtype=np.int32)
+        stop = first[:-1] | NEWLINE[raw]
+        stop[1:] |= blank[1:] & ENDS[raw[:-1]]
+        sentence = np.cumsum(stop, dtype=np.int32)
+        keep = (codes != 0) & ~blank
+        letters, part = codes[keep], boundary[keep]
+        self.letters, self.heads, self.text, self.sentence = letters, *(np.zeros(0, np.int64) for _ in range(3))
+        if not len(letters):
+            return
+        heads = np.flatnonzero(np.diff(part, prepend=part[0] - 1))
+        place = np.flatnonzero(keep)[heads]
+        sentence = sentence[place]
+        text = np.searchsorted(starts, place + lo, side="right") - 1
+        lengths = np.diff(heads, append=len(letters))
+        joined = np.zeros(len(heads), bool)
+        joined[1:] = (lengths[1:] == 1) & (lengths[:-1] == 1) & (sentence[1:] == sentence[:-1])
+        heads, text, sentence = heads[~joined], text[~joined], sentence[~joined]
+        marked = np.zeros(len(letters) + len(heads), np.uint8)
+        number = np.zeros(len(letters), np.int64)
+        number[heads] = 1
+        marked[np.arange(len(letters)) + np.cumsum(number)] = letters
+        self.letters, self.heads, self.text = marked, heads + np.arange(len(heads)), text
+        self.sentence = np.cumsum(np.diff(sentence, prepend=sentence[0]) != 0)
+
+    def __len__(self) -> int:
+        return len(self.heads)
+
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.heads, append=len(self.letters))
+
+    def unit(self, i: int) -> bytes:
+        """Unit i of ``unit_sums``: a word, or (from the number of words on) a pair."""
+        n = len(self)
+        first, words = (i, 1) if i < n else (i - n, 2)
+        end = self.heads[first + words] if first + words < n else len(self.letters)
+        return self.letters[self.heads[first] : end].tobytes()
+
+
+def norms(most: int) -> np.ndarray:
+    """The norm of a unit by its length, as if its subsequences were distinct."""
     n = np.arange(most + 1)
     total = np.zeros(most + 1)
     for b in range(2, SPAN):
@@ -88,14 +116,16 @@ def _norms(most: int) -> np.ndarray:
     return np.sqrt(np.maximum(total, DECAY**6))
 
 
-def subsequence_sums(letters: np.ndarray, heads: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each token the weighted sum of ``table`` (one value or row a subsequence) over its subsequences, by its norm."""
-    n = len(letters)
-    token = np.zeros(n, np.int32)
-    token[heads[1:]] = 1
-    token = np.cumsum(token, dtype=np.int32)
+def unit_sums(letters: np.ndarray, heads: np.ndarray, table: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+    """For each word the weighted sum of ``table`` (one value or row a subsequence) over its subsequences, by its norm; then,
+    if ``pairs`` says for each word whether it and the next one are a pair, the same for these pairs (0 for what is none)."""
+    n, words = len(letters), len(heads)
+    word = np.zeros(n, np.int32)
+    word[heads[1:]] = 1
+    word = np.cumsum(word, dtype=np.int32)
     wide = letters.astype(np.int32)
-    total = np.zeros((n, *table.shape[1:]), np.float32)
+    shape = (n, *table.shape[1:])
+    total, cross = np.zeros(shape, np.float32), np.zeros(shape if pairs is not None else 0, np.float32)
     for b in range(2, SPAN):
         if n <= b:
             break
@@ -104,19 +134,32 @@ def subsequence_sums(letters: np.ndarray, heads: np.ndarray, table: np.ndarray)
         for a in range(1, b):
             s += table[outer + LETTERS * wide[a : n - b + a]]
         s *= np.float32(DECAY ** (b + 1))
-        s[token[: n - b] != token[b:]] = 0
+        apart = word[b:] - word[: n - b]
+        if pairs is not None:
+            over = apart == 1
+            cross[: n - b][over] += s[over]
+        s[apart != 0] = 0
         total[: n - b] += s
     lengths = np.diff(heads, append=n)
-    norm = _norms(int(lengths.max()))[lengths].astype(np.float32)
-    return np.add.reduceat(total, heads, axis=0) / norm.reshape(-1, *[1] * (total.ndim - 1))
+    norm = norms(2 * int(lengths.max())).astype(np.float32)
+    tall = lambda x: x.reshape(-1, *[1] * (total.ndim - 1))
+    raw = np.add.reduceat(total, heads, axis=0)
+    alone = raw / tall(norm[lengths])
+    if pairs is None:
+        return alone
+    both = raw + np.add.reduceat(cross, heads, axis=0)
+    both[:-1] += raw[1:]
+    size = lengths.copy()
+    size[:-1] += lengths[1:]
+    return np.concatenate([alone, both / tall(norm[size]) * tall(pairs.astype(np.float32))]) if words else alone
 
 
 def landmark_table(landmarks: list[np.ndarray]) -> np.ndarray:
-    """(subsequences x landmarks): the landmarks' own weights, so that summing it over a token gives the kernel values."""
+    """(subsequences x landmarks): the landmarks' own weights, so that summing it over a unit gives the kernel values."""
     table = np.zeros((LETTERS**3, len(landmarks)), np.float32)
     for j, w in enumerate(landmarks):
         w = w.astype(np.int64)
-        norm = _norms(len(w))[len(w)]
+        norm = norms(len(w))[len(w)]
         for b in range(2, SPAN):
             for a in range(1, b):
                 for i in range(len(w) - b):
@@ -124,26 +167,44 @@ def landmark_table(landmarks: list[np.ndarray]) -> np.ndarray:
     return table
 
 
+class Scored:
+    """The sentences of texts side by side: score, text and worst unit of each."""
+
+    def __init__(self, words: Words, table: np.ndarray, bias: float):
+        n = len(words)
+        pairs = np.zeros(n, bool)
+        pairs[:-1] = words.sentence[1:] == words.sentence[:-1]
+        units = unit_sums(words.letters, words.heads, table, pairs) + np.float32(bias)
+        alone, both = units[:n], np.where(pairs, units[n:], -np.inf)
+        best = np.maximum(alone, both)
+        heads = np.flatnonzero(np.diff(words.sentence, prepend=-1))
+        self.score, self.text = np.maximum.reduceat(best, heads), words.text[heads]
+        at = np.flatnonzero(best == np.repeat(self.score, np.diff(heads, append=n)))
+        at = at[np.flatnonzero(np.diff(words.sentence[at], prepend=-1))]  # of equals the first
+        self.unit = np.where(alone[at] >= both[at], at, at + n)
+
+
 class Model:
-    """``table``: the folded machine; ``bias``: added to each token; ``out``: weights of the document features."""
+    """``table``: the folded machine; ``bias``: added to each unit; ``out``: weights of the document features."""
 
     def __init__(self, table: np.ndarray, bias: float, out: np.ndarray):
         self.table, self.bias, self.out = table, bias, out
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows (worst token, excess over the margin on a log scale, the same a token, 1); every byte of every text is read."""
+        """Rows (worst sentence, excess over the margin on a log scale, the same a sentence, 1); every byte of every text is
+        read."""
         n = len(offsets) - 1
         worst, excess, count = np.full(n, -3.0), np.zeros(n), np.ones(n)
-        for docs, starts, ends in pieces(data, offsets):
-            letters, heads, text = tokens_of(data, starts, ends)
-            if len(letters):
-                score = np.maximum(subsequence_sums(letters, heads, self.table) + self.bias, -3)
-                at = docs[text]
+        for docs, starts, ends in pieces(data, offsets, after=AFTER):
+            words = Words(data, starts, ends)
+            if len(words):
+                sentences = Scored(words, self.table, self.bias)
+                score, at = np.maximum(sentences.score, -3), docs[sentences.text]
                 np.maximum.at(worst, at, score)
                 np.add.at(count, at, 1)
                 over = score > 0
                 np.add.at(excess, at[over], score[over])
-        return np.stack([worst, np.log1p(excess), np.log1p(100 * excess / count), np.ones(n)], axis=1)
+        return np.stack([worst, np.log1p(excess), np.log1p(10 * excess / count), np.ones(n)], axis=1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(data, offsets) @ self.out, -40, 40)))
@@ -151,14 +212,15 @@ class Model:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0, steps: int = 400) -> np.ndarray:
     """Squared-hinge linear machine by accelerated gradient steps; the last column of x is the bias."""
-    w = v = np.zeros(x.shape[1])
-    total = weight.sum()
-    rate = 1 / (1e-3 + 2 * c * np.linalg.norm(x * np.sqrt(weight / total)[:, None], 2) ** 2)
+    w = v = np.zeros(x.shape[1], np.float32)
+    share = (weight / weight.sum()).astype(np.float32)
+    gram = (x * share[:, None]).T @ x
+    rate = 1 / (1e-3 + 2 * c * float(np.linalg.norm(gram, 2)))
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
-        grad = 1e-3 * v - 2 * c * ((weight / total * y * slack) @ x)
-        new = v - rate * grad
-        v, w = new + k / (k + 3) * (new - w), new
+        grad = 1e-3 * v - 2 * c * ((share * y * slack) @ x)
+        new = (v - rate * grad).astype(np.float32)
+        v, w = new + np.float32(k / (k + 3)) * (new - w), new
     return w
 
 
@@ -171,76 +233,104 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _numbered(sample: list[Words], docs: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
+    """(number of each word, the distinct words, rows (document, word), distinct)."""
+    seen: dict[bytes, int] = {}
+    numbers, rows = [], []
+    for words, d in zip(sample, docs, strict=True):
+        raw, cuts = words.letters.tobytes(), [*words.heads.tolist(), len(words.letters)]
+        n = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
+        numbers.append(n)
+        rows.append(np.stack([d[words.text], n]))
+    return numbers, list(seen), np.unique(np.concatenate(rows, axis=1), axis=1)
+
+
 def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 5) -> Model:
-    """Fits the machine. Without both labels in ``sample`` the model says the one it has seen, or 0 for an empty sample."""
+    """Fits the machine on all sentences of ``sample``. Without both labels, or without words, the model says the one label it
+    has seen, or 0 for an empty sample."""
     labels = np.array([y for _, y in sample], float)
-    if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(LETTERS**3, np.float32), 0.0, np.array([0.0, 0.0, 0.0, 8.0 if labels.any() else -8.0]))
-    rng = np.random.default_rng(seed)
     blob = [t.encode() for t, _ in sample]
     data, offsets = np.frombuffer(b"".join(blob), np.uint8), np.cumsum([0, *map(len, blob)])
-    bags: list[list[bytes]] = [[] for _ in sample]  # distinct tokens of each document
-    for docs, starts, ends in pieces(data, offsets):
-        letters, heads, text = tokens_of(data, starts, ends)
-        raw, cuts = letters.tobytes(), [*heads.tolist(), len(letters)]
-        for k, d in enumerate(docs[text].tolist()):
-            bags[d].append(raw[cuts[k] : cuts[k + 1]])
-    bags = [sorted({w for w in b if 4 <= len(w) <= 40}) for b in bags]
+    parts = [(d, w) for d, s, e in pieces(data, offsets, after=AFTER) if len(w := Words(data, s, e))]
+    if len(set(labels.tolist())) < 2 or not parts:
+        return Model(np.zeros(LETTERS**3, np.float32), 0.0, np.array([0.0, 0.0, 0.0, 8.0 if labels.sum() * 2 > len(labels) else -8.0]))
+    rng = np.random.default_rng(seed)
+    docs, sample_words = [d for d, _ in parts], [w for _, w in parts]
+    numbers, vocabulary, held = _numbered(sample_words, docs)
     n_pos, n_neg = labels.sum(), (1 - labels).sum()
-    seen = {y: Counter(w for b, l in zip(bags, labels, strict=True) if l == y for w in b) for y in (0, 1)}
-    # a clean document's own word is one of very many alike; a part of them is enough as negatives
-    rare = sorted(w for w, n in seen[0].items() if n == 1 and w not in seen[1])
-    left_out = {rare[i] for i in rng.permutation(len(rare))[OWN_WORDS:]}
-    vocabulary = sorted((set(seen[0]) | set(seen[1])) - left_out)
-    bags = [[w for w in b if w not in left_out] for b in bags]
-    del rare, left_out
-    number = {w: i for i, w in enumerate(vocabulary)}
-    pos, neg = (np.array([seen[y][w] for w in vocabulary], float) for y in (1, 0))
+    pos, neg = (np.bincount(held[1][labels[held[0]] == y], minlength=len(vocabulary)).astype(float) for y in (1, 0))
     odds = np.log((pos + 0.2) / (n_pos + 1)) - np.log((neg + 0.2) / (n_neg + 1))
-    odds *= 1 - np.exp(-(pos + neg) / 4)  # rare tokens say little by themselves
-    long_enough = np.array([len(w) >= 5 for w in vocabulary])
-    ranked = np.argsort(np.where(long_enough, -odds, 9), kind="stable")[: landmarks * 5 // 8]
+    odds *= 1 - np.exp(-(pos + neg) / 4)  # rare words say little by themselves
+    size = np.array([len(w) for w in vocabulary])
+    ranked = np.argsort(np.where((size >= 5) & (size <= 40), -odds, 9), kind="stable")[: landmarks * 5 // 8]
     others = rng.choice(len(vocabulary), size=min(len(vocabulary), landmarks - len(ranked)), replace=False)
     chosen = [np.frombuffer(vocabulary[i], np.uint8) for i in dict.fromkeys([*ranked.tolist(), *others.tolist()])]
     table = landmark_table(chosen)
 
-    def kernel(ws: list[bytes]) -> np.ndarray:
-        out = []
-        for i in range(0, len(ws), 2000):
-            part = ws[i : i + 2000]
-            out.append(subsequence_sums(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part[:-1])]), table))
+    def kernel(units: list[bytes]) -> np.ndarray:
+        out = [np.zeros((0, len(chosen)), np.float32)]
+        for i in range(0, len(units), 1000):
+            part = units[i : i + 1000]
+            out.append(unit_sums(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part[:-1])]), table))
         return np.concatenate(out)
 
     k_zz = kernel([z.tobytes() for z in chosen])
     values, vectors = np.linalg.eigh((k_zz + k_zz.T) / 2)
     root = (vectors / np.sqrt(np.maximum(values, 1e-2))).astype(np.float32)
-    x_all = np.concatenate([kernel(vocabulary) @ root, np.ones((len(vocabulary), 1), np.float32)], axis=1)
-    index = [np.array([number[w] for w in b], int) for b in bags]
-    score, clean = odds.copy(), [i for i, y in zip(index, labels, strict=True) if not y and len(i)]
-    negatives = np.unique(np.concatenate(clean)) if clean else np.zeros(0, int)
-    w = np.zeros(x_all.shape[1])
+
+    def rows(units: list[bytes]) -> np.ndarray:
+        return np.concatenate([kernel(units) @ root, np.ones((len(units), 1), np.float32)], axis=1)
+
+    folded, bias = None, 0.0
     for _ in range(rounds):
-        worst = [i[np.argsort(-score[i], kind="stable")[:2]] for i, y in zip(index, labels, strict=True) if y and len(i)]
-        witnesses = np.concatenate(worst) if worst else np.zeros(0, int)
-        witnesses = np.unique(witnesses[score[witnesses] > np.quantile(score[negatives], 0.99)] if len(negatives) else witnesses)
-        hard = negatives[np.argsort(-score[negatives], kind="stable")[:3000]]
-        some = rng.choice(negatives, size=min(6000, len(negatives)), replace=False) if len(negatives) else negatives
-        rest = np.setdiff1d(np.unique(np.concatenate([hard, some])), witnesses)
-        gapped = [_with_letter(vocabulary[i], rng) for i in witnesses for _ in range(2)]
-        x = np.concatenate([x_all[witnesses], np.concatenate([kernel(gapped) @ root, np.ones((len(gapped), 1))], axis=1), x_all[rest]]) if gapped else x_all[rest]
-        y = np.concatenate([np.ones(len(witnesses) + len(gapped)), -np.ones(len(rest))])
-        support = np.log1p(pos[witnesses])
-        weight = np.concatenate([support, np.repeat(support, 2) / 4, np.log1p(neg[rest]) * max(1e-9, 1.5 * support.sum()) / max(1e-9, np.log1p(neg[rest]).sum()) * 2])
-        w = _svm(x, y, weight)
-        score = x_all @ w
-    model = Model((table @ (root @ w[:-1]).astype(np.float32)).astype(np.float32), float(w[-1]), np.zeros(4))
+        texts, scores, worst = [], [], []
+        for d, words, n in zip(docs, sample_words, numbers, strict=True):
+            if folded is None:  # before the first round a sentence's worst word is that of the highest odds
+                heads = np.flatnonzero(np.diff(words.sentence, prepend=-1))
+                best = np.maximum.reduceat(odds[n], heads)
+                at = np.flatnonzero(odds[n] == np.repeat(best, np.diff(heads, append=len(n))))
+                at = at[np.flatnonzero(np.diff(words.sentence[at], prepend=-1))]
+                text = words.text[heads]
+            else:
+                s = Scored(words, folded, bias)
+                best, at, text = s.score, s.unit, s.text
+            texts.append(d[text])
+            scores.append(best)
+            worst += [words.unit(int(i)) for i in at]
+        text, score = np.concatenate(texts), np.concatenate(scores)
+        clean = labels[text] == 0
+        # of a toxic document the two worst sentences, if they are worse than nearly all clean ones
+        order = np.lexsort((-score, text))
+        heads = np.flatnonzero(np.diff(text[order], prepend=-1))
+        place = np.arange(len(order)) - np.repeat(heads, np.diff(heads, append=len(order)))
+        bar = np.quantile(score[clean], 0.99) if clean.any() else -np.inf
+        picked = [i for i in order[place < 2].tolist() if not clean[i] and score[i] > bar]
+        support: dict[bytes, int] = {}
+        for i in picked:
+            support[worst[i]] = support.get(worst[i], 0) + 1
+        against: dict[bytes, int] = {}
+        for i in np.flatnonzero(clean).tolist():
+            if worst[i] not in support:
+                against[worst[i]] = against.get(worst[i], 0) + 1
+        if not support or not against:
+            break
+        good, bad = sorted(support), sorted(against)
+        gapped = [_with_letter(u, rng) for u in good for _ in range(2)]
+        x = np.concatenate([rows(good), rows(gapped), rows(bad)])
+        y = np.concatenate([np.ones(len(good) + len(gapped)), -np.ones(len(bad))]).astype(np.float32)
+        up, down = np.log1p([support[u] for u in good]), np.log1p([against[u] for u in bad])
+        w = _svm(x, y, np.concatenate([up, np.repeat(up, 2) / 4, down * 3 * up.sum() / down.sum()]))
+        folded, bias = (table @ (root @ w[:-1])).astype(np.float32), float(w[-1])
+    if folded is None:
+        folded = np.zeros(LETTERS**3, np.float32)
+    model = Model(folded, bias, np.zeros(4))
     model.out = _logistic(model.features(data, offsets), labels)
     return model
 
 
-def _with_letter(word: bytes, rng: np.random.Generator) -> bytes:
-    at = int(rng.integers(2, len(word)))
-    return word[:at] + bytes([int(rng.integers(1, 27))]) + word[at:]
+def _with_letter(unit: bytes, rng: np.random.Generator) -> bytes:
+    at = int(rng.integers(1, len(unit) + 1))
+    return unit[:at] + bytes([int(rng.integers(1, 27))]) + unit[at:]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -251,7 +341,8 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mo
 def score_texts(docs: DataFrame, model: Model, keep_below: float | None = None) -> DataFrame:
     """With ``keep_below`` None, rows (doc_id, score); else ``docs`` with all columns, without rows of that score or more.
 
-    Null texts score as empty ones. Repeated rows are scored each by itself.
+    Null texts score as empty ones. Repeated rows are scored each by itself; other columns, whatever their names, are passed
+    on; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # one table of 64,000 floats, whatever the input's size
@@ -271,6 +362,12 @@ def score_texts(docs: DataFrame, model: Model, keep_below: float | None = None)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted."""
+    """Per row of ``docs``: doc_id, held_out, score (0 to 1), predicted.
+
+    Null and empty texts score alike, by the model's value for a text without sentences; long texts are read whole. A null id
+    belongs to no fold but the held-out one of remainder 0, and gives no label. Repeated rows are scored each by itself and
+    get equal scores; columns beside doc_id and text are not looked at. No documents give no rows; without labels of both
+    kinds every score is that of the kind there is, 0 for none.
+    """
     scored = score_texts(docs, fitted(docs, labels, per_class))
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -77,7 +77,7 @@ def test_scores_do_not_depend_on_batches_or_pieces(monkeypatch):
     for model in (quality.train(fit, epochs=1), toxicity.train([(t, 1 - y) for t, y in fit])):
         whole = scores(model, texts)
         assert np.allclose(whole, [scores(model, [t])[0] for t in texts], atol=1e-5)
-    monkeypatch.setattr(toxicity, "pieces", lambda d, o: common_pieces(d, o, 1000))
+    monkeypatch.setattr(toxicity, "pieces", lambda d, o, after: common_pieces(d, o, 1000))
     assert np.allclose(scores(model, texts), whole, atol=1e-5)
 
 
@@ -263,6 +263,48 @@ def test_main_text_of_broken_pages():
     assert html_text.main_text(deep) == "inside"
 
 
+def planted_page(rng, n):
+    """A page of plain elements without landmarks or telling names, and its article's text."""
+    word = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(k))
+    title, paragraphs = word(6), [word(rng.randint(25, 120)) for _ in range(n)]
+    paragraphs.insert(1, word(3))  # a short one among them
+    short = "".join(f"<div><span>{word(2)}</span><i>{word(1)}</i></div>" for _ in range(40))  # entries, none of them links
+    links = "".join(f'<li><a href="/{i}">{word(2)}</a></li>' for i in range(12))
+    inner = f"<div><h2>{title}</h2>{''.join(f'<p>{x}</p>' for x in paragraphs)}</div>"
+    parts = [f"<ul>{links}</ul>", f"<div class='x1'>{short}</div>", f"<div><div>{inner}</div></div>", f"<div>{word(9)}</div>"]
+    return f"<html><body>{''.join(parts)}</body></html>", "\n\n".join([title, *paragraphs])
+
+
+def test_clusters_select_the_region_without_landmarks(monkeypatch):
+    rng = random.Random(21)
+    pages = [planted_page(rng, rng.randint(3, 9)) for _ in range(60)]
+    assert all(html_text.main_text(h) == t == html_text.main_text(h, signals=False) for h, t in pages)
+    # without the ratio the entries beside the article count as much as its text
+    monkeypatch.setattr(html_text, "smoothed", lambda ratio: np.ones(len(ratio)))
+    assert sum(html_text.main_text(h) == t for h, t in pages) < 30
+
+
+def test_main_text_of_an_article_with_parts_that_are_none():
+    html = (
+        "<body><header><h1>Site</h1></header><nav>Home</nav><main><article><header><h1>Head</h1></header><p>The first paragraph of it.</p>"
+        "<div class='ad'>Buy this now</div><aside>See also this</aside><p>The second one &mdash; with&nbsp;a <a href='/x'>link</a> in it.</p>"
+        "<form><input name=q> Write to us</form></article><section id='comments'><p>I have read it and do not agree with a word.</p></section></main>"
+        "<div role='complementary'>More</div><footer>(c) all of it</footer></body>"
+    )
+    assert html_text.main_text(html) == "Head\n\nThe first paragraph of it.\n\nThe second one — with a link in it."
+
+
+def test_main_text_is_linear_in_the_depth():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert html_text.main_text("<div><b>" * n + "<p>inside") == "inside"
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_extract_over_awkward_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (None, None, "<article><h1>A</h1><p>b</p></article>", 2), (2, "u", "", 3), (2, "u", "", 3)], "page_id long, url string, html string, n_chars int")
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_text.extract(pages).collect())
@@ -454,6 +496,18 @@ def test_jaccard_in_crowded_buckets(spark, monkeypatch):
     assert splits and sum(got[i] == want[i] for i in want) >= len(want) - 4
 
 
+def test_long_texts_without_blanks_are_cut_between_words():
+    from estatelake.llm.buffers import pieces
+
+    text = ",".join(f"word{i}" for i in range(3000)).encode() + b"," + "語".encode() * 2000
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = [h for _, h, _ in jaccard.documents(data, offsets)][0]
+    for starts, ends in [(s, e) for _, s, e in pieces(data, offsets, 500, after=(np.arange(256) <= 32, jaccard.TABLE == 0))]:
+        assert starts[0] == 0 or jaccard.TABLE[data[starts[0] - 1]] == 0
+    parts = [jaccard.word_hashes(data, s, e)[0] for _, s, e in pieces(data, offsets, 500, after=(np.arange(256) <= 32, jaccard.TABLE == 0))]
+    assert (np.concatenate(parts) == whole).all()
+
+
 def test_branches_and_runs():
     branches, kept = jaccard.branches_for(0.8)
     s = 0.8**jaccard.STEP
@@ -486,7 +540,7 @@ def test_a_text_in_pieces_has_the_same_ngrams():
     import estatelake.llm.jaccard as j
 
     keep = j.pieces
-    j.pieces = lambda d, o: common_pieces(d, o, 97)
+    j.pieces = lambda d, o, after: common_pieces(d, o, 97)
     try:
         parts = [h for _, h, _ in jaccard.documents(data, offsets)]
     finally:
