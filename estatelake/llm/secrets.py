@@ -2,8 +2,9 @@
 
 Candidates are tokens with a digit and at least twelve characters of the kind keys are made of, values assigned to words
 like "password", and private-key headers. The forest sees a candidate's length, how its characters change class, how much
-of it dictionary words cover, whether it looks like a path, and the words around it. It is trained from labelled findings;
-the ones given here are drawn from a rule for each kind of secret and of harmless look-alike.
+of it dictionary words cover, whether it looks like a path, and the words around it. The dictionary is that of the documents
+themselves: the words that most of them hold, counted over all. The forest is trained from labelled findings; the ones given
+here are drawn from a rule for each kind of secret and of harmless look-alike, the latter with words of the dictionary.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,39 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk
 #: Words that stand near secrets, and near other long tokens.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth", "credential", "bearer", "private", "access", "key")
 OTHER_WORDS = ("commit", "sha", "md5", "hash", "checksum", "uuid", "isbn", "doi", "version", "license", "phone", "tel", "card", "example", "sample", "index", "http", "www", "file", "path", "image", "page", "order", "build")
-WORDS = ("example", "changeme", "placeholder", "password", "secret", "test", "sample", "dummy", "your", "here", "user", "admin", "config", "local", "home", "data", "file", "image", "index", "page", "news", "article", "release", "version", "build", "main", "http", "https", "www", "com", "org", "net", "html", "json", "path", "the", "and", "for", "with", "this", "that", "from", "key", "token", "value", "name", "date", "item", "list", "src", "lib", "bin", "usr", "var", "log", "tmp")
+#: Words that stand in file names, addresses and placeholders, beside those of the documents.
+COMMON = ("example", "changeme", "placeholder", "password", "secret", "test", "sample", "dummy", "your", "here", "user", "admin", "config", "local", "home", "data", "file", "image", "index", "page", "news", "article", "release", "version", "build", "main", "http", "https", "www", "com", "org", "net", "html", "json", "path", "token", "value", "name", "date", "item", "list", "src", "lib", "bin", "usr", "var", "log", "tmp")
+#: The dictionary holds so many words of the documents at most, of so many letters at least, each in so many documents.
+DICTIONARY, LETTERS, SEEN = 20_000, 4, 3
+
+
+def corpus_words(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
+    """The ``most`` words (LETTERS ASCII letters and more, lower case) that most documents hold, counted over all whole texts;
+    ties go by the alphabet. The list that comes to the driver is bounded by ``most``."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(f"[a-z]{{{LETTERS},20}}"), F.lit(0)))
+    counted = docs.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
+class Dictionary:
+    """Finds words in a candidate."""
+
+    def __init__(self, words: list[str]):
+        self.words = sorted({*COMMON, *words})
+        self.find = ahocorasick.Automaton()
+        for w in self.words:
+            self.find.add_word(w, len(w))
+        self.find.make_automaton()
+
+    def __reduce__(self):
+        return Dictionary, (self.words,)
+
+    def covered(self, s: str) -> int:
+        """Characters of ``s`` that lie in a word."""
+        mark = bytearray(len(s))
+        for end, n in self.find.iter(s):
+            mark[end + 1 - n : end + 1] = b"\1" * n
+        return sum(mark)
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -65,7 +99,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-def features(text: str, start: int, end: int) -> list[float]:
+def features(text: str, start: int, end: int, words: Dictionary) -> list[float]:
     s = text[start:end]
     n = len(s)
     classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in s]
@@ -74,12 +108,7 @@ def features(text: str, start: int, end: int) -> list[float]:
     inner = sum(a != b and "o" not in (a, b) for a, b in zip(classes, classes[1:], strict=False))
     entropy = -sum(v / n * math.log2(v / n) for v in Counter(s).values()) if n else 0.0
     low = s.lower()
-    covered = bytearray(n)
-    for w in WORDS:
-        at = low.find(w)
-        while at >= 0:
-            covered[at : at + len(w)] = b"\1" * len(w)
-            at = low.find(w, at + 1)
+    covered = words.covered(low) if len(low) == n else 0  # a few letters change their number when lowered
     before, after = text[max(0, start - NEAR) : start].lower(), text[end : end + NEAR].lower()
     longest_letters = max((len(x) for x in re.findall(r"[A-Za-z]+", s)), default=0)
     return [
@@ -91,7 +120,7 @@ def features(text: str, start: int, end: int) -> list[float]:
         changes / max(1, n - 1),
         inner / max(1, n - 1),
         entropy,
-        sum(covered) / max(1, n),
+        covered / max(1, n),
         s.count("/") + s.count("\\"),
         s.count(".") + s.count("@"),
         s.count("-"),
@@ -106,12 +135,13 @@ def features(text: str, start: int, end: int) -> list[float]:
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 10) -> list[tuple[str, int, int, int]]:
+def labelled_findings(n: int = 3000, seed: int = 10, words: list[str] | None = None, without: int | None = None) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label) drawn from rules: keys, hashes in assignments and passwords; versions, dates, numbers,
-    addresses, paths, identifiers and placeholders."""
+    addresses, paths, identifiers and placeholders, their words from ``words`` (those that are given, or else letters at
+    random). ``without`` leaves out one rule, counted over both kinds."""
     r = random.Random(seed)
     pick = lambda a, k: "".join(r.choices(a, k=k))
-    word = lambda: pick(string.ascii_lowercase, r.randint(2, 9))
+    word = lambda: r.choice(words) if words and r.random() < 0.8 else pick(string.ascii_lowercase, r.randint(2, 9))
     upper, lower, digits, hexa = string.ascii_uppercase, string.ascii_lowercase, string.digits, "0123456789abcdef"
     secrets = [
         lambda: ("", "AKIA" + pick(upper + "234567", 16), ""),
@@ -137,6 +167,8 @@ def labelled_findings(n: int = 3000, seed: int = 10) -> list[tuple[str, int, int
         lambda: ("version ", f"{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}-{word()}.{r.randint(1, 200)}", ""),
         lambda: (r.choice(["password: ", "token: ", "secret = "]), word() + word(), " " + word()),
     ]
+    if without is not None:
+        del (secrets if without < len(secrets) else harmless)[without if without < len(secrets) else without - len(secrets)]
     out = []
     for i in range(n):
         y = i % 2
@@ -197,29 +229,34 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def fitted(findings: list[tuple[str, int, int, int]] | None = None) -> Forest:
-    findings = labelled_findings() if findings is None else findings
-    return Forest(np.array([features(t, s, e) for t, s, e, _ in findings], float).reshape(len(findings), -1), np.array([y for *_, y in findings], float))
+def fitted(findings: list[tuple[str, int, int, int]] | None = None, words: list[str] | None = None) -> tuple[Forest, Dictionary]:
+    """A forest from labelled findings, and the dictionary it goes by."""
+    known = Dictionary(words or [])
+    findings = labelled_findings(words=words) if findings is None else findings
+    return Forest(np.array([features(t, s, e, known) for t, s, e, _ in findings], float).reshape(len(findings), -1), np.array([y for *_, y in findings], float)), known
 
 
-def scan(docs: DataFrame, forest: Forest | None = None, bar: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, model: tuple[Forest, Dictionary] | None = None, bar: float = 0.5) -> DataFrame:
     """A row per candidate of each whole text: doc_id, start, end (code points), kind, score, is_secret.
 
-    Null and empty texts have none; repeated rows are scanned each by itself. ``is_secret`` is score >= ``bar``; rows below
-    are the false positives that the forest removes.
+    Null and empty texts have none; repeated rows are scanned each by itself, a null id is passed on. ``is_secret`` is score >=
+    ``bar``; rows below are the false positives that the forest removes. Overlapping candidates are one, the first; other
+    columns, whatever their names, are not looked at; an empty table gives no rows. Without ``model`` one is fitted with the
+    dictionary of ``docs``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(forest or fitted())  # some thousand nodes
+    shared = docs.sparkSession.sparkContext.broadcast(model or fitted(words=corpus_words(docs)))  # some thousand nodes, and DICTIONARY words
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, words = shared.value
         for batch in batches:
             rows, found, x = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 for s, e, kind in candidates(t) if t else ():
                     rows.append(i)
                     found.append((s, e, kind))
-                    x.append(features(t, s, e))
-            score = shared.value.scores(np.array(x, float))
+                    x.append(features(t, s, e, words))
+            score = forest.scores(np.array(x, float))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.string()), pa.array(score), pa.array(score >= bar)],
                 names=["doc_id", "start", "end", "kind", "score", "is_secret"],
