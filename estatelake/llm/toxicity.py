@@ -96,8 +96,20 @@ class Words:
     def __len__(self) -> int:
         return len(self.heads)
 
-    def lengths(self) -> np.ndarray:
-        return np.diff(self.heads, append=len(self.letters))
+    def pairs(self) -> np.ndarray:
+        """For each word whether the next one stands in its sentence."""
+        out = np.zeros(len(self), bool)
+        out[:-1] = self.sentence[1:] == self.sentence[:-1]
+        return out
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each unit: the words, then the pairs."""
+        lengths = np.diff(self.heads, append=len(self.letters))
+        power = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+        place = np.arange(len(self.letters)) - np.repeat(self.heads, lengths)
+        word = np.add.reduceat((self.letters.astype(np.uint64) + np.uint64(1)) * power[place], self.heads)
+        word ^= word >> np.uint64(31)
+        return np.concatenate([word, word * np.uint64(0xBF58476D1CE4E5B9) + np.roll(word, -1)])
 
     def unit(self, i: int) -> bytes:
         """Unit i of ``unit_sums``: a word, or (from the number of words on) a pair."""
@@ -167,15 +179,12 @@ def landmark_table(landmarks: list[np.ndarray]) -> np.ndarray:
     return table
 
 
-class Scored:
-    """The sentences of texts side by side: score, text and worst unit of each."""
+class Sentences:
+    """The sentences of texts side by side, from a score of each word and of each pair: score, text and worst unit of each."""
 
-    def __init__(self, words: Words, table: np.ndarray, bias: float):
+    def __init__(self, words: Words, units: np.ndarray):
         n = len(words)
-        pairs = np.zeros(n, bool)
-        pairs[:-1] = words.sentence[1:] == words.sentence[:-1]
-        units = unit_sums(words.letters, words.heads, table, pairs) + np.float32(bias)
-        alone, both = units[:n], np.where(pairs, units[n:], -np.inf)
+        alone, both = units[:n], np.where(words.pairs(), units[n:], -np.inf)
         best = np.maximum(alone, both)
         heads = np.flatnonzero(np.diff(words.sentence, prepend=-1))
         self.score, self.text = np.maximum.reduceat(best, heads), words.text[heads]
@@ -183,6 +192,10 @@ class Scored:
         at = at[np.flatnonzero(np.diff(words.sentence[at], prepend=-1))]  # of equals the first
         self.unit = np.where(alone[at] >= both[at], at, at + n)
 
+    @staticmethod
+    def scored(words: Words, table: np.ndarray, bias: float) -> Sentences:
+        return Sentences(words, unit_sums(words.letters, words.heads, table, words.pairs()) + np.float32(bias))
+
 
 class Model:
     """``table``: the folded machine; ``bias``: added to each unit; ``out``: weights of the document features."""
@@ -198,7 +211,7 @@ class Model:
         for docs, starts, ends in pieces(data, offsets, after=AFTER):
             words = Words(data, starts, ends)
             if len(words):
-                sentences = Scored(words, self.table, self.bias)
+                sentences = Sentences.scored(words, self.table, self.bias)
                 score, at = np.maximum(sentences.score, -3), docs[sentences.text]
                 np.maximum.at(worst, at, score)
                 np.add.at(count, at, 1)
@@ -233,16 +246,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _numbered(sample: list[Words], docs: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
-    """(number of each word, the distinct words, rows (document, word), distinct)."""
-    seen: dict[bytes, int] = {}
-    numbers, rows = [], []
-    for words, d in zip(sample, docs, strict=True):
-        raw, cuts = words.letters.tobytes(), [*words.heads.tolist(), len(words.letters)]
-        n = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
-        numbers.append(n)
-        rows.append(np.stack([d[words.text], n]))
-    return numbers, list(seen), np.unique(np.concatenate(rows, axis=1), axis=1)
+class _Counted:
+    """The distinct units of a sample: how many documents of each label hold them, and where each is found."""
+
+    def __init__(self, sample: list[Words], docs: list[np.ndarray], labels: np.ndarray):
+        hashes, doc, part, unit = [], [], [], []
+        for k, (words, d) in enumerate(zip(sample, docs, strict=True)):
+            n = len(words)
+            keep = np.concatenate([np.ones(n, bool), words.pairs()])
+            hashes.append(words.hashes()[keep])
+            doc.append(np.tile(d[words.text], 2)[keep])
+            unit.append(np.arange(2 * n)[keep])
+            part.append(np.full(keep.sum(), k))
+        self.sample, h, d = sample, np.concatenate(hashes), np.concatenate(doc)
+        self.hash, first, number = np.unique(h, return_index=True, return_inverse=True)
+        self.part, self.unit = np.concatenate(part)[first], np.concatenate(unit)[first]
+        held = np.unique(np.stack([d, number]), axis=1)
+        self.pos, self.neg = (np.bincount(held[1][labels[held[0]] == y], minlength=len(self.hash)).astype(float) for y in (1, 0))
+        self.size, self.paired = np.zeros(len(self.hash), np.int64), np.zeros(len(self.hash), bool)
+        for k, words in enumerate(sample):
+            mine, lengths = self.part == k, np.diff(words.heads, append=len(words.letters))
+            u = self.unit[mine]
+            self.size[mine], self.paired[mine] = lengths[u % len(words)], u >= len(words)
+
+    def of(self, words: Words) -> np.ndarray:
+        """The number of each unit; those that are none (the last word of a sentence and the next) get any."""
+        return np.minimum(np.searchsorted(self.hash, words.hashes()), len(self.hash) - 1)
+
+    def text(self, i: int) -> bytes:
+        return self.sample[self.part[i]].unit(int(self.unit[i]))
 
 
 def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 5) -> Model:
@@ -256,15 +288,16 @@ def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int
         return Model(np.zeros(LETTERS**3, np.float32), 0.0, np.array([0.0, 0.0, 0.0, 8.0 if labels.sum() * 2 > len(labels) else -8.0]))
     rng = np.random.default_rng(seed)
     docs, sample_words = [d for d, _ in parts], [w for _, w in parts]
-    numbers, vocabulary, held = _numbered(sample_words, docs)
+    known = _Counted(sample_words, docs, labels)
     n_pos, n_neg = labels.sum(), (1 - labels).sum()
-    pos, neg = (np.bincount(held[1][labels[held[0]] == y], minlength=len(vocabulary)).astype(float) for y in (1, 0))
-    odds = np.log((pos + 0.2) / (n_pos + 1)) - np.log((neg + 0.2) / (n_neg + 1))
-    odds *= 1 - np.exp(-(pos + neg) / 4)  # rare words say little by themselves
-    size = np.array([len(w) for w in vocabulary])
-    ranked = np.argsort(np.where((size >= 5) & (size <= 40), -odds, 9), kind="stable")[: landmarks * 5 // 8]
-    others = rng.choice(len(vocabulary), size=min(len(vocabulary), landmarks - len(ranked)), replace=False)
-    chosen = [np.frombuffer(vocabulary[i], np.uint8) for i in dict.fromkeys([*ranked.tolist(), *others.tolist()])]
+    odds = np.log((known.pos + 0.2) / (n_pos + 1)) - np.log((known.neg + 0.2) / (n_neg + 1))
+    odds *= 1 - np.exp(-(known.pos + known.neg) / 4)  # rare units say little by themselves
+    fit = (known.size >= 5) & (known.size <= 40)
+    best = lambda of, most: np.argsort(np.where(of & fit, -odds, 9), kind="stable")[: min(most, int((of & fit).sum()))]
+    words_alone = np.flatnonzero(~known.paired)
+    others = rng.choice(words_alone, size=min(len(words_alone), landmarks // 4), replace=False)
+    picks = [*best(~known.paired, landmarks // 2).tolist(), *best(known.paired, landmarks // 4).tolist(), *others.tolist()]
+    chosen = [np.frombuffer(known.text(i), np.uint8) for i in dict.fromkeys(picks)]
     table = landmark_table(chosen)
 
     def kernel(units: list[bytes]) -> np.ndarray:
@@ -284,19 +317,12 @@ def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int
     folded, bias = None, 0.0
     for _ in range(rounds):
         texts, scores, worst = [], [], []
-        for d, words, n in zip(docs, sample_words, numbers, strict=True):
-            if folded is None:  # before the first round a sentence's worst word is that of the highest odds
-                heads = np.flatnonzero(np.diff(words.sentence, prepend=-1))
-                best = np.maximum.reduceat(odds[n], heads)
-                at = np.flatnonzero(odds[n] == np.repeat(best, np.diff(heads, append=len(n))))
-                at = at[np.flatnonzero(np.diff(words.sentence[at], prepend=-1))]
-                text = words.text[heads]
-            else:
-                s = Scored(words, folded, bias)
-                best, at, text = s.score, s.unit, s.text
-            texts.append(d[text])
-            scores.append(best)
-            worst += [words.unit(int(i)) for i in at]
+        for d, words in zip(docs, sample_words, strict=True):
+            # before the first round a sentence's worst unit is that of the highest odds
+            s = Sentences(words, odds[known.of(words)]) if folded is None else Sentences.scored(words, folded, bias)
+            texts.append(d[s.text])
+            scores.append(s.score)
+            worst += [words.unit(int(i)) for i in s.unit]
         text, score = np.concatenate(texts), np.concatenate(scores)
         clean = labels[text] == 0
         # of a toxic document the two worst sentences, if they are worse than nearly all clean ones
