@@ -1,11 +1,21 @@
-"""What several operators of this package share: the fold rule and labelled samples."""
+"""What several operators of this package share: the vocabulary's place, the fold rule and labelled samples."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The vocabulary files' folder; the files stay where they are.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def model_file() -> str:
+    return f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (0 for a null id)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % F.lit(folds), F.lit(0))

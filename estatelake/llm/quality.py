@@ -154,7 +154,12 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ne
 
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted. Null texts score as empty ones, repeated rows each by itself."""
+    """Per row of ``docs``: doc_id, held_out, score (0 to 1), predicted.
+
+    Null texts score as empty ones, which are one chunk of padding; long texts are read whole. A null id is in no fold but the
+    one of remainder 0, so not held out, and gives no label. Repeated rows are scored each by itself and get equal scores;
+    columns beside doc_id and text are not looked at. No documents give no rows; without labels every score is near one half.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class))  # some 5,000 floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,73 +2,74 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, jaccard, lines, quality, secrets, sentencepieces, topk, toxicity, warc
-
-#: The vocabulary files' folder; the files stay where they are.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
-
-def model_file() -> str:
-    return f"{TOKENIZERS}/piece_bpe_32k.model"
-
+from . import pipeline as stages
+from .common import model_file
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document; see ``quality.quality``."""
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document; see ``decontaminate.decontaminate``."""
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives of all pages, written and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     index = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score of the five best of every query; see ``topk.top_k``."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text without the source's boilerplate lines, n_lines, n_dropped."""
-    out = lines.drop_boilerplate(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    out, n_lines, n_dropped = lines.without_boilerplate(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page; see ``html_text.extract``."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, n_tokens, ids, round_trip of every document; see ``sentencepieces.encode_texts``."""
     return sentencepieces.encode_texts(_table(spark, sf_dir, "documents"), model_file())
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document; see ``toxicity.toxicity``."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, copy_id, n_links of every document; see ``jaccard.jaccard_join``."""
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each candidate in every document: doc_id, start, end, kind, score, is_secret; see ``secrets.scan``."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    """The rows of ``stages.run``: doc_id, n_chars, n_tokens, ids, round_trip."""
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -82,19 +83,19 @@ WITH items AS (SELECT item_id, w FROM (SELECT item_id, {_WORDS.format("text")} A
 grams AS (
   SELECT DISTINCT item_id, list_slice(w, i, i + least(len(w), 10) - 1) AS g
   FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM items)),
-docs AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
 sizes AS (SELECT DISTINCT len(g) AS n FROM grams),
 windows AS (
-  SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS g
-  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM docs, sizes WHERE len(w) >= n)),
-hits AS (SELECT doc_id, n, i, item_id FROM windows JOIN grams USING (g)),
-spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
+  SELECT rid, n, i, list_slice(w, i, i + n - 1) AS g
+  FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM docs, sizes WHERE len(w) >= n)),
+hits AS (SELECT rid, n, i, item_id FROM windows JOIN grams USING (g)),
+spots AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY rid),
 found AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)
+FROM docs LEFT JOIN spots USING (rid) LEFT JOIN found USING (rid)
 """
 
 _BITS = "list_aggregate(list_transform(generate_series(1, 40), lambda i: lpad(bin(strpos('123456789abcdef', substr(h, CAST(i AS INT), 1))), 4, '0')), 'string_agg', '')"
@@ -124,16 +125,20 @@ FROM (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)
 """
 
 _OP5 = f"""
-WITH l AS (
-  SELECT source, doc_id, trim(line, ' ') AS k, line, i
-  FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)),
-t AS (SELECT source, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY source),
+WITH r AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+l AS (
+  SELECT rid, source, trim(line, ' ') AS k, line, i
+  FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM r)),
+t AS (SELECT source, count(*) AS n FROM r WHERE text IS NOT NULL GROUP BY source),
 bad AS (
-  SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS c FROM l WHERE k <> '' GROUP BY source, k) JOIN t USING (source)
-  WHERE c >= {lines.MIN_PAGES} AND c > CAST({lines.RATIO} AS DOUBLE) * n)
-SELECT doc_id, coalesce(string_agg(CASE WHEN bad.k IS NULL THEN line END, chr(10) ORDER BY i), '') AS text,
-  count(*) AS n_lines, count(bad.k) AS n_dropped
-FROM l LEFT JOIN bad ON l.source = bad.source AND l.k = bad.k GROUP BY doc_id
+  SELECT c.source, k FROM (SELECT source, k, count(DISTINCT rid) AS c FROM l WHERE k <> '' GROUP BY source, k) c
+  JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE c >= {lines.MIN_PAGES} AND c > CAST({lines.RATIO} AS DOUBLE) * n),
+m AS (SELECT rid, line, i, bad.k IS NOT NULL AS hit FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.k = bad.k),
+g AS (
+  SELECT rid, string_agg(CASE WHEN NOT hit THEN line END, chr(10) ORDER BY i) AS rest, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_dropped
+  FROM m GROUP BY rid)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM r LEFT JOIN g USING (rid)
 """
 
 
