@@ -1,55 +1,5 @@
-"""A training corpus from raw documents: five filtering stages, each over all that the one before it kept.
+"""The corpus pipeline: its stages, their SQL (None: SQL can't express them all) and how they are run."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the shared folder and reads
-it again as the next one's docs, so a lost executor brings back one stage's work at most. All but the last return the
-columns of documents; the last gives token ids.
-"""
+from estatelake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from estatelake.llm import decontaminate, jaccard, lines, sentencepieces, toxicity
-from estatelake.llm.common import written
-from estatelake.llm.queries import model_file
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of 0.5 or more go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score_texts(docs, toxicity.fitted(docs, labels), keep_below=0.5)
-
-
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of a source's documents go; n_chars is that of the text that stays."""
-    out = lines.drop_boilerplate(docs)
-    return out.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by n-gram Jaccard similarity the one with the least id stays."""
-    return jaccard.keep_one(docs)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of benchmark words go."""
-    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, n_tokens, ids and whether they decode to the text again."""
-    return sentencepieces.encode_texts(docs, model_file())
-
-
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("jaccard_join", drop_near_copies), ("decontamination", drop_contaminated), ("sentencepiece", tokenize)]
-
-#: SQL can express neither the machine of the first stage nor the tokens of the last.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
