@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import forget, written
+
 NEAR = 40
 DIGITS = re.compile(r"[0-9]+")
 KEY_CHARS = frozenset(string.ascii_letters + string.digits + "_+/=.~%:@-")
@@ -42,11 +44,21 @@ DICTIONARY, LETTERS, SEEN = 20_000, 4, 3
 
 
 def corpus_words(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
-    """The ``most`` words (LETTERS ASCII letters and more, lower case) that most documents hold, counted over all whole texts;
-    ties go by the alphabet. The list that comes to the driver is bounded by ``most``."""
+    """Words (LETTERS ASCII letters and more, lower case) that most documents hold, counted over all whole texts: as many as
+    fit into ``most``, words of about one frequency (within a 16th of a power of two) all or none. What comes to the driver is
+    bounded by ``most`` words and some hundred counts."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(f"[a-z]{{{LETTERS},20}}"), F.lit(0)))
     counted = docs.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
-    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()]
+    counted = written(counted.select("w", F.floor(F.log2("n") * 16).cast("int").alias("level")), "words")
+    total, least = 0, None
+    for r in counted.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        total += r["n"]
+        if total > most:
+            break
+        least = r["level"]
+    out = [] if least is None else sorted(r["w"] for r in counted.where(F.col("level") >= least).select("w").collect())
+    forget(counted)
+    return out
 
 
 class Dictionary:
