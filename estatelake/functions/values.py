@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Trust in a source, 1 is best; unknown sources and null are 10.
-SOURCE_TRUST = {"sreality": 1, "bezrealitky": 2, "idnes": 3, "mmreality": 4, "remax": 5, "maxima": 6, "ceskereality": 7, "realitymix": 8, "bazos": 9}
 INT_MOST = 2**31 - 1
 
 
@@ -36,9 +32,10 @@ def placeholder_area(area: Column) -> Column:
     return F.when(area > 0, area)
 
 
-def source_trust(source: Column) -> Column:
-    chain = reduce(lambda w, kv: w.when(source == kv[0], kv[1]), list(SOURCE_TRUST.items())[1:], F.when(source == "sreality", 1))
-    return chain.otherwise(10).cast("short")
+def source_trust(source: Column, ranks: dict[str, int], otherwise: int = 10) -> Column:
+    """Trust in a source by a table of ranks (1 is best); unknown sources and null take ``otherwise``."""
+    known = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
+    return F.coalesce(known[source], F.lit(otherwise)).cast("short")
 
 
 def price_changed(before: Column, now: Column, pct: float) -> Column:

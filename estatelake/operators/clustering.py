@@ -83,3 +83,9 @@ def greedy_phrases(df: DataFrame, scope: str, phrase: str, count: str) -> DataFr
 
     schema = T.StructType([rows.schema[scope], T.StructField("head", T.StringType()), rows.schema[phrase], T.StructField("count", T.LongType())])
     return rows.where(F.col(phrase).isNotNull()).groupBy(scope).applyInPandas(run, schema)
+
+
+def majority(rows: DataFrame, keys: list[str], vote: str) -> DataFrame:
+    """Per group the most frequent vote and its count; ties go to the smaller vote, nulls don't vote."""
+    n = rows.where(F.col(vote).isNotNull()).groupBy(*keys, vote).agg(F.count("*").alias("votes"))
+    return n.groupBy(*keys).agg(F.min_by(F.struct(vote, "votes"), F.struct((-F.col("votes")).alias("n"), F.col(vote))).alias("_m")).select(*keys, F.col(f"_m.{vote}").alias(vote), F.col("_m.votes").alias("votes"))

@@ -44,13 +44,22 @@ def with_latest(df: DataFrame, history: DataFrame, key: str, order: list[str], c
 
 
 def merge_chain(merges: DataFrame, child: str = "merged_id", parent: str = "into_id", depth: int = 20) -> DataFrame:
-    """(node, survivor) by pointer doubling: a chain of 2^n merges takes n joins; ``depth`` bounds the chain's length."""
-    m = merges.select(F.col(child).alias("node"), F.col(parent).alias("survivor")).distinct()
-    steps = max(1, (depth - 1).bit_length())
-    for _ in range(steps):
-        nxt = m.select(F.col("node").alias("_n"), F.col("survivor").alias("_s"))
-        m = m.join(nxt, F.col("survivor") == F.col("_n"), "left").select("node", F.coalesce("_s", "survivor").alias("survivor"))
-    return m
+    """(node, survivor) of merge chains, followed for ``depth`` merges at most: a longer chain, or a ring, gives the node that
+    many steps on. By pointer doubling, so that it takes two joins for each binary digit of ``depth``."""
+    step = merges.select(F.col(child).alias("node"), F.col(parent).alias("survivor")).distinct()
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        on = second.select(F.col("node").alias("_n"), F.col("survivor").alias("_s"))
+        return first.join(on, F.col("survivor") == F.col("_n"), "left").select("node", F.coalesce("_s", "survivor").alias("survivor"))
+
+    out = None
+    while depth:
+        if depth & 1:
+            out = step if out is None else then(out, step)
+        depth >>= 1
+        if depth:
+            step = then(step, step)
+    return out
 
 
 def apply_ledger(members: DataFrame, ledger: DataFrame, key: str = "property_id") -> DataFrame:
@@ -110,6 +119,17 @@ def upsert(current: DataFrame, batch: DataFrame, keys: list[str], preserve: list
     return j.select(*[pick(c) for c in current.columns])
 
 
+def update_from(current: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Current rows with ``columns`` taken from the source's row of their key, where there is one (its nulls too). The source
+    must hold a key once; a key that it repeats is an error rather than a choice by chance."""
+    twice = source.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").limit(1)
+    if twice.count():
+        raise ValueError(f"update_from: the source repeats a key of {keys}")
+    s = source.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_here"))
+    j = current.join(s, keys, "left")
+    return j.select(*[F.when(F.col("_here"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in current.columns])
+
+
 def mark_inactive(current: DataFrame, seen: DataFrame, keys: list[str], scope: Column, complete: bool) -> DataFrame:
     """Rows of a completely walked scope that were not seen become inactive; an incomplete walk marks nothing."""
     if not complete:

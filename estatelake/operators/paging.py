@@ -67,6 +67,14 @@ def claim_queue(df: DataFrame, limit: int, most_attempts: int = 5) -> DataFrame:
     return df.where((F.col("attempts") < most_attempts) & F.col("claimed_at").isNull()).orderBy(F.desc("priority"), "enqueued_at", "id").limit(limit)
 
 
+def lease(claims: DataFrame, resource: str, holder: str, order: list[str], now: str, seconds: int) -> DataFrame:
+    """Who holds each resource at ``now`` by the last claim before it (``order`` begins with its time), and whether the lease has
+    run out, so that another may take it."""
+    at = F.lit(now).cast("timestamp_ntz")
+    last = claims.where(F.col(order[0]) <= at).groupBy(resource).agg(F.max_by(F.struct(holder, order[0]), F.struct(*order)).alias("_l"))
+    return last.select(resource, F.col(f"_l.{holder}").alias(holder), (F.unix_timestamp(at) - F.unix_timestamp(F.col(f"_l.{order[0]}")) >= seconds).alias("free"))
+
+
 def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts of every value of each column (facet, value, n) in one pass over unpivoted rows."""
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns]))

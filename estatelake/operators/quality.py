@@ -138,20 +138,25 @@ def scorecard(df: DataFrame, keys: list[str], truth: str, asserted: str) -> Data
     return df.groupBy(*keys).agg(c(known).alias("determinable"), c(said & known).alias("asserted"), c(hit).alias("matches"), F.round(100.0 * c(hit) / F.nullif(c(said & known), F.lit(0)), 2).alias("precision_pct"), F.round(100.0 * c(hit) / F.nullif(c(known), F.lit(0)), 2).alias("yield_pct"))
 
 
-def load_assertions(now: dict[str, int], before: dict[str, int], low: float = 0.9, high: float = 1.5, slack: int = 100) -> list[tuple[str, str]]:
-    """(table, verdict) of row counts against the load before: shrunk, grown, missing or ok."""
-    out = []
-    for name, n0 in sorted(before.items()):
-        n1 = now.get(name)
-        if n1 is None:
-            out.append((name, "missing"))
-        elif n1 + slack < low * n0:
-            out.append((name, "shrunk"))
-        elif n1 > high * n0 + slack:
-            out.append((name, "grown"))
-        else:
-            out.append((name, "ok"))
-    return out
+def load_assertions(now: DataFrame, before: DataFrame, low: float = 0.9, high: float = 1.5, slack: int = 100) -> DataFrame:
+    """(name, n, was, verdict) of row counts (name, n) against the load before: missing, shrunk, grown, new or ok."""
+    j = now.select("name", F.col("n").cast("long").alias("n")).join(before.select("name", F.col("n").cast("long").alias("was")), "name", "full")
+    n, was = F.col("n"), F.col("was")
+    verdict = F.when(n.isNull(), "missing").when(was.isNull(), "new").when(n + slack < low * was, "shrunk").when(n > high * was + slack, "grown").otherwise("ok")
+    return j.withColumn("verdict", verdict)
+
+
+def top_spenders(df: DataFrame, key: str, amount: str, most: int = 10) -> DataFrame:
+    """The keys with the largest sums, with their share of the whole."""
+    total = df.agg(F.sum(amount).alias("_total"))
+    g = df.groupBy(key).agg(F.round(F.sum(amount), 4).alias("spent"), F.count("*").alias("calls"))
+    return g.join(F.broadcast(total)).select(key, "spent", "calls", F.round(F.col("spent") / F.col("_total"), 6).alias("share")).orderBy(F.desc("spent"), key).limit(most)
+
+
+def storage_projection(daily: DataFrame, day: str, size: str, days: int) -> DataFrame:
+    """One row: days seen, mean bytes a day, and the bytes that ``days`` more would add at that rate."""
+    one = daily.agg(F.count(day).alias("days"), F.avg(F.col(size).cast("double")).alias("_mean"))
+    return one.select("days", F.bround("_mean", 2).alias("bytes_a_day"), F.bround(F.col("_mean") * days, 0).cast("long").alias("projected"))
 
 
 def failures(df: DataFrame, keys: list[str], at: str, ok: str) -> DataFrame:

@@ -11,29 +11,40 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE, grid, haversine
+from ..functions.geo import DEGREE, EARTH, grid, haversine
 from ..storage import written
 
-#: Largest latitude for which cell sizes are computed.
-NORTH = 60.0
+def steps(metres: float, north: float) -> tuple[float, float]:
+    """Cell height and width in degrees, so that points within ``metres`` lie in cells that touch, up to latitude ``north`` on
+    either side. Columns divide the circle, so that the last one touches the first."""
+    narrow = math.cos(math.radians(min(89.99, abs(north) + 2 * metres / DEGREE)))
+    wide = metres / (DEGREE * narrow) * 1.001 if narrow > 0 else 360.0
+    return metres / DEGREE * 1.001, 360.0 / max(1, math.floor(360.0 / wide))
 
 
-def steps(metres: float) -> tuple[float, float]:
-    """Cell height and width in degrees, so that points within ``metres`` lie in cells that touch, up to latitude NORTH."""
-    return metres / DEGREE * 1.001, metres / (DEGREE * math.cos(math.radians(NORTH))) * 1.001
+def north_of(*sides: tuple[DataFrame, str]) -> float:
+    """The largest latitude, on either side, of several frames' columns; one number comes to the driver."""
+    tops = [df.agg(F.max(F.abs(F.col(c)))).first()[0] for df, c in sides]
+    return max((float(t) for t in tops if t is not None), default=0.0)
+
+
+def _column(lng: Column, step: float, off: Column | int = 0) -> Column:
+    return F.pmod(grid(lng + 180.0, step) + off, F.lit(round(360.0 / step)).cast("long"))
 
 
 def _around(df: DataFrame, lat: str, lng: str, step: tuple[float, float]) -> DataFrame:
     """Rows once for each of the nine cells around."""
-    off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    columns = round(360.0 / step[1])
+    off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in sorted({j % columns for j in (-1, 0, 1)})])
     d = df.withColumn("_o", F.explode(off))
-    return d.withColumn("_y", grid(F.col(lat), step[0]) + F.col("_o.i")).withColumn("_x", grid(F.col(lng), step[1]) + F.col("_o.j")).drop("_o")
+    return d.withColumn("_y", grid(F.col(lat), step[0]) + F.col("_o.i")).withColumn("_x", _column(F.col(lng), step[1], F.col("_o.j"))).drop("_o")
 
 
 def radius_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """Pairs of left (id, lat, lng) and right (rid, rlat, rlng) within ``metres``, with ``distance``."""
-    step = steps(metres)
-    a = left.withColumn("_y", grid(F.col("lat"), step[0])).withColumn("_x", grid(F.col("lng"), step[1]))
+    """Pairs of left (id, lat, lng) and right (rid, rlat, rlng) within ``metres``, with ``distance``. Cells are as wide as the
+    data's own largest latitude needs, and go around the earth, so no pair is lost near a pole or at the date line."""
+    step = steps(metres, north_of((right, "rlat")))
+    a = left.withColumn("_y", grid(F.col("lat"), step[0])).withColumn("_x", _column(F.col("lng"), step[1]))
     d = haversine(F.col("lat"), F.col("lng"), F.col("rlat"), F.col("rlng"))
     return a.join(_around(right, "rlat", "rlng", step), ["_y", "_x"]).withColumn("distance", d).where(F.col("distance") <= metres).drop("_y", "_x")
 
@@ -44,19 +55,22 @@ def nearest_within(left: DataFrame, right: DataFrame, metres: float) -> DataFram
     return left.join(near, "id", "left").select(*left.columns, F.col("_n.rid").alias("nearest_id"), F.col("_n.distance").alias("nearest_m"))
 
 
-def nearest(left: DataFrame, right: DataFrame, start: float = 5_000, rings: int = 8) -> DataFrame:
-    """Nearest neighbour by growing rings: rows that a radius doesn't settle go on with three times the radius, until none is
-    open; what the last ring leaves open has nulls. Each ring is written, so none is computed twice."""
-    open_, out, metres = left, None, start
-    for _ in range(rings):
+def nearest(left: DataFrame, right: DataFrame, start: float = 5_000) -> DataFrame:
+    """Nearest neighbour by growing rings: places that a radius doesn't settle go on with three times the radius, until none is
+    open or the ring holds the earth. Rows of one place are settled once. Each ring is written, so none is computed twice; only
+    an empty right side leaves nulls."""
+    places = written(left.select("lat", "lng").distinct().withColumn("id", F.monotonically_increasing_id()), "places")
+    open_, out, metres = places, None, start
+    while True:
         got = written(nearest_within(open_, right, metres), "nearest")
         done = got.where("nearest_id is not null")
         out = done if out is None else out.unionByName(done)
-        open_ = got.where("nearest_id is null").select(*left.columns)
-        metres *= 3
-        if open_.isEmpty():
+        open_ = got.where("nearest_id is null").select("lat", "lng", "id")
+        if metres > math.pi * EARTH or open_.isEmpty():
             break
-    return out.unionByName(open_.withColumn("nearest_id", F.lit(None).cast(right.schema["rid"].dataType)).withColumn("nearest_m", F.lit(None).cast("double")))
+        metres *= 3
+    found = out.select(F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), "nearest_id", "nearest_m")
+    return left.join(found, left["lat"].eqNullSafe(F.col("_lat")) & left["lng"].eqNullSafe(F.col("_lng")), "left").drop("_lat", "_lng")
 
 
 def proximity_maxima(left: DataFrame, right: DataFrame, measures: list[str], radii: dict[str, float]) -> DataFrame:
@@ -103,7 +117,7 @@ def segment_distance(lat: Column, lng: Column, alat: Column, alng: Column, blat:
 def corridor(points: DataFrame, segments: DataFrame, metres: float) -> DataFrame:
     """Each point (id, lat, lng) within ``metres`` of a line with its nearest line: segments are rows (line, alat, alng, blat,
     blng); ties go to the smaller line. A segment stands in every cell of its widened box."""
-    sy, sx = steps(max(metres, 1_000))
+    sy, sx = steps(max(metres, 1_000), north_of((segments, "alat"), (segments, "blat")))
     cells = lambda a, b, step: F.sequence(grid(F.least(a, b), step) - 1, grid(F.greatest(a, b), step) + 1)
     s = segments.withColumn("_y", F.explode(cells(F.col("alat"), F.col("blat"), sy))).withColumn("_x", F.explode(cells(F.col("alng"), F.col("blng"), sx)))
     a = points.withColumn("_y", grid(F.col("lat"), sy)).withColumn("_x", grid(F.col("lng"), sx))
@@ -129,9 +143,20 @@ def supply_class(ratio: Column) -> Column:
     return F.when(ratio < 0.5, "scarce").when(ratio < 1.5, "adequate").when(ratio.isNotNull(), "abundant")
 
 
-def collisions(pins: DataFrame, threshold: int = 5, min_streets: int = 2) -> DataFrame:
-    """Pins (source, cell, street_key, foreign, near_centre_m) per (source, cell) with their class, in the order of the rules."""
+def collisions(pins: DataFrame, threshold: int = 5, min_streets: int = 2, multiunit: Column | None = None) -> DataFrame:
+    """Pins (source, cell, street_key, foreign, near_centre_m) per (source, cell) with their class, in the order of the rules.
+    ``multiunit``: a condition on the source whose several pins in one cell are units of one building."""
     g = pins.groupBy("source", "cell").agg(F.count("*").alias("n"), F.countDistinct("street_key").alias("streets"), F.avg(F.when(F.col("foreign"), 1.0).otherwise(0.0)).alias("foreign_share"), F.min("near_centre_m").alias("near_m"))
-    many = (F.col("n") >= threshold) & (F.col("streets") >= min_streets)
-    cls = F.when(F.col("n") < 2, "normal").when(F.col("foreign_share") >= 0.5, "foreign_resort_centroid").when(many & (F.col("near_m") <= 150), "town_centroid_suspect").when(many, "parser_collapse_suspect").when(F.col("streets") <= 1, "building_1_to_many").otherwise("normal")
+    over = F.col("n") >= threshold
+    many = over & (F.col("streets") >= min_streets)
+    units = (F.lit(False) if multiunit is None else F.coalesce(multiunit, F.lit(False))) & ~over
+    cls = (
+        F.when(F.col("n") < 2, "normal")
+        .when(F.col("foreign_share") >= 0.5, "foreign_resort_centroid")
+        .when(many & (F.col("near_m") <= 150), "town_centroid_suspect")
+        .when(many, "parser_collapse_suspect")
+        .when(units, "legitimate_multiunit")
+        .when(F.col("streets") <= 1, "building_1_to_many")
+        .otherwise("normal")
+    )
     return g.withColumn("class", cls)

@@ -19,21 +19,23 @@ def rounded_percentile(column: str | Column, p: float) -> Column:
     return F.bround(F.percentile(column, p), 0).cast("long")
 
 
+def points(column: str | Column, at: tuple[float, ...]) -> Column:
+    """Interpolated percentiles as an array, from one pass over one map of values."""
+    return F.percentile(column, list(at))
+
+
 def distribution(df: DataFrame, field: str, keys: list[str]) -> DataFrame:
     """Per group: n, min, max, mean, median; from five values on also p10, p25, p75, p90, sample deviation and iqr."""
     v = F.col(field).cast("double")
-    many = F.count(v) >= 5
-    p = lambda q, name: F.when(many, F.percentile(v, q)).alias(name)
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), p(0.1, "p10"), p(0.25, "p25"), p(0.75, "p75"), p(0.9, "p90"), F.when(many, F.stddev_samp(v)).alias("stddev"))
-        .withColumn("iqr", F.col("p75") - F.col("p25"))
-    )
+    g = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), points(v, (0.5, 0.1, 0.25, 0.75, 0.9)).alias("_p"), F.stddev_samp(v).alias("_s"))
+    many = F.col("n") >= 5
+    at = {n: F.when(many, F.col("_p")[i]).alias(n) for i, n in ((1, "p10"), (2, "p25"), (3, "p75"), (4, "p90"))}
+    return g.select(*keys, "n", "min", "max", "mean", F.col("_p")[0].alias("median"), *at.values(), F.when(many, F.col("_s")).alias("stddev"), F.when(many, F.col("_p")[3] - F.col("_p")[2]).alias("iqr"))
 
 
 def outliers(df: DataFrame, field: str, keys: list[str], need_spread: bool = False) -> DataFrame:
     """Rows farther from their group's median than 1.5 iqr (strictly); groups of under five have none. ``need_spread``
-    leaves out groups whose iqr is 0."""
+    leaves out groups whose iqr is 0. Adds median and iqr."""
     d = distribution(df, field, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "median", "iqr")
     on = [df[k].eqNullSafe(d[f"_{k}"]) for k in keys]
     out = df.join(d, on).where(F.abs(F.col(field).cast("double") - F.col("median")) > 1.5 * F.col("iqr"))
@@ -41,17 +43,34 @@ def outliers(df: DataFrame, field: str, keys: list[str], need_spread: bool = Fal
     return out.drop(*[f"_{k}" for k in keys])
 
 
+def outlier_reasons(found: DataFrame, field: str, failures: DataFrame, history: DataFrame, key: str, long_days: int = 90) -> DataFrame:
+    """Outliers with their deviation in iqr units, direction and reasons: statistical_outlier always, fetch_failures where
+    ``failures`` (key, attempts) has some, stairstep_dropping and long_time_on_market by ``history`` (key, pattern, tom_days)."""
+    j = found.join(failures.select(key, "attempts"), key, "left").join(history.select(key, "pattern", "tom_days"), key, "left")
+    off = F.when(F.col("iqr") > 0, (F.col(field) - F.col("median")) / F.col("iqr")).otherwise(0.0)
+    reasons = [F.lit("statistical_outlier"), F.when(F.col("attempts") > 0, "fetch_failures"), F.when(F.col("pattern") == "stairstep_dropping", "stairstep_dropping"), F.when(F.col("tom_days") > long_days, "long_time_on_market")]
+    out = j.withColumn("deviation", F.round(off, 4)).withColumn("direction", F.when(F.col(field) > F.col("median"), "high").otherwise("low"))
+    return out.withColumn("reasons", F.array_compact(F.array(*reasons))).drop("attempts", "pattern", "tom_days")
+
+
+def whole(point: Column) -> Column:
+    """A percentile as a whole number, halves to even."""
+    return F.bround(point, 0).cast("long")
+
+
 def boxes(df: DataFrame, field: str, keys: list[str], least: int = 1) -> DataFrame:
     """Quartiles as whole numbers per group of at least ``least`` values."""
     v = F.col(field)
-    return df.groupBy(*keys).agg(F.count(v).alias("n"), *[rounded_percentile(v, p).alias(f"p{int(p * 100)}") for p in BOX]).where(F.col("n") >= least)
+    g = df.groupBy(*keys).agg(F.count(v).alias("n"), points(v, BOX).alias("_p")).where(F.col("n") >= least)
+    return g.select(*keys, "n", *[whole(F.col("_p")[i]).alias(f"p{int(p * 100)}") for i, p in enumerate(BOX)])
 
 
 def browse_stats(df: DataFrame, as_of: datetime) -> DataFrame:
     """One row: total, new in 7 and 30 days, quartiles of price and of price per m2."""
     first, ppm = F.col("first_seen_at"), values.price_per_m2(F.col("price_czk"), F.col("area_m2"))
     new = lambda days, name: F.count(F.when(first >= F.lit(as_of) - F.make_dt_interval(days=F.lit(days)), 1)).alias(name)
-    return df.agg(F.count("*").alias("total"), new(7, "new_7d"), new(30, "new_30d"), *[rounded_percentile("price_czk", p).alias(f"price_p{int(p * 100)}") for p in BOX], *[rounded_percentile(ppm, p).alias(f"ppm_p{int(p * 100)}") for p in BOX])
+    one = df.agg(F.count("*").alias("total"), new(7, "new_7d"), new(30, "new_30d"), points("price_czk", BOX).alias("_price"), points(ppm, BOX).alias("_ppm"))
+    return one.select("total", "new_7d", "new_30d", *[whole(F.col(f"_{n}")[i]).alias(f"{n}_p{int(p * 100)}") for n in ("price", "ppm") for i, p in enumerate(BOX)])
 
 
 def price_band_velocity(df: DataFrame, price: str = "price_czk", tom: str = "tom_days") -> DataFrame:
@@ -66,8 +85,9 @@ def price_band_velocity(df: DataFrame, price: str = "price_czk", tom: str = "tom
         F.round(F.count("*") / F.max("_total"), 4).alias("share"),
         F.min(price).alias("price_min"),
         F.max(price).alias("price_max"),
-        *[rounded_percentile(tom, p).alias(f"tom_p{int(p * 100)}") for p in BOX],
+        points(tom, BOX).alias("_tom"),
     )
+    agg = agg.select("band", "n", "share", "price_min", "price_max", *[whole(F.col("_tom")[i]).alias(f"tom_p{int(p * 100)}") for i, p in enumerate(BOX)])
     bands = df.sparkSession.range(1, len(BAND_CUTS) + 2).select(F.col("id").cast("int").alias("band"))
     return bands.join(agg, "band", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -89,13 +109,15 @@ def market_velocity(df: DataFrame, keys: list[str], as_of: datetime, split_days:
     within the last ``split_days`` and before."""
     recent = F.col("first_seen_at") > F.lit(as_of) - F.make_dt_interval(days=F.lit(split_days))
     t = F.col("tom_days").cast("double")
-    return df.groupBy(*keys).agg(
+    at = (0.1, 0.25, 0.5, 0.75, 0.9)
+    g = df.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.bround(F.avg(t), 2).alias("mean"),
-        *[F.bround(F.percentile(t, p), 2).alias(f"p{int(p * 100)}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)],
+        points(t, at).alias("_p"),
         F.bround(F.percentile(F.when(recent, t), 0.5), 2).alias("recent_median"),
         F.bround(F.percentile(F.when(~recent, t), 0.5), 2).alias("older_median"),
     )
+    return g.select(*keys, "n", "mean", *[F.bround(F.col("_p")[i], 2).alias(f"p{int(p * 100)}") for i, p in enumerate(at)], "recent_median", "older_median")
 
 
 def listing_velocity(df: DataFrame, key: str, peers: list[str], tom: str = "tom_days") -> DataFrame:
@@ -127,21 +149,40 @@ def confidence(n: Column, iqr: Column, median: Column, median_age: Column, stale
     return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), level.cast("int") + 1)
 
 
+def _confidence_of(n: Column, p: Column) -> Column:
+    return confidence(n, F.when(n < 5, None).otherwise(p[2] - p[0]), p[1], F.col("_age"), F.col("_stale"))
+
+
+def _aged(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
+    """Per group: n, quartiles of a value, and the median and greatest age and the share of rows beyond 14 days."""
+    return df.withColumn("_v", value).groupBy(*keys).agg(F.count("_v").alias("n"), points("_v", BOX).alias("_p"), F.percentile("age_days", 0.5).alias("_age"), F.max("age_days").alias("_oldest"), F.avg(F.when(F.col("age_days") > 14, 1.0).otherwise(0.0)).alias("_stale"))
+
+
 def estimate(df: DataFrame, keys: list[str], subject_area: float) -> DataFrame:
     """Comparable-based estimate per group: median price per m2 scaled to the subject's area, its range and confidence."""
+    base = _aged(df, values.price_per_m2(F.col("price_czk"), F.col("area_m2")), keys)
+    money = lambda i: F.bround(F.col("_p")[i] * subject_area, 0).cast("long")
+    return base.select(*keys, "n", money(0).alias("low"), money(1).alias("estimate"), money(2).alias("high"), _confidence_of(F.col("n"), F.col("_p")).alias("confidence"))
+
+
+#: What an estimate warns of, in this order.
+WARNINGS = ("small sample", "cohort data is stale", "more than half of comparables have not been seen in over 14 days", "oldest comparable is over 30 days old", "comparables verified during this estimate")
+
+
+def estimate_yield(sales: DataFrame, rents: DataFrame, keys: list[str], subject_area: float, verified: Column | None = None) -> DataFrame:
+    """Per group a price and a rent from comparables for sale and for rent, both as ``estimate`` gives them, the gross yield of
+    the two, the confidence of the rent's comparables and what they warn of. A group without either side has nulls there.
+    ``verified``: a condition on rents that were looked at again for this estimate.
+    """
+    p = estimate(sales, keys, subject_area).select(*keys, F.col("n").alias("n_sales"), F.col("estimate").alias("price"))
     ppm = values.price_per_m2(F.col("price_czk"), F.col("area_m2"))
-    base = df.withColumn("_ppm", ppm).groupBy(*keys).agg(
-        F.count("_ppm").alias("n"),
-        F.percentile("_ppm", 0.25).alias("_p25"),
-        F.percentile("_ppm", 0.5).alias("_p50"),
-        F.percentile("_ppm", 0.75).alias("_p75"),
-        F.percentile("age_days", 0.5).alias("_age"),
-        F.avg(F.when(F.col("age_days") > 14, 1.0).otherwise(0.0)).alias("_stale"),
-    )
-    money = lambda c: F.bround(F.col(c) * subject_area, 0).cast("long")
-    few = F.col("n") < 5
-    conf = confidence(F.col("n"), F.when(few, None).otherwise(F.col("_p75") - F.col("_p25")), F.col("_p50"), F.col("_age"), F.col("_stale"))
-    return base.select(*keys, "n", money("_p25").alias("low"), money("_p50").alias("estimate"), money("_p75").alias("high"), conf.alias("confidence"))
+    seen = rents.withColumn("_seen", F.lit(False) if verified is None else verified)
+    r = _aged(seen, ppm, keys).join(seen.groupBy(*keys).agg(F.count(F.when(F.col("_seen"), 1)).alias("_verified")), keys)
+    money = lambda i: F.bround(F.col("_p")[i] * subject_area, 0).cast("long")
+    raised = (F.col("n") < 10, F.col("_age") > 14, F.col("_stale") > 0.5, F.col("_oldest") > 30, F.col("_verified") > 0)
+    warnings = F.array_compact(F.array(*[F.when(c, w) for c, w in zip(raised, WARNINGS, strict=True)]))
+    r = r.select(*keys, F.col("n").alias("n_rents"), money(0).alias("rent_low"), money(1).alias("rent"), money(2).alias("rent_high"), _confidence_of(F.col("n"), F.col("_p")).alias("confidence"), warnings.alias("warnings"))
+    return p.join(r, keys, "full").withColumn("yield_pct", values.gross_yield_pct(F.col("rent"), F.col("price")))
 
 
 def relaxation_counts(df: DataFrame, steps: list[tuple[str, Column]], least: int = 5) -> DataFrame:

@@ -85,7 +85,7 @@ add("j16_tree", lambda f: f.table("customer").join(F.broadcast(f.table("nation")
 add("j18_parallel_arrays", lambda f: f.spark.sql("SELECT array(1L, 2L, 3L) AS ids, array(10.5D, 20.5D, 30.5D) AS drops").select(F.explode(F.arrays_zip("ids", "drops")).alias("d")).select("d.*").join(f.table("part"), F.col("ids") == F.col("p_partkey")).select("ids", "drops", "p_name"), "SELECT ids, drops, p_name FROM (SELECT unnest([1::BIGINT, 2, 3]) AS ids, unnest([10.5::DOUBLE, 20.5, 30.5]) AS drops) JOIN part ON ids = p_partkey")
 add("j19_json_lateral", lambda f: f.events.select("event_id", F.explode(F.from_json("props", "map<string, int>")).alias("key", "v")).groupBy("key").agg(F.count("*").alias("n"), F.sum("v").alias("total")), "SELECT 'k' AS key, count(*) AS n, CAST(sum(CAST(props ->> '$.k' AS INT)) AS BIGINT) AS total FROM events")
 add("j20_unpivot", lambda f: f.listing_np.selectExpr("id", "stack(3, 'price', cast(price_czk as double), 'area', cast(area_m2 as double), 'floor', cast(floor as double)) as (field, value)").groupBy("field").agg(F.count("value").alias("filled"), F.count("*").alias("n")), "SELECT field, count(v) AS filled, count(*) AS n FROM (SELECT 'price' AS field, price_czk AS v FROM listing_np UNION ALL SELECT 'area', area_m2 FROM listing_np UNION ALL SELECT 'floor', floor FROM listing_np) GROUP BY field", LISTING_NP)
-add("j22_pair_both_sides", lambda f: f.table("lineitem").select(F.explode(F.array("l_partkey", "l_suppkey")).alias("id")).agg(F.countDistinct("id").alias("n")), "SELECT count(DISTINCT id) AS n FROM (SELECT l_partkey AS id FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem)")
+add("j22_pair_both_sides", lambda f: f.table("lineitem").select("l_orderkey", F.explode(F.array(F.struct(F.lit("part").alias("side"), F.col("l_partkey").alias("id")), F.struct(F.lit("supplier").alias("side"), F.col("l_suppkey").alias("id")))).alias("s")).select("l_orderkey", "s.*").groupBy("side", "id").agg(F.countDistinct("l_orderkey").alias("pairs")), "SELECT side, id, count(DISTINCT l_orderkey) AS pairs FROM (SELECT l_orderkey, 'part' AS side, l_partkey AS id FROM lineitem UNION ALL SELECT l_orderkey, 'supplier', l_suppkey FROM lineitem) GROUP BY side, id")
 
 
 def _lookup(f: Frames):
@@ -94,7 +94,16 @@ def _lookup(f: Frames):
 
 
 add("j24_s14_lookup", _lookup, "SELECT source, r.id, l.id IS NOT NULL AS found, price_czk FROM (VALUES ('1-URGENT', 1), ('1-URGENT', 4), ('5-LOW', 7), ('2-HIGH', 32), ('none', -5)) r(source, id) LEFT JOIN listing l USING (source, id)".replace("r.id, l.id", "id, l.o").replace("listing l", "(SELECT *, id AS o FROM listing) l"), LISTING)
-add("j25_w09_mode_match", lambda f: f.listing.groupBy("district", "building_type").agg(F.count("*").alias("n")).where("building_type is not null").withColumn("rn", _rn(["district"], [F.desc("n"), F.asc("building_type")])).where("rn = 1").select("district", "building_type", "n"), "SELECT district, building_type, n FROM (SELECT *, row_number() OVER (PARTITION BY district ORDER BY n DESC, building_type) AS rn FROM (SELECT district, building_type, count(*) AS n FROM listing WHERE building_type IS NOT NULL GROUP BY district, building_type)) WHERE rn = 1", LISTING)
+
+
+def _mode(f: Frames):
+    """For each polygon the district that most of the points in it belong to; ties go to the smaller name."""
+    p = f.people.select("id", "lat", "lng", "nation")
+    n = spatial.contained_in(p, _squares(f)).groupBy("unit", "nation").agg(F.count("*").alias("n"))
+    return n.withColumn("rn", _rn(["unit"], [F.desc("n"), F.asc("nation")])).where("rn = 1").select("unit", "nation", "n")
+
+
+add("j25_w09_mode_match", _mode, "SELECT unit, nation, n FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY n DESC, nation) AS rn FROM (SELECT unit, nation, count(*) AS n FROM people, squares WHERE lat > y AND lat < y + 1.09 AND lng > x AND lng < x + 3.11 GROUP BY unit, nation)) WHERE rn = 1", PEOPLE, _SQ)
 
 
 def _rn(keys, order):
@@ -109,7 +118,15 @@ def _walk(f: Frames):
 
 
 add("a49_walkability", _walk, f"SELECT id, round_even(sum(round_even(100 * greatest(0.0, 1 - d / 40000), 0) * w) / 6.0, 1) AS score, CAST(sum(n) AS BIGINT) AS amenities FROM (SELECT id, min(d) AS d, count(*) AS n, CASE rid % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM (SELECT *, {D} AS d FROM people, centres) WHERE d <= 40000 GROUP BY id, rid % 3) GROUP BY id", PEOPLE, CENTRES)
-add("a50_anchors", lambda f: spatial.radius_join(f.people.select("id", "lat", "lng"), f.centres, 25_000).groupBy("id").agg(F.count("*").alias("n"), F.round(F.min("distance"), 1).alias("nearest")), f"SELECT id, count(*) AS n, round(min(d), 1) AS nearest FROM (SELECT *, {D} AS d FROM people, centres) WHERE d <= 25000 GROUP BY id", PEOPLE, CENTRES)
+_KIND = "CASE rid % 3 WHEN 0 THEN 'school' WHEN 1 THEN 'shop' ELSE 'stop' END"
+
+
+def _anchors(f: Frames):
+    c = f.centres.withColumn("category", F.when(F.col("rid") % 3 == 0, "school").when(F.col("rid") % 3 == 1, "shop").otherwise("stop"))
+    return spatial.radius_join(f.people.select("id", "lat", "lng"), c, 25_000).groupBy("id", "category").agg(F.count("*").alias("n"), F.min_by("rid", F.struct("distance", "rid")).alias("nearest"), F.round(F.min("distance"), 1).alias("metres"))
+
+
+add("a50_anchors", _anchors, f"SELECT id, category, count(*) AS n, arg_min(rid, (d, rid)) AS nearest, round(min(d), 1) AS metres FROM (SELECT *, {_KIND} AS category, {D} AS d FROM people, centres) WHERE d <= 25000 GROUP BY id, category", PEOPLE, CENTRES)
 
 
 def _pins(f: Frames):
@@ -119,8 +136,8 @@ def _pins(f: Frames):
 
 add(
     "e11_pin_collisions",
-    lambda f: spatial.collisions(_pins(f)).withColumn("foreign_share", F.round("foreign_share", 4)),
-    "SELECT source, cell, n, streets, round(fs, 4) AS foreign_share, near_m, CASE WHEN n < 2 THEN 'normal' WHEN fs >= 0.5 THEN 'foreign_resort_centroid' WHEN n >= 5 AND streets >= 2 THEN CASE WHEN near_m <= 150 THEN 'town_centroid_suspect' ELSE 'parser_collapse_suspect' END WHEN streets <= 1 THEN 'building_1_to_many' ELSE 'normal' END AS class FROM (SELECT o_orderpriority AS source, (o_custkey * 37 % 25) || '|' || (o_custkey * 53 % 67) AS cell, count(*) AS n, count(DISTINCT o_orderkey % 3) AS streets, avg(CASE WHEN o_orderkey % 5 = 0 THEN 1.0 ELSE 0.0 END) AS fs, CAST(min(o_custkey % 400) AS DOUBLE) AS near_m FROM orders GROUP BY 1, 2)",
+    lambda f: spatial.collisions(_pins(f), 12, 2, F.col("source") == "1-URGENT").withColumn("foreign_share", F.round("foreign_share", 4)),
+    "SELECT source, cell, n, streets, round(fs, 4) AS foreign_share, near_m, CASE WHEN n < 2 THEN 'normal' WHEN fs >= 0.5 THEN 'foreign_resort_centroid' WHEN n >= 12 AND streets >= 2 THEN CASE WHEN near_m <= 150 THEN 'town_centroid_suspect' ELSE 'parser_collapse_suspect' END WHEN source = '1-URGENT' AND n < 12 THEN 'legitimate_multiunit' WHEN streets <= 1 THEN 'building_1_to_many' ELSE 'normal' END AS class FROM (SELECT o_orderpriority AS source, (o_custkey * 37 % 25) || '|' || (o_custkey * 53 % 67) AS cell, count(*) AS n, count(DISTINCT o_orderkey % 3) AS streets, avg(CASE WHEN o_orderkey % 5 = 0 THEN 1.0 ELSE 0.0 END) AS fs, CAST(min(o_custkey % 400) AS DOUBLE) AS near_m FROM orders GROUP BY 1, 2)",
 )
 add("a19_density", lambda f: spatial.density(f.listing, ["district"], 78.5), "SELECT district, count(*) AS n, round(count(*) / 78.5, 4) AS per_km2 FROM listing GROUP BY district", LISTING)
 
@@ -210,5 +227,5 @@ def _browse(f: Frames):
 
 add("p01_p04_browse_projection", _browse, f"SELECT id, {_TOM} AS tom_days, CASE WHEN area_m2 > 0 THEN CAST(round(CAST(price_czk / area_m2 AS DECIMAL(28, 10)), 2) AS DOUBLE) END AS price_per_m2, CAST(floor((epoch({AS_OF_SQL}) - epoch(last_seen_at)) / 86400) AS BIGINT) AS data_age_days, concat_ws(' ', district, region, disposition) AS place_search_text FROM listing_np", LISTING_NP)
 add("p06_public_view", lambda f: f.table("customer").select("c_custkey", "c_mktsegment", F.lit(None).cast("string").alias("phone"), F.col("c_name").isNotNull().alias("has_name")), "SELECT c_custkey, c_mktsegment, CAST(NULL AS VARCHAR) AS phone, c_name IS NOT NULL AS has_name FROM customer")
-add("s15_geojson", lambda f: f.people.select("id", readers.geojson(F.col("lat"), F.col("lng")).alias("geometry")).where("id <= 50").select("id", F.get_json_object("geometry", "$.coordinates[0]").cast("double").alias("lng"), F.get_json_object("geometry", "$.type").alias("type")), "SELECT id, CAST(round(lng, 5) AS DOUBLE) AS lng, 'Point' AS type FROM people WHERE id <= 50", PEOPLE)
+add("s15_geojson", lambda f: f.people.select("id", readers.geojson(F.col("lat"), F.col("lng")).alias("geometry")).select("id", F.get_json_object("geometry", "$.coordinates[0]").cast("double").alias("lng"), F.get_json_object("geometry", "$.type").alias("type")), "SELECT id, CAST(round(lng, 5) AS DOUBLE) AS lng, 'Point' AS type FROM people", PEOPLE)
 add("x11_cell_key", lambda f: f.people.select("id", geo.cell_key(F.col("lat"), F.col("lng")).alias("cell")), "SELECT id, CAST(CAST(lat AS DECIMAL(9, 4)) AS VARCHAR) || ',' || CAST(CAST(lng AS DECIMAL(9, 4)) AS VARCHAR) AS cell FROM people", PEOPLE)

@@ -24,36 +24,66 @@ def _growing(f: Frames):
 _CAGR = "CASE WHEN m1 - m0 >= 12 AND p0 > 0 THEN round_even((pow(p1 / p0, 12.0 / (m1 - m0)) - 1) * 100, 2) END"
 _G = f"g AS (SELECT entity, kind, {_CAGR} AS c FROM (SELECT entity, kind, min(m) AS m0, max(m) AS m1, arg_min(price, m) AS p0, arg_max(price, m) AS p1 FROM (SELECT *, year * 12 + month - 1 AS m FROM monthly) GROUP BY entity, kind))"
 add("f27_market_growth", _growing, "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT entity FROM g WHERE kind = 'sale' AND c > -5) AND c_nationkey IN (SELECT entity FROM g WHERE kind = 'rent' AND c > -5)", MONTHLY, _G)
-add("f30_escaped_term", lambda f: f.spark.createDataFrame([(1, "50% off"), (2, "500 off"), (3, "a_b"), (4, "axb")], "i int, s string").where(F.col("s").ilike(f"%{text.like_escaped('0%')}%") | F.col("s").ilike(f"%{text.like_escaped('a_')}%")).select("i"), "SELECT * FROM (VALUES (1), (3)) t(i)")
+add("f30_escaped_term", lambda f: f.table("documents").where(F.col("text").ilike(f"%{text.like_escaped('%')}%") | F.col("text").ilike(f"%{text.like_escaped('A_')}%")).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(text, '%') OR contains(lower(text), 'a_')")
 add("a02_a03_percentiles", lambda f: f.listing.groupBy("region").agg(F.round(F.percentile("price_czk", 0.37), 4).alias("raw"), F.bround(F.percentile("price_czk", 0.37), 0).cast("long").alias("whole")), "SELECT region, round(quantile_cont(price_czk, 0.37), 4) AS raw, CAST(quantile_cont(price_czk, 0.37) AS BIGINT) AS whole FROM listing GROUP BY region", LISTING)
 
 
-def _reference(f: Frames):
-    """Rent of flats by size class and new-build flag, with the yield from the unrounded rent."""
-    cls = text.size_class("disposition")
-    rate = F.when(F.col("building_type") == "skelet", 260.0).otherwise(200.0) + cls * 10
-    bonus = F.when(F.col("has_lift"), 5.0).otherwise(0.0) + F.when(F.col("floor") > 4, 3.0).otherwise(0.0)
-    rent = (rate + bonus) * F.col("area_m2")
-    ok = (F.col("price_czk") >= 100_000) & (F.col("area_m2") >= 12)
-    return f.listing_np.where(ok).select("id", F.bround(rent, 0).cast("long").alias("rent"), values.gross_yield_pct(rent, F.col("price_czk")).alias("yield_pct"))
+_RENTS = [(c, n, k, 200.0 + 10 * c + (60.0 if n else 0.0) + k) for c in (1, 2, 3, 4) for n in (False, True) for k in (0, 1)]
+_ADJUST = [("balcony", 5.0), ("garage", 9.0), ("elevator", 4.0), ("furnished", 12.0), ("other_material", 7.0)]
 
 
-add("a26_a27_reference_yield", _reference, "SELECT id, CAST(r AS BIGINT) AS rent, round_even(12 * r / price_czk * 100, 2) AS yield_pct FROM (SELECT *, (CASE WHEN building_type = 'skelet' THEN 260.0::DOUBLE ELSE 200.0::DOUBLE END + 10 * least(CAST(substr(disposition, 1, 1) AS INT), 4) + CASE WHEN has_lift THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN floor > 4 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END) * area_m2 AS r FROM listing_np WHERE price_czk >= 100000 AND area_m2 >= 12)", LISTING_NP)
+def _reference(f: Frames):
+    """Reference rents: a territory's row for the size class and new-build flag (the cadastre's, or else the municipality's),
+    the sum of the adjustments that hold for the flat, and the yield from the unrounded rent."""
+    new = F.coalesce(F.col("building_type").isin("skelet", "drevo"), F.lit(False))
+    flats = f.listing_np.where((F.col("price_czk") >= 100_000) & (F.col("area_m2") >= 12))
+    flats = flats.withColumn("vk", text.size_class("disposition")).withColumn("nov", new).withColumn("ku", F.col("property_id") % 3).withColumn("obec", F.col("property_id") % 2)
+    rent_map = f.spark.createDataFrame(_RENTS, "vk int, nov boolean, unit long, base double")
+    ku = rent_map.select("vk", "nov", F.col("unit").alias("ku"), F.col("base").alias("by_ku"))
+    obec = rent_map.select("vk", "nov", F.col("unit").alias("obec"), (F.col("base") - 3).alias("by_obec"))
+    j = flats.join(F.broadcast(ku), ["vk", "nov", "ku"], "left").join(F.broadcast(obec), ["vk", "nov", "obec"], "left")  # 16 rows
+    holds = {"balcony": F.col("floor") > 4, "garage": F.col("parking_lots").isNotNull(), "elevator": F.col("has_lift"), "furnished": F.col("furnished") == "ano", "other_material": F.col("nov") & ~F.col("building_type").isin("panel", "cihla")}
+    extra = sum((F.when(F.coalesce(holds[a], F.lit(False)), v).otherwise(0.0) for a, v in _ADJUST), F.lit(0.0))
+    rent = (F.coalesce("by_ku", "by_obec") + extra) * F.col("area_m2")
+    level = F.when(F.col("by_ku").isNotNull(), "cadastre").otherwise("municipality")
+    return j.select("id", level.alias("level"), F.bround(rent, 0).cast("long").alias("rent"), values.gross_yield_pct(rent, F.col("price_czk")).alias("yield_pct"))
+
+
+_MAP = "rents(vk, nov, unit, base) AS (VALUES " + ", ".join(f"({c}, {str(n).upper()}, {k}, {b}::DOUBLE)" for c, n, k, b in _RENTS) + ")"
+add(
+    "a26_a27_reference_yield",
+    _reference,
+    "SELECT id, level, CAST(round_even(r, 0) AS BIGINT) AS rent, round_even(12 * r / price_czk * 100, 2) AS yield_pct FROM (SELECT f.id, price_czk, CASE WHEN k.base IS NOT NULL THEN 'cadastre' ELSE 'municipality' END AS level, (coalesce(k.base, o.base - 3) + CASE WHEN floor > 4 THEN 5 ELSE 0 END + CASE WHEN parking_lots IS NOT NULL THEN 9 ELSE 0 END + CASE WHEN has_lift THEN 4 ELSE 0 END + CASE WHEN furnished = 'ano' THEN 12 ELSE 0 END + CASE WHEN f.nov AND building_type NOT IN ('panel', 'cihla') THEN 7 ELSE 0 END) * area_m2 AS r FROM (SELECT *, least(greatest(CAST(substr(disposition, 1, 1) AS INT), 1), 4) AS vk, coalesce(building_type IN ('skelet', 'drevo'), FALSE) AS nov FROM listing_np WHERE price_czk >= 100000 AND area_m2 >= 12) f LEFT JOIN rents k ON k.vk = f.vk AND k.nov = f.nov AND k.unit = property_id % 3 LEFT JOIN rents o ON o.vk = f.vk AND o.nov = f.nov AND o.unit = property_id % 2)",
+    LISTING_NP,
+    _MAP,
+)
 add("a29_member_rollup", lambda f: f.child.groupBy("child_id").agg(F.countDistinct("property_id").alias("properties"), F.max_by("property_id", F.struct("last_seen", "property_id")).alias("newest"), F.sum("qty").alias("total")), "SELECT child_id, count(DISTINCT property_id) AS properties, arg_max(property_id, (last_seen, property_id)) AS newest, sum(qty) AS total FROM child GROUP BY child_id", CHILD)
 add("a46_a45_pattern_counts", lambda f: history.patterns(f.snapshot, "price", ["listing_id"], ["scraped_at", "o1", "o2"]).groupBy("pattern").agg(F.count("*").alias("n")))
 add("a55_greedy_phrases", lambda f: clustering.greedy_phrases(f.table("part").select("p_brand", F.regexp_replace("p_name", r"\d+$", "").alias("phrase"), F.lit(1).alias("n")), "p_brand", "phrase", "n"))
+
+
+def _majorities(f: Frames):
+    """The heads of greedy clusters with their phrases' most frequent container; ties go to the first by the alphabet."""
+    rows = f.table("part").select("p_brand", F.regexp_replace("p_name", r"\d+$", "").alias("phrase"), "p_type")
+    heads = clustering.greedy_phrases(rows.withColumn("n", F.lit(1)), "p_brand", "phrase", "n")
+    return clustering.majority(rows.join(heads.select("p_brand", "head", "phrase"), ["p_brand", "phrase"]), ["p_brand", "head"], "p_type")
+
+
+add("a55_majority_votes", _majorities)
 add("a58_geo_options", lambda f: f.listing.groupBy("region").agg(F.countDistinct("district").alias("districts"), F.countDistinct("property_id").alias("properties")), "SELECT region, count(DISTINCT district) AS districts, count(DISTINCT property_id) AS properties FROM listing GROUP BY region", LISTING)
-add("c04_clusters", lambda f: clustering.cluster_comparables(f.listing.where("disposition = '2+kk'"), ["district"], "id", ["price_czk", "area_m2"], 3).groupBy("district", "cluster").agg(F.count("*").alias("n")))
+add("c04_clusters", lambda f: clustering.cluster_comparables(f.listing, ["district", "disposition"], "id", ["price_czk", "area_m2"], 3).groupBy("district", "disposition", "cluster").agg(F.count("*").alias("n")))
 add("c06_manual_estimates", lambda f: golden.latest(f.events.where("event_type = 'purchase'").select(F.col("user_id").alias("listing"), "ts", "event_id", "value"), ["listing"], [F.desc("ts"), F.desc("event_id")]).select("listing", "value"), "SELECT user_id AS listing, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 add("c07_freshness_outcome", lambda f: f.listing.select("id", F.when(F.col("verified_at").isNull(), "never").when(F.col("age_days") <= 1, "cached").when(F.col("id") % 10 == 0, "gone").when(F.col("price_changes_30d") > 0, "changed").otherwise("unchanged").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n")), "SELECT CASE WHEN verified_at IS NULL THEN 'never' WHEN age_days <= 1 THEN 'cached' WHEN id % 10 = 0 THEN 'gone' WHEN price_changes_30d > 0 THEN 'changed' ELSE 'unchanged' END AS outcome, count(*) AS n FROM listing GROUP BY 1", LISTING)
 
 
 def _assets(f: Frames):
-    links = f.table("lineitem").where("l_quantity = 50 and l_suppkey <= 40").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 10_000).alias("b"))
-    return resolution.components(links).groupBy("component").agg(F.count("*").alias("n"))
+    """Assets that customers share, of two kinds; linked customers and assets are one component."""
+    c = F.col("c_custkey")
+    kinds = F.explode(F.array(10_000_000 + c % 750, 20_000_000 + c * 7 % 3000))
+    return resolution.components(f.table("customer").select(c.alias("a"), kinds.alias("b"))).groupBy("component").agg(F.count("*").alias("n"))
 
 
-add("c10_asset_links", _assets, "SELECT component, count(*) AS n FROM (SELECT node, min(other) AS component FROM reach GROUP BY node) GROUP BY component", "RECURSIVE edges AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 10000 AS b FROM lineitem WHERE l_quantity = 50 AND l_suppkey <= 40), sides AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), reach AS (SELECT a AS node, a AS other FROM sides UNION SELECT r.node, s.b FROM reach r JOIN sides s ON r.other = s.a)")
+add("c10_asset_links", _assets, "SELECT component, count(*) AS n FROM (SELECT node, min(other) AS component FROM reach GROUP BY node) GROUP BY component", "RECURSIVE edges AS (SELECT c_custkey AS a, 10000000 + c_custkey % 750 AS b FROM customer UNION SELECT c_custkey, 20000000 + c_custkey * 7 % 3000 FROM customer), sides AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), reach AS (SELECT a AS node, a AS other FROM sides UNION SELECT r.node, s.b FROM reach r JOIN sides s ON r.other = s.a)")
 
 
 def _dossier(f: Frames):
@@ -80,16 +110,19 @@ add("e13_label_ledger", _labels, "SELECT DISTINCT CASE WHEN user_id % 10 = 3 THE
 
 
 def _monitor(f: Frames):
-    """Events of watched series since a date: drop, rise and first row of a new supplier."""
-    s = history.with_previous(f.snapshot.where("listing_id % 20 = 0"), "price", ["listing_id"], ["scraped_at", "o1", "o2"])
-    first = F.row_number().over(history.ordered(["listing_id", "supplier"], ["scraped_at", "o1", "o2"])) == 1
-    s = s.withColumn("new_source", first).where("scraped_at >= '1999-01-01'")
-    kinds = F.array_compact(F.array(F.when(F.col("price") < F.col("prev"), "drop"), F.when(F.col("price") > F.col("prev"), "rise"), F.when(F.col("new_source"), "new_source")))
+    """Events of all series since a date: drop, rise, first row of a new supplier, and state changes."""
+    order = ["scraped_at", "o1", "o2"]
+    s = history.with_previous(f.snapshot, "price", ["listing_id"], order)
+    first = F.row_number().over(history.ordered(["listing_id", "supplier"], order)) == 1
+    s = s.withColumn("new_source", first).withColumn("was", F.lag("state").over(history.ordered(["listing_id"], order))).where("scraped_at >= '1999-01-01'")
+    gone, back = (F.col("was") == "O") & (F.col("state") == "F"), (F.col("was") == "F") & (F.col("state") == "O")
+    kinds = F.array_compact(F.array(F.when(F.col("price") < F.col("prev"), "drop"), F.when(F.col("price") > F.col("prev"), "rise"), F.when(F.col("new_source"), "new_source"), F.when(gone, "inactive"), F.when(back, "reactivated")))
     return s.select("listing_id", "o1", "o2", F.explode(kinds).alias("event"))
 
 
-_MON = f"{SNAPSHOT}, m AS (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY scraped_at, o1, o2) AS prev, row_number() OVER (PARTITION BY listing_id, supplier ORDER BY scraped_at, o1, o2) = 1 AS fresh FROM snapshot WHERE listing_id % 20 = 0)"
-add("k05_collection_monitor", _monitor, "SELECT listing_id, o1, o2, 'drop' AS event FROM m WHERE scraped_at >= '1999-01-01' AND price < prev UNION ALL SELECT listing_id, o1, o2, 'rise' FROM m WHERE scraped_at >= '1999-01-01' AND price > prev UNION ALL SELECT listing_id, o1, o2, 'new_source' FROM m WHERE scraped_at >= '1999-01-01' AND fresh", _MON)
+_MON = f"{SNAPSHOT}, m AS (SELECT *, lag(price) OVER w AS prev, lag(state) OVER w AS was, row_number() OVER (PARTITION BY listing_id, supplier ORDER BY scraped_at, o1, o2) = 1 AS fresh FROM snapshot WINDOW w AS (PARTITION BY listing_id ORDER BY scraped_at, o1, o2))"
+_SINCE = "SELECT listing_id, o1, o2, '{0}' AS event FROM m WHERE scraped_at >= '1999-01-01' AND {1}"
+add("k05_collection_monitor", _monitor, " UNION ALL ".join(_SINCE.format(n, c) for n, c in (("drop", "price < prev"), ("rise", "price > prev"), ("new_source", "fresh"), ("inactive", "was = 'O' AND state = 'F'"), ("reactivated", "was = 'F' AND state = 'O'"))), _MON)
 add("k01_cursor_window", lambda f: f.events.where((F.col("event_id") > 500) & (F.col("ts") <= F.lit("2024-01-10").cast("timestamp"))).orderBy("event_id").limit(200).select("event_id"), "SELECT event_id FROM events WHERE event_id > 500 AND ts <= TIMESTAMP '2024-01-10' ORDER BY event_id LIMIT 200")
 
 
@@ -104,7 +137,8 @@ def _read_model(f: Frames):
 
 
 add("k12_read_model", _read_model, "SELECT id, price_czk, district FROM listing WHERE category_main = 'BUILDING' AND price_czk < 30000", LISTING)
-add("x12_listing_cell_key", lambda f: f.listing.where("id < 2000").select("id", geo.listing_cell_key(F.col("lat"), F.col("lng"), F.col("category_main")).alias("key")).select("id", F.split("key", r"\|")[2].alias("bucket"), F.split("key", r"\|")[0].cast("double").alias("lat")), "SELECT id, category_main AS bucket, CAST(lat AS DOUBLE) AS lat FROM listing WHERE id < 2000", LISTING)
+_TRIM = lambda c: f"rtrim(rtrim(CAST(CAST({c} AS DECIMAL(9, 4)) AS VARCHAR), '0'), '.')"
+add("x12_listing_cell_key", lambda f: f.listing.select("id", geo.listing_cell_key(F.col("lat"), F.col("lng"), F.col("category_main")).alias("key")), f"SELECT id, {_TRIM('lat')} || '|' || {_TRIM('lng')} || '|' || category_main AS key FROM listing", LISTING)
 add("x13_block_keys", lambda f: f.child.select("property_id", "child_id", F.when(F.col("street").isNotNull(), F.concat_ws("|", text.street_key("street"), F.col("source"))).alias("street_block"), F.concat_ws("|", "source", "trust").alias("address_block")), "SELECT property_id, child_id, CASE WHEN street IS NOT NULL THEN regexp_replace(street, ' [0-9]+$', '') || '|' || source END AS street_block, source || '|' || trust AS address_block FROM child", CHILD)
 add("x15_json_pointer", lambda f: f.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.none").alias("none")), "SELECT event_id, CAST(props ->> '$.k' AS INT) AS k, CAST(NULL AS VARCHAR) AS none FROM events")
 add("x17_canonical_hash", lambda f: f.table("part").select("p_partkey", F.sha2(F.to_json(F.struct(F.format_string("%.9f", "p_retailprice").alias("price"), F.col("p_size").alias("size"))), 256).alias("h")), """SELECT p_partkey, sha256('{"price":"' || printf('%.9f', p_retailprice) || '","size":' || p_size || '}') AS h FROM part""")
@@ -123,7 +157,7 @@ add("x30_json_maps", lambda f: f.listing.groupBy("region", "disposition").agg(F.
 add("o05_recent_failures", lambda f: f.events.where("event_type = 'error'").orderBy(F.col("ts").desc_nulls_last(), F.desc("event_id")).limit(40).select("event_id"), "SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 40")
 add("o07_latest_score_cohort", lambda f: f.events.join(f.events.groupBy("user_id").agg(F.max("event_id").alias("event_id")), ["user_id", "event_id"]).where(F.col("event_type").like("%ick")).select("user_id", "event_id"), "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) LIKE '%ick'")
 add("o14_storage_ceiling", lambda f: f.snapshot.groupBy("flag").agg(F.count("*").alias("n")).select("flag", "n", *[(F.least(F.col("n"), F.lit(c)) * 4096).alias(f"bytes_at_{c}") for c in (1000, 20000)]), "SELECT flag, count(*) AS n, least(count(*), 1000) * 4096 AS bytes_at_1000, least(count(*), 20000) * 4096 AS bytes_at_20000 FROM snapshot GROUP BY flag", SNAPSHOT)
-add("o23_pending_work", lambda f: f.events.where("event_type in ('error', 'view') and event_id % 4 < 3").orderBy(F.when(F.col("event_type") == "error", 1).otherwise(0), "ts", "event_id").limit(75).select("event_id"), "SELECT event_id FROM events WHERE event_type IN ('error', 'view') AND event_id % 4 < 3 ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, ts, event_id LIMIT 75")
+add("o23_pending_work", lambda f: f.events.where("event_type in ('error', 'view')").orderBy(F.when(F.col("event_type") == "error", 1).otherwise(0), "ts", "event_id").limit(75).select("event_id"), "SELECT event_id FROM events WHERE event_type IN ('error', 'view') ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, ts, event_id LIMIT 75")
 add("j11_interval_overlap", lambda f: _overlap(f), f"SELECT CAST(d AS VARCHAR) AS day, count(*) AS n FROM listing JOIN (SELECT CAST(unnest(generate_series(TIMESTAMP '2001-06-01', TIMESTAMP '2001-06-30', INTERVAL 1 DAY)) AS DATE) AS d) ON d BETWEEN CAST(first_seen_at AS DATE) AND CAST(least(last_seen_at, {AS_OF_SQL}) AS DATE) GROUP BY d", LISTING)
 
 
@@ -133,5 +167,57 @@ def _overlap(f: Frames):
     return history.active_by_day(life, "first_seen_at", "last_seen_at", days, ["k"]).where("active > 0").select(F.col("day").cast("string").alias("day"), F.col("active").alias("n"))
 
 
-add("a40_queue_snapshot", lambda f: paging.facets(f.events.where("event_id % 5 < 2"), ["event_type"]), "SELECT 'event_type' AS facet, event_type AS value, count(*) AS n FROM events WHERE event_id % 5 < 2 GROUP BY event_type")
-add("a54_load_assertions", lambda f: f.spark.createDataFrame(quality.load_assertions({"a": 50, "c": 9000, "d": 101}, {"a": 1000, "b": 1, "c": 100, "d": 100}), "t string, verdict string"), "SELECT * FROM (VALUES ('a', 'shrunk'), ('b', 'missing'), ('c', 'grown'), ('d', 'ok')) t(t, verdict)")
+add("a40_queue_snapshot", lambda f: paging.facets(f.events, ["event_type"]), "SELECT 'event_type' AS facet, event_type AS value, count(*) AS n FROM events GROUP BY event_type")
+
+
+def _loads(f: Frames):
+    """Events of each type before and after the middle of the month; what the earlier load never had is new."""
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    now = f.events.where(late & (F.col("event_type") != "view")).groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
+    before = f.events.where(~late & (F.col("event_type") != "signup")).groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
+    return quality.load_assertions(now, before, 0.98, 1.02, 3)
+
+
+add("a54_load_assertions", _loads, "SELECT coalesce(a.name, b.name) AS name, n, was, CASE WHEN n IS NULL THEN 'missing' WHEN was IS NULL THEN 'new' WHEN n + 3 < CAST(0.98 AS DOUBLE) * was THEN 'shrunk' WHEN n > CAST(1.02 AS DOUBLE) * was + 3 THEN 'grown' ELSE 'ok' END AS verdict FROM (SELECT event_type AS name, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND event_type <> 'view' GROUP BY 1) a FULL JOIN (SELECT event_type AS name, count(*) AS was FROM events WHERE ts < TIMESTAMP '2024-01-16' AND event_type <> 'signup' GROUP BY 1) b ON a.name = b.name")
+add("t02_newest_5000", lambda f: f.listing.orderBy(F.desc("first_seen_at"), "id").limit(5000).select("id"), "SELECT id FROM listing ORDER BY first_seen_at DESC, id LIMIT 5000", LISTING)
+
+
+def _evidence(f: Frames):
+    """Settled evidence and disputed one in one list, told apart by a column."""
+    settled = f.child.where("trust < 3").select("property_id", "child_id", F.lit("static").alias("kind"))
+    return settled.unionByName(f.child.where("trust >= 3 and not active").select("property_id", "child_id", F.lit("disputed").alias("kind")))
+
+
+add("u07_evidence_union", _evidence, "SELECT property_id, child_id, 'static' AS kind FROM child WHERE trust < 3 UNION ALL SELECT property_id, child_id, 'disputed' FROM child WHERE trust >= 3 AND NOT active", CHILD)
+add("j23_update_from", lambda f: golden.update_from(f.child.select("property_id", "child_id", "street", "area"), f.table("supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("child_id"), F.concat(F.lit("new "), "s_name").alias("street")), ["child_id"], ["street"]), "SELECT property_id, child_id, CASE WHEN s_suppkey IS NOT NULL THEN 'new ' || s_name ELSE street END AS street, area FROM child LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON s_suppkey = child_id", CHILD)
+
+
+def _report(f: Frames):
+    """A report as one JSON document: totals, and the counts by region in order."""
+    by = f.listing.groupBy("region").agg(F.count("*").alias("n"))
+    parts = by.agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("region", "n"))).alias("regions"))
+    return parts.select(F.to_json(F.struct("total", "regions")).alias("report"))
+
+
+add("g03_json_report", _report, """SELECT '{"total":' || sum(n) || ',"regions":[' || string_agg('{"region":"' || region || '","n":' || n || '}', ',' ORDER BY region) || ']}' AS report FROM (SELECT region, count(*) AS n FROM listing GROUP BY region)""", LISTING)
+
+
+def _leases(f: Frames):
+    """Leases that users' events hold for a day: who holds each resource at a moment, and whether another may take it."""
+    held = f.events.select((F.col("event_id") % 400).alias("resource"), F.col("user_id").alias("holder"), "ts", "event_id")
+    return paging.lease(held, "resource", "holder", ["ts", "event_id"], "2024-01-28 12:00:00", 86_400)
+
+
+add("k09_lease", _leases, "SELECT resource, holder, epoch(TIMESTAMP '2024-01-28 12:00:00') - epoch(ts) >= 86400 AS free FROM (SELECT event_id % 400 AS resource, user_id AS holder, ts, row_number() OVER (PARTITION BY event_id % 400 ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts <= TIMESTAMP '2024-01-28 12:00:00') WHERE rn = 1")
+
+
+def _resumed(f: Frames):
+    """A walk in pages that was broken off after some: it goes on from the cursor that the last page left."""
+    order, last = [("ts", False), ("event_id", False)], None
+    for _ in range(3):
+        last = paging.page(f.events, order, 40, last).select("ts", "event_id").collect()[-1]
+        last = [last["ts"], last["event_id"]]
+    return paging.page(f.events, order, 40, last).select("event_id")
+
+
+add("k15_resume", _resumed, "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 40 OFFSET 120")

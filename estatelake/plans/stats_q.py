@@ -41,7 +41,7 @@ add(
     "SELECT l_orderkey, l_linenumber, l.l_returnflag, price FROM dear l JOIN (SELECT l_returnflag, quantile_cont(price, 0.5) AS m, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS i FROM dear GROUP BY l_returnflag HAVING count(price) >= 5) d ON l.l_returnflag = d.l_returnflag WHERE abs(price - m) > 1.5 * i AND i > 0",
     f"dear AS ({_DEAR})",
 )
-add("a19_boxes_having_5", lambda f: stats.boxes(f.listing.where("district = 'CHINA'"), "price_czk", ["disposition", "building_type"], least=5), "SELECT disposition, building_type, count(price_czk) AS n, CAST(quantile_cont(price_czk, 0.25) AS BIGINT) AS p25, CAST(quantile_cont(price_czk, 0.5) AS BIGINT) AS p50, CAST(quantile_cont(price_czk, 0.75) AS BIGINT) AS p75 FROM listing WHERE district = 'CHINA' GROUP BY disposition, building_type HAVING count(price_czk) >= 5", LISTING)
+add("a19_boxes_having_5", lambda f: stats.boxes(f.listing, "price_czk", ["district", "disposition", "building_type"], least=5), "SELECT district, disposition, building_type, count(price_czk) AS n, CAST(quantile_cont(price_czk, 0.25) AS BIGINT) AS p25, CAST(quantile_cont(price_czk, 0.5) AS BIGINT) AS p50, CAST(quantile_cont(price_czk, 0.75) AS BIGINT) AS p75 FROM listing GROUP BY district, disposition, building_type HAVING count(price_czk) >= 5", LISTING)
 add("a04_conditional_counts", lambda f: f.listing.groupBy("district").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_active"), 1)).alias("active"), F.count(F.when(F.col("price_czk") > 150000, 1)).alias("dear")), "SELECT district, count(*) AS n, count(*) FILTER (WHERE is_active) AS active, count(*) FILTER (WHERE price_czk > 150000) AS dear FROM listing GROUP BY district", LISTING)
 add("a05_distinct_counts", lambda f: f.listing.groupBy("region").agg(F.countDistinct("property_id").alias("properties"), F.countDistinct(F.struct("district", "disposition")).alias("pairs"), F.countDistinct(F.coalesce(F.when(F.col("property_id") % 3 != 0, F.col("property_id")), -F.col("id"))).alias("surrogate")), "SELECT region, count(DISTINCT property_id) AS properties, count(DISTINCT district || '|' || disposition) AS pairs, count(DISTINCT coalesce(CASE WHEN property_id % 3 <> 0 THEN property_id END, -id)) AS surrogate FROM listing GROUP BY region", LISTING)
 
@@ -104,12 +104,12 @@ add(
 add("a47_freshness", lambda f: stats.freshness(f.listing, ["district"]), "SELECT district, min(age_days) AS min_age, round_even(quantile_cont(age_days, 0.5), 2) AS median_age, max(age_days) AS max_age, count(*) FILTER (WHERE verified_at IS NULL) AS unverified FROM listing GROUP BY district", LISTING)
 add(
     "a48_c05_estimate",
-    lambda f: stats.estimate(f.listing_np.where("disposition = '2+kk'"), ["district"], 70.0),
-    """SELECT district, n, CAST(q1 * 70.0 AS BIGINT) AS low, CAST(q2 * 70.0 AS BIGINT) AS estimate, CAST(q3 * 70.0 AS BIGINT) AS high,
+    lambda f: stats.estimate(f.listing_np, ["district", "disposition"], 70.0),
+    """SELECT district, disposition, n, CAST(q1 * 70.0 AS BIGINT) AS low, CAST(q2 * 70.0 AS BIGINT) AS estimate, CAST(q3 * 70.0 AS BIGINT) AS high,
     CASE WHEN stale > 0.5 THEN 'low' ELSE list_extract(['low', 'medium', 'high'], 1 + CASE WHEN age > 14 THEN greatest(lvl - 1, 0) ELSE lvl END) END AS confidence
     FROM (SELECT *, CASE WHEN n >= 20 AND s < 0.25 THEN 2 WHEN n >= 10 AND (s IS NULL OR s < 0.4) THEN 1 ELSE 0 END AS lvl FROM (SELECT *, CASE WHEN n >= 5 THEN (q3 - q1) / q2 END AS s FROM (
-    SELECT district, count(m) AS n, quantile_cont(m, 0.25) AS q1, quantile_cont(m, 0.5) AS q2, quantile_cont(m, 0.75) AS q3, quantile_cont(age_days, 0.5) AS age, avg(CASE WHEN age_days > 14 THEN 1.0 ELSE 0.0 END) AS stale
-    FROM (SELECT *, CASE WHEN area_m2 > 0 THEN price_czk / area_m2 END AS m FROM listing_np WHERE disposition = '2+kk') GROUP BY district)))""",
+    SELECT district, disposition, count(m) AS n, quantile_cont(m, 0.25) AS q1, quantile_cont(m, 0.5) AS q2, quantile_cont(m, 0.75) AS q3, quantile_cont(age_days, 0.5) AS age, avg(CASE WHEN age_days > 14 THEN 1.0 ELSE 0.0 END) AS stale
+    FROM (SELECT *, CASE WHEN area_m2 > 0 THEN price_czk / area_m2 END AS m FROM listing_np) GROUP BY district, disposition)))""",
     LISTING_NP,
 )
 
@@ -120,15 +120,36 @@ def _ladder(f: Frames):
     near = lambda m: within(F.col("lat"), F.col("lng"), 49.5, 14.5, m)
     area = lambda p: F.col("area_m2").between(80 * (1 - p), 80 * (1 + p))
     d = lambda m: filters.disposition("2+kk", m)
-    brick = F.col("building_type") == "cihla"
-    steps = [("base", near(5000) & area(0.1) & d("exact") & brick), ("radius_1_5", near(7500) & area(0.1) & d("exact") & brick), ("area_wider", near(7500) & area(0.2) & d("exact") & brick), ("loose", near(7500) & area(0.2) & d("loose") & brick), ("radius_2", near(10000) & area(0.2) & d("loose") & brick), ("area_wider_2", near(10000) & area(0.3) & d("loose") & brick), ("any", near(10000) & area(0.3) & brick), ("no_building", near(10000) & area(0.3))]
+    lifted = {"condition": F.col("furnished") == "ano", "building": F.col("building_type") == "cihla", "energy": F.col("parking_lots") == 2, "floor": F.col("floor").between(1, 5)}
+    steps = []
+    for name, metres, band, match, kept in _STEPS:
+        test = near(metres) & area(band) & (d(match) if match != "any" else F.lit(True))
+        for k in kept:
+            test = test & F.coalesce(lifted[k], F.lit(False))
+        steps.append((name, test))
     return stats.relaxation_counts(f.listing, steps)
 
 
 _H = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(49.5 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(49.5)) * pow(sin(radians(14.5 - lng) / 2), 2))))"
-_STEPS = [("base", 5000, 0.1, "d = 2", True), ("radius_1_5", 7500, 0.1, "d = 2", True), ("area_wider", 7500, 0.2, "d = 2", True), ("loose", 7500, 0.2, "l", True), ("radius_2", 10000, 0.2, "l", True), ("area_wider_2", 10000, 0.3, "l", True), ("any", 10000, 0.3, "TRUE", True), ("no_building", 10000, 0.3, "TRUE", False)]
-_STEP_SQL = " UNION ALL ".join(f"SELECT {i} AS step, '{n}' AS name, count(*) AS n FROM listing WHERE {_H} <= {r} AND area_m2 BETWEEN 80 * (1 - {a}) AND 80 * (1 + {a}) AND {'disposition IN (' + chr(39) + '2+kk' + chr(39) + ')' if d == 'd = 2' else 'disposition IN (' + chr(39) + '2+kk' + chr(39) + ', ' + chr(39) + '2+1' + chr(39) + ')' if d == 'l' else 'TRUE'} AND {'building_type = ' + chr(39) + 'cihla' + chr(39) if b else 'TRUE'}" for i, (n, r, a, d, b) in enumerate(_STEPS))
-add("c02_relaxation_ladder", _ladder, f"SELECT step, name, n, step = min(CASE WHEN n >= 5 OR step = 7 THEN step END) OVER () AS chosen FROM ({_STEP_SQL})", LISTING)
+_ALL = ("condition", "building", "energy", "floor")
+#: The steps of the ladder: radius, area band, disposition, and the filters that still hold.
+_STEPS = [
+    ("base", 15000, 0.1, "exact", _ALL),
+    ("radius_x1.5", 22500, 0.1, "exact", _ALL),
+    ("area_band_+0.10", 22500, 0.2, "exact", _ALL),
+    ("disposition_loose", 22500, 0.2, "loose", _ALL),
+    ("radius_x2", 30000, 0.2, "loose", _ALL),
+    ("area_band_+0.20", 30000, 0.3, "loose", _ALL),
+    ("disposition_any", 30000, 0.3, "any", _ALL),
+    ("drop_condition", 30000, 0.3, "any", ("building", "energy", "floor")),
+    ("drop_building_type", 30000, 0.3, "any", ("energy", "floor")),
+    ("drop_energy_rating", 30000, 0.3, "any", ("floor",)),
+    ("drop_floor_band", 30000, 0.3, "any", ()),
+]
+_LIFTED = {"condition": "furnished = 'ano'", "building": "building_type = 'cihla'", "energy": "parking_lots = 2", "floor": "floor BETWEEN 1 AND 5"}
+_MATCH = {"exact": "disposition = '2+kk'", "loose": "disposition IN ('2+kk', '2+1')", "any": "TRUE"}
+_STEP_SQL = " UNION ALL ".join(f"SELECT {i} AS step, '{n}' AS name, count(*) AS n FROM listing WHERE {_H} <= {r} AND area_m2 BETWEEN 80 * (1 - {a}) AND 80 * (1 + {a}) AND {_MATCH[m]}" + "".join(f" AND {_LIFTED[k]}" for k in kept) for i, (n, r, a, m, kept) in enumerate(_STEPS))
+add("c02_relaxation_ladder", _ladder, f"SELECT step, name, n, step = min(CASE WHEN n >= 5 OR step = {len(_STEPS) - 1} THEN step END) OVER () AS chosen FROM ({_STEP_SQL})", LISTING)
 add("c01_comparables", lambda f: _comparables(f), f"SELECT id, price_czk, round(d, 1) AS distance FROM (SELECT *, {_H} AS d FROM listing WHERE is_active AND area_m2 BETWEEN 80 * 0.8 AND 80 * 1.2 AND {_H} <= 80000) ORDER BY d, id LIMIT 500", LISTING)
 
 
@@ -141,6 +162,30 @@ def _comparables(f: Frames):
     return hits.orderBy("d", "id").limit(500).select("id", "price_czk", F.round("d", 1).alias("distance"))
 
 
+_RENT = "category_main IN ('FURNITURE', 'BUILDING')"
+
+
+def _yields(f: Frames):
+    """Two segments stand for flats to let, at a three-hundredth of the price."""
+    rents = f.listing_np.where(_RENT).withColumn("price_czk", F.col("price_czk") / 300)
+    out = stats.estimate_yield(f.listing_np.where(f"NOT {_RENT}"), rents, ["district", "disposition"], 70.0, F.col("id") % 400 == 0)
+    return out.withColumn("warnings", F.array_join("warnings", "; "))
+
+
+_SIDE = "SELECT district, disposition, count(m) AS n, quantile_cont(m, 0.25) AS q1, quantile_cont(m, 0.5) AS q2, quantile_cont(m, 0.75) AS q3, quantile_cont(age_days, 0.5) AS age, max(age_days) AS oldest, avg(CASE WHEN age_days > 14 THEN 1.0 ELSE 0.0 END) AS stale, count(*) FILTER (WHERE id % 400 = 0) AS verified FROM (SELECT *, CASE WHEN area_m2 > 0 THEN price_czk / {0} / area_m2 END AS m FROM listing_np WHERE {1}) GROUP BY district, disposition"
+_WARN = ", ".join(f"CASE WHEN {c} THEN '{w}' END" for c, w in zip(("r.n < 10", "r.age > 14", "r.stale > 0.5", "r.oldest > 30", "r.verified > 0"), stats.WARNINGS, strict=True))
+add(
+    "c05_estimate_yield",
+    _yields,
+    f"""SELECT coalesce(p.district, r.district) AS district, coalesce(p.disposition, r.disposition) AS disposition, p.n AS n_sales, CAST(round_even(p.q2 * 70.0, 0) AS BIGINT) AS price, r.n AS n_rents,
+    CAST(round_even(r.q1 * 70.0, 0) AS BIGINT) AS rent_low, CAST(round_even(r.q2 * 70.0, 0) AS BIGINT) AS rent, CAST(round_even(r.q3 * 70.0, 0) AS BIGINT) AS rent_high,
+    CASE WHEN r.district IS NULL THEN NULL WHEN r.stale > 0.5 THEN 'low' ELSE list_extract(['low', 'medium', 'high'], 1 + CASE WHEN r.age > 14 THEN greatest(lvl - 1, 0) ELSE lvl END) END AS confidence,
+    CASE WHEN r.district IS NOT NULL THEN concat_ws('; ', {_WARN}) END AS warnings,
+    CASE WHEN round_even(p.q2 * 70.0, 0) > 0 THEN round_even(12 * CAST(round_even(r.q2 * 70.0, 0) AS BIGINT) / CAST(round_even(p.q2 * 70.0, 0) AS BIGINT) * 100, 2) END AS yield_pct
+    FROM ({_SIDE.format('1', f'NOT {_RENT}')}) p FULL JOIN (SELECT *, CASE WHEN n >= 20 AND s < 0.25 THEN 2 WHEN n >= 10 AND (s IS NULL OR s < 0.4) THEN 1 ELSE 0 END AS lvl FROM (SELECT *, CASE WHEN n >= 5 THEN (q3 - q1) / q2 END AS s FROM ({_SIDE.format('300', _RENT)}))) r ON p.district = r.district AND p.disposition = r.disposition""",
+    LISTING_NP,
+)
+
 # history
 K, ORD = ["listing_id"], ["scraped_at", "o1", "o2"]
 _W = "OVER (PARTITION BY listing_id ORDER BY scraped_at, o1, o2)"
@@ -155,8 +200,8 @@ add(
 add("a14_price_span", lambda f: history.price_span(f.snapshot, "price", K, ORD), "SELECT listing_id, points, first_price, last_price, CASE WHEN points >= 2 AND first_price > 0 THEN CAST(round(CAST((last_price - first_price) / first_price * 100 AS DECIMAL(28, 10)), 2) AS DOUBLE) END AS total_change_pct FROM (SELECT listing_id, count(*) AS points, arg_min(price, (scraped_at, o1, o2)) AS first_price, arg_max(price, (scraped_at, o1, o2)) AS last_price FROM snapshot WHERE price IS NOT NULL GROUP BY listing_id)", SNAPSHOT)
 add(
     "a45_patterns",
-    lambda f: history.patterns(f.snapshot.where("listing_id % 3 = 0 or o1 % 5 = 0"), "price", K, ORD),
-    f"SELECT listing_id, dn + up AS changes, round(l - f, 2) AS total_change, CASE WHEN dn = 0 AND up = 0 THEN CASE WHEN l < f THEN 'single_drop' WHEN l > f THEN 'rising' ELSE 'stable' END WHEN up = 0 THEN CASE WHEN dn = 1 THEN 'single_drop' ELSE 'stairstep_dropping' END WHEN dn = 0 THEN 'rising' ELSE 'volatile' END AS pattern FROM (SELECT listing_id, count(*) FILTER (WHERE price < prev) AS dn, count(*) FILTER (WHERE price > prev) AS up, arg_min(price, (scraped_at, o1, o2)) FILTER (WHERE price IS NOT NULL) AS f, arg_max(price, (scraped_at, o1, o2)) FILTER (WHERE price IS NOT NULL) AS l FROM (SELECT *, lag(price) {_W} AS prev FROM snapshot WHERE listing_id % 3 = 0 OR o1 % 5 = 0) GROUP BY listing_id)",
+    lambda f: history.patterns(f.snapshot, "price", K, ORD),
+    f"SELECT listing_id, dn + up AS changes, round(l - f, 2) AS total_change, CASE WHEN dn = 0 AND up = 0 THEN CASE WHEN l < f THEN 'single_drop' WHEN l > f THEN 'rising' ELSE 'stable' END WHEN up = 0 THEN CASE WHEN dn = 1 THEN 'single_drop' ELSE 'stairstep_dropping' END WHEN dn = 0 THEN 'rising' ELSE 'volatile' END AS pattern FROM (SELECT listing_id, count(*) FILTER (WHERE price < prev) AS dn, count(*) FILTER (WHERE price > prev) AS up, arg_min(price, (scraped_at, o1, o2)) FILTER (WHERE price IS NOT NULL) AS f, arg_max(price, (scraped_at, o1, o2)) FILTER (WHERE price IS NOT NULL) AS l FROM (SELECT *, lag(price) {_W} AS prev FROM snapshot) GROUP BY listing_id)",
     SNAPSHOT,
 )
 add("w01_lag", lambda f: history.with_previous(f.snapshot, "price", K, ORD).select("listing_id", "o1", "o2", "price", "prev"), "SELECT listing_id, o1, o2, price, prev FROM s", LAG)
@@ -244,3 +289,25 @@ def _rent(f: Frames):
 add("j04_a26_reference_rent", _rent, "SELECT n_nationkey AS nation, n_regionkey AS area, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey * 10 WHEN n_regionkey <> 2 THEN n_regionkey END AS std, CASE WHEN n_nationkey % 3 <> 0 AND n_regionkey <> 2 THEN n_regionkey + 100 END AS new, CASE WHEN n_nationkey % 3 = 0 THEN 'fine' WHEN n_regionkey <> 2 THEN 'coarse' END AS matched FROM nation")
 add("p07_latest_revision", lambda f: series.latest_revision(f.monthly.withColumn("revision", F.col("year") * 100 + F.col("month"))).select("entity", "kind", "price"), "SELECT entity, kind, price FROM monthly WHERE year * 100 + month = (SELECT max(year * 100 + month) FROM monthly)", MONTHLY)
 add("a56_choropleth", lambda f: series.choropleth(f.monthly, ["entity"], "kind", ["sale", "rent"], "price"), "SELECT entity, max(price) FILTER (WHERE kind = 'sale') AS sale, max(price) FILTER (WHERE kind = 'rent') AS rent FROM monthly GROUP BY entity", MONTHLY)
+
+
+def _reasons(f: Frames):
+    """Dear lines with the reasons that their part's failures and history give."""
+    rows = f.table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("listing_id"), "l_returnflag", F.when(F.col("l_orderkey") % 50 == 0, 4 * F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("price"))
+    found = stats.outliers(rows, "price", ["l_returnflag"], need_spread=True)
+    failures = f.events.where("event_type = 'error'").groupBy(F.col("user_id").alias("listing_id")).agg(F.count("*").alias("attempts"))
+    seen = f.snapshot.groupBy("listing_id").agg(F.datediff(F.max("scraped_at"), F.min("scraped_at")).alias("tom_days"))
+    past = history.patterns(f.snapshot, "price", K, ORD).join(seen, "listing_id")
+    out = stats.outlier_reasons(found, "price", failures, past, "listing_id", 2000)
+    return out.select("l_orderkey", "l_linenumber", F.round("deviation", 3).alias("deviation"), "direction", F.array_join("reasons", ",").alias("reasons"))
+
+
+_PAST = f"past AS (SELECT listing_id, CASE WHEN up = 0 AND dn > 1 THEN 'stairstep_dropping' END AS pattern, tom FROM (SELECT listing_id, count(*) FILTER (WHERE price < prev) AS dn, count(*) FILTER (WHERE price > prev) AS up, date_diff('day', min(scraped_at), max(scraped_at)) AS tom FROM (SELECT *, lag(price) {_W} AS prev FROM snapshot) GROUP BY listing_id))"
+add(
+    "a44_outlier_reasons",
+    _reasons,
+    "SELECT l_orderkey, l_linenumber, round(round((price - m) / i, 4), 3) AS deviation, CASE WHEN price > m THEN 'high' ELSE 'low' END AS direction, concat_ws(',', 'statistical_outlier', CASE WHEN attempts > 0 THEN 'fetch_failures' END, pattern, CASE WHEN tom > 2000 THEN 'long_time_on_market' END) AS reasons FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, CASE WHEN l_orderkey % 50 = 0 THEN 4 * l_extendedprice ELSE l_extendedprice END AS price FROM lineitem) l JOIN (SELECT l_returnflag, quantile_cont(price, 0.5) AS m, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS i FROM dear GROUP BY l_returnflag HAVING count(price) >= 5) d ON l.l_returnflag = d.l_returnflag LEFT JOIN (SELECT user_id, count(*) AS attempts FROM events WHERE event_type = 'error' GROUP BY user_id) e ON e.user_id = l_partkey LEFT JOIN past ON past.listing_id = l_partkey WHERE abs(price - m) > 1.5 * i AND i > 0",
+    SNAPSHOT,
+    _PAST,
+    f"dear AS ({_DEAR})",
+)

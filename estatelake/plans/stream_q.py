@@ -26,7 +26,7 @@ def done(stream, label: str, mode: str = "append", keep: list[str] | None = None
 _O = "(PARTITION BY user_id ORDER BY ts, event_id)"
 add("k02_dedupe_once", lambda f: done(streaming.once_ever(_stream(f).select("user_id", "event_type"), ["user_id", "event_type"]), "dedupe"), "SELECT DISTINCT user_id, event_type FROM events")
 add("k02_dedupe_watermark", lambda f: done(streaming.once_within(_stream(f), ["event_id"], "ts", "2 days").select("event_id"), "dedupe-late"), "SELECT event_id FROM events")
-add("k03_late_release", lambda f: done(streaming.late_release(_stream(f).select("user_id", "ts", (F.col("event_type") == "purchase").alias("ready")), "user_id", "ts", "ready", 86_400), "release"), "SELECT user_id, first_at, min(ts) AS released_at, CASE WHEN arg_min(event_type = 'purchase', (ts, event_type <> 'purchase')) THEN 'ready' ELSE 'timeout' END AS reason FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_at FROM events) WHERE event_type = 'purchase' OR epoch(ts) - epoch(first_at) >= 86400 GROUP BY user_id, first_at")
+add("k03_late_release", lambda f: done(streaming.late_release(_stream(f).select("user_id", "ts", (F.col("event_type") == "purchase").alias("ready")), "user_id", "ts", "ready", 86_400), "release"), "SELECT user_id, first_at, coalesce(bought, first_at + INTERVAL 1 DAY) AS released_at, CASE WHEN bought IS NOT NULL THEN 'ready' ELSE 'timeout' END AS reason FROM (SELECT user_id, first_at, min(ts) FILTER (WHERE event_type = 'purchase' AND ts < first_at + INTERVAL 1 DAY) AS bought FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_at FROM events) GROUP BY user_id, first_at) WHERE bought IS NOT NULL OR first_at + INTERVAL 1 DAY < (SELECT max(ts) FROM events)")
 add("k04_stream_drops", lambda f: done(streaming.drops(_stream(f), "user_id", ["ts", "event_id"], "value", 50.0), "drops").select("user_id", "event_id", "value", "before"), f"SELECT user_id, event_id, value, before FROM (SELECT *, lag(value) OVER {_O} AS before FROM events) WHERE round((before - value) / before * 100, 4) >= 50")
 add("k06_stream_changes", lambda f: done(streaming.changes(_stream(f), "user_id", ["ts", "event_id"], "event_type"), "changes").select("user_id", "event_id", "event_type"), f"SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER {_O} AS p FROM events) WHERE p IS DISTINCT FROM event_type")
 add("k11_tumbling_windows", lambda f: done(streaming.tumbling(_stream(f), "ts", "1 day", ["event_type"], "0 seconds"), "windows", "update", ["window_start", "event_type"]), "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

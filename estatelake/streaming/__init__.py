@@ -109,26 +109,39 @@ def drops(stream: DataFrame, key: str, order: list[str], value: str, pct: float)
     return source.groupBy(key).applyInPandasWithState(step, f"{fields}, before double, drop_pct double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def late_release(stream: DataFrame, key: str, at: str, ready: str, hold_seconds: int) -> DataFrame:
-    """Rows (key, at, ready) held per key until one says ready, or until a row of the key comes ``hold_seconds`` after the first
-    one; then released once, with the reason. What neither happens to stays held."""
-    source = stream.select(key, at, ready)
+def late_release(stream: DataFrame, key: str, at: str, ready: str, hold_seconds: int, late: str = "0 seconds") -> DataFrame:
+    """Rows (key, at, ready) held per key until one says ready, or until ``hold_seconds`` after the key's first one; then released
+    once, with the reason. A timer on the stream's clock (its watermark) releases a key that no further row comes for; a
+    release by time is dated to the moment it was due. What is neither ready nor due when the stream ends stays held."""
+    source = stream.select(key, at, ready).withWatermark(at, late)
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _rows(parts).sort_values(at)
         first, done = state.get if state.exists else (None, False)
-        for t, r in zip(rows[at].tolist(), rows[ready].tolist(), strict=True):
-            if done:
-                break
-            first = t if first is None else min(first, t)
-            waited = (t - first).total_seconds() >= hold_seconds
-            if r or waited:
-                done = True
-                yield pd.DataFrame({key: [k[0]], "first_at": [first], "released_at": [t], "reason": ["ready" if r else "timeout"]})
+        hold, released = pd.Timedelta(seconds=hold_seconds), None
+        if state.hasTimedOut:
+            released = (pd.Timestamp(first) + hold, "timeout")
+        else:
+            rows = _rows(parts).sort_values(at)
+            for t, r in zip(rows[at].tolist(), rows[ready].tolist(), strict=True):
+                if done or released:
+                    break
+                first = t if first is None else min(first, t)
+                due = pd.Timestamp(first) + hold
+                if t >= due:
+                    released = (due, "timeout")
+                elif r:
+                    released = (t, "ready")
+        if released and not done:
+            done = True
+            yield pd.DataFrame({key: [k[0]], "first_at": [first], "released_at": [released[0]], "reason": [released[1]]})
         state.update((first, done))
+        if not done:
+            due = pd.Timestamp(first) + hold
+            # the clock may have passed it already; then the next batch's clock releases it
+            state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
 
     kind = source.schema[key].dataType.simpleString()
-    return source.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first_at timestamp, released_at timestamp, reason string", "first timestamp, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return source.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first_at timestamp, released_at timestamp, reason string", "first timestamp, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recompute_dirty(stream: DataFrame, key: str, full: Callable[[DataFrame], DataFrame], history: DataFrame, target: str, offsets: str) -> None:

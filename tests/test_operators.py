@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelake.functions import text, values
-from estatelake.operators import filters, golden, history, paging, quality, resolution, series, spatial, stats
+from estatelake.operators import clustering, filters, golden, history, paging, quality, resolution, series, spatial, stats
 from estatelake.sources import readers
 
 AS_OF = datetime(2024, 1, 31)
@@ -93,13 +93,84 @@ def test_component_of_twenty_merges_and_of_twenty_one_goes_to_review(spark):
     groups, review = resolution.resolve(e, e.limit(0))
     assert {r["component"] for r in groups.collect()} == {0} and review.count() == 20
     groups, review = resolution.resolve(e.where("a = 0"), spark.createDataFrame([(0, 5)], "a long, b long"))
-    assert groups.count() == 0 and review.count() == 18
+    # a barred component within the cap: all its pairs but the suppressed one, not its edges alone
+    assert groups.count() == 0 and review.count() == 20 * 19 // 2 - 1
+    chain = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert rows(resolution.resolve(chain, spark.createDataFrame([(1, 3)], "a long, b long"))[1]) == [(1, 2), (2, 3)]
+
+
+def test_review_pairs_of_the_residue(spark):
+    people = [(i, "jan novak", i % 2 == 0 and 7 or None, True) for i in range(1, 26)] + [(30, "petr maly", 1, True), (31, "jan novak", 7, False), (32, None, None, True)]
+    identities = spark.createDataFrame(people, "identity long, name_key string, primary_firm long, mergeable boolean")
+    contacts = spark.createDataFrame([(i, "phone", "777", n) for i, n, _, _ in people], "identity long, kind string, value string, name_key string")
+    got = set(rows(resolution.review_pairs(identities, contacts)))
+    # 25 carriers of an ambiguous value: all pairs but those of one known firm; none across names, none that can't merge
+    want = {(a, b) for a in range(1, 26) for b in range(a + 1, 26) if a % 2 or b % 2}
+    assert got == want
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "node long, component long")
+    fewer = set(rows(resolution.review_pairs(identities, contacts, groups, spark.createDataFrame([(5, 4)], "a long, b long"))))
+    assert fewer == want - {(1, 2), (4, 5)}
+    alone = contacts.where("identity <= 25")  # a value under one name is no question
+    assert resolution.review_pairs(identities, alone).count() == 0
+
+
+def test_unmerge_keeps_all_pairs_of_owners_apart(spark):
+    m = spark.createDataFrame([(1, "x", 1), (1, "x", 2), (1, "y", 3), (1, "y", 4), (2, "x", 9), (1, None, 5)], "group int, owner string, identity int")
+    assert rows(resolution.unmerge_suppression(m)) == [(1, 3), (1, 4), (2, 3), (2, 4)]
+    assert rows(resolution.block_pairs(spark.createDataFrame([("k", 1), ("k", 2), ("k", 3), (None, 4)], "key string, id int"), "key", "id")) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_owners_of_merged_groups_within_a_bound(spark):
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "node long, component long")
+    owners = spark.createDataFrame([(1, 10), (2, 11), (3, 11), (4, 12), (5, 20), (6, 21)], "identity long, owner long")
+    assert rows(resolution.apply_components(groups, owners, 2)) == [(11, 10, False), (12, 10, False), (21, 20, True)]
+
+
+def test_house_numbers_floors_and_dates_in_free_text(spark):
+    numbers = {"128/40a": ("128", "40", "a", None), "č.p. 12": ("12", None, None, None), "ev. č. 12": (None, None, None, "12"), "č. ev. 7": (None, None, None, "7"), "EVIDENČNÍ ČÍSLO 33": (None, None, None, "33"), "e.č. 5": (None, None, None, "5"), "5, ev. 6": ("5", None, None, "6"), "": (None,) * 4}
+    df = spark.createDataFrame([(k,) for k in numbers], "s string")
+    got = {r["s"]: tuple(r["n"]) for r in df.select("s", text.house_number("s").alias("n")).collect()}
+    assert got == numbers
+    floors = {"ve 3. patře": 3, "Přízemí": 0, "1. podzemní podlaží": -1, "2. nadzemního podlaží": 1, "12.NP": 11, "suterén domu": -1, "100. NP": None, "patro": None}
+    df = spark.createDataFrame([(k,) for k in floors], "s string")
+    assert {r["s"]: r["f"] for r in df.select("s", text.floor_number("s").alias("f")).collect()} == floors
+    streets = {"MasarykovaNabízíme 12": "Masarykova Nabízíme", "Jesenická": "Jesenická", "ul. Krátká 5/3b": "Krátká", " (Hlavní), ": "Hlavní", "": None, "Dlouhá byt": "Dlouhá"}
+    df = spark.createDataFrame([(k,) for k in streets], "s string")
+    assert {r["s"]: r["f"] for r in df.select("s", text.clean_street("s", ("ul", "ulice"), ("byt",)).alias("f")).collect()} == streets
+    places = {"Hlavní 5, Brno": "Hlavní", "Brno 5 - Líšeň": None, "Brno": None, "Krátká, Praha": "Krátká"}
+    df = spark.createDataFrame([(k,) for k in places], "s string")
+    assert {r["s"]: r["f"] for r in df.select("s", text.street_of_locality("s", F.lit("Brno")).alias("f")).collect()} == places
+
+
+def test_radius_join_near_the_pole_and_across_the_date_line(spark):
+    import math
+    import random as random_
+
+    rng = random_.Random(4)
+    pts = [(i, rng.choice([rng.uniform(78, 84), rng.uniform(-70, 70)]), rng.choice([rng.uniform(179.5, 180), rng.uniform(-180, -179.5)])) for i in range(120)]
+    a = spark.createDataFrame(pts, "id int, lat double, lng double")
+    b = a.select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
+
+    def metres(p, q):
+        h = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371008.8 * math.asin(min(1, math.sqrt(h)))
+
+    got = sorted((r["id"], r["rid"]) for r in spatial.radius_join(a, b, 60_000).collect())
+    assert got == sorted((p[0], q[0]) for p in pts for q in pts if metres(p, q) <= 60_000)
+    far = spatial.nearest(spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0)], "id int, lat double, lng double"), spark.createDataFrame([(7, 1.0, 179.0)], "rid int, rlat double, rlng double"))
+    assert [r["nearest_id"] for r in far.collect()] == [7, 7]
+
+
+def test_merge_chain_stops_at_its_depth(spark):
+    m = spark.createDataFrame([(i + 1, i) for i in range(40)], "merged_id int, into_id int")
+    got = {r["node"]: r["survivor"] for r in golden.merge_chain(m, depth=20).collect()}
+    assert got == {i: max(0, i - 20) for i in range(1, 41)}
 
 
 def test_names_and_streets(spark):
     names = spark.createDataFrame([("Ing. Jan Novák", "Novák Jan"), ("J. Novák", "Jan Novák"), ("Petr Malý", "Jan Novák"), (None, "x"), ("Ing.", "Ing.")], "a string, b string")
-    assert [r[0] for r in names.select(text.name_relation("a", "b")).collect()] == ["same", "unknown", "different", "unknown", "unknown"]
-    keys = [r[0] for r in names.select(text.name_key("a")).collect()]
+    assert [r[0] for r in names.select(text.same_person("a", "b")).collect()] == ["same", "unknown", "different", "unknown", "unknown"]
+    keys = [r[0] for r in names.select(text.person_key("a")).collect()]
     assert keys[0] == "jan novak" and keys[3] is None and keys[4] is None
     streets = spark.createDataFrame([("ul. Koterovská 12",), ("Náměstí",), (None,)], "s string")
     assert [r[0] for r in streets.select(text.street_key("s")).collect()] == ["koterovska", "namesti", None]
@@ -126,8 +197,17 @@ def test_upsert_preserves_and_sets_once(spark):
     assert rows(golden.upsert(cur, new, ["k"], ["street"], ["seq"])) == [(1, "a", 1, None), (2, "b", 3, 20)]
 
 
-def test_load_assertions():
-    assert quality.load_assertions({"a": 50, "c": 9000, "d": 101}, {"a": 1000, "b": 1, "c": 100, "d": 100}) == [("a", "shrunk"), ("b", "missing"), ("c", "grown"), ("d", "ok")]
+def test_load_assertions(spark):
+    now, before = (spark.createDataFrame(list(d.items()), "name string, n long") for d in ({"a": 50, "c": 9000, "d": 101, "e": 1}, {"a": 1000, "b": 1, "c": 100, "d": 100}))
+    got = {r["name"]: r["verdict"] for r in quality.load_assertions(now, before).collect()}
+    assert got == {"a": "shrunk", "b": "missing", "c": "grown", "d": "ok", "e": "new"}
+
+
+def test_majority_votes_and_leases(spark):
+    votes = spark.createDataFrame([("h", "x"), ("h", "y"), ("h", "y"), ("g", "b"), ("g", "a"), ("g", None)], "head string, vote string")
+    assert rows(clustering.majority(votes, ["head"], "vote")) == [("g", "a", 1), ("h", "y", 2)]
+    with pytest.raises(ValueError):
+        golden.update_from(votes, votes, ["head"], ["vote"])
 
 
 def test_registry_csv_checks_its_header(spark, tmp_path):

@@ -30,10 +30,12 @@ def test_dedupe_over_batches(spark, tmp_path):
 
 
 def test_late_release_waits_for_ready_or_time(spark, tmp_path):
-    b = [[(1, T0, False), (2, T0, False), (3, T0, False)], [(1, T0 + timedelta(minutes=5), True), (2, T0 + timedelta(hours=2), False), (3, T0 + timedelta(minutes=1), False)]]
+    b = [[(1, T0, False), (2, T0, False), (3, T0, False)], [(1, T0 + timedelta(minutes=5), True), (2, T0 + timedelta(hours=2), False), (3, T0 + timedelta(minutes=1), False), (4, T0 + timedelta(minutes=90), False)]]
     s = files(spark, str(tmp_path / "in"), b, "k int, ts timestamp, ok boolean")
-    got = {r["k"]: r["reason"] for r in streaming.drained(streaming.late_release(s, "k", "ts", "ok", 3600), "t-late").collect()}
-    assert got == {1: "ready", 2: "timeout"}
+    got = {r["k"]: (r["reason"], r["released_at"]) for r in streaming.drained(streaming.late_release(s, "k", "ts", "ok", 3600), "t-late").collect()}
+    due = T0 + timedelta(hours=1)
+    # 3 has no row after it was due, the timer releases it; 4 is not due yet
+    assert got == {1: ("ready", T0 + timedelta(minutes=5)), 2: ("timeout", due), 3: ("timeout", due)}
 
 
 def test_redirtied_keys_get_their_newest_version(spark, tmp_path):
