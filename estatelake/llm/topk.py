@@ -8,8 +8,8 @@ blocks that they may need.
 
 Within a block both sides have a cover tree: each node has a centre and the radius that covers all below it; the centres of
 its children lie farther apart than half of that radius and cover all of its rows within half of it. A node whose rows would
-take more than FANOUT such centres is a leaf, for there a tree excludes nothing that a product would not do faster. A pair of
-nodes is left out if the largest product that centres and radii allow falls short of the worst kth score in the query node.
+take more than FANOUT such centres, or one for every few rows (EACH), is a leaf, for there a tree excludes nothing that a product
+would not do faster; in a leaf, rows are left out one by one by their own lengths. A pair of nodes is left out if the largest product that centres and radii allow falls short of the worst kth score in the query node.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from ..storage import forget, written
 
 SCALE, K, QUERY_STEP = 256, 5, 50
-LEAF, FANOUT = 64, 128
+#: A leaf's rows; the most children of a node, and the rows that each has on average at least, of data and of queries.
+LEAF, FANOUT, EACH, EACH_QUERY = 64, 512, 8, 2
 #: Pivots (a bounded sample), the most bytes of a data block's vectors, queries that are searched together or in one task.
 CELLS, BLOCK_BYTES, QUERIES, QUERY_PART = 512, 8 << 20, 2048, 65_536
 #: Whole-number vectors at least this long take no part, as their scores may be more than a long holds.
@@ -34,20 +35,26 @@ LONGEST = 2.0**31
 class CoverTree:
     """Nodes as lists: centre (row), radius, all rows below, and for inner nodes the numbers of the children."""
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT):
+    def __init__(self, x: np.ndarray, leaf: int = LEAF, each: int = EACH, fanout: int = FANOUT):
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.rows: list[np.ndarray] = []
         self.below: list[list[int] | None] = []
-        self.leaf, self.fanout = leaf, fanout
-        self.norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+        self.leaf, self.each, self.fanout = leaf, each, fanout
+        x = x.astype(np.float64)
+        self.square = (x * x).sum(axis=1)
+        self.norm = np.sqrt(self.square)
         if len(x):
-            far = ((x - x.mean(axis=0)) ** 2).sum(axis=1)
-            self._build(x, np.arange(len(x)), int(far.argmin()))
+            middle = x.mean(axis=0)
+            self._build(x, np.arange(len(x)), int((self.square - 2 * x @ middle).argmin()))
+        del self.square
 
-    @staticmethod
-    def _from(x: np.ndarray, rows: np.ndarray, centre: int) -> np.ndarray:
-        return np.sqrt(((x[rows] - x[centre]).astype(np.float64) ** 2).sum(axis=1))
+    def _from(self, x: np.ndarray, rows: np.ndarray, centre: int) -> np.ndarray:
+        """Distances of ``x``, which are these rows, to a row."""
+        at = int(np.searchsorted(rows, centre))
+        out = np.sqrt(np.maximum(self.square[rows] + self.square[centre] - 2 * x @ x[at], 0))
+        out[at] = 0.0
+        return out
 
     def _build(self, x: np.ndarray, rows: np.ndarray, centre: int) -> int:
         me, near = len(self.centre), self._from(x, rows, centre)
@@ -57,15 +64,16 @@ class CoverTree:
         if len(rows) <= self.leaf or radius == 0:
             return me
         centres, owner = [centre], np.zeros(len(rows), np.int64)
+        most = min(self.fanout, len(rows) // self.each)
         while near.max() > radius / 2:  # the farthest row becomes a centre until all are covered
-            if len(centres) == self.fanout:
+            if len(centres) >= most:
                 return me
             i = int(near.argmax())
             d = self._from(x, rows, int(rows[i]))
             owner[d < near] = len(centres)
             near = np.minimum(near, d)
             centres.append(int(rows[i]))
-        self.below[me] = [self._build(x, rows[owner == c], centres[c]) for c in range(len(centres))]
+        self.below[me] = [self._build(x[owner == c], rows[owner == c], centres[c]) for c in range(len(centres))]
         return me
 
 
@@ -80,7 +88,7 @@ def dual_search(q: np.ndarray, q_own: np.ndarray, d: np.ndarray, d_own: np.ndarr
     Ties go to the smaller id; a row with the query's own number (``own``) is no candidate. Candidates below ``floor``, a
     score for each query, may be left out. ``tally`` gains the number of products that were computed.
     """
-    trees = trees or (CoverTree(q), CoverTree(d))
+    trees = trees or (CoverTree(q, 8, EACH_QUERY), CoverTree(d))
     q_tree, d_tree = trees
     best, ids = np.full((len(q), k), np.iinfo(np.int64).min), np.zeros((len(q), k), np.int64)
     got = np.zeros((len(q), k), bool)
@@ -120,13 +128,23 @@ def dual_search(q: np.ndarray, q_own: np.ndarray, d: np.ndarray, d_own: np.ndarr
             full = got[target, k - 1]
             worst[target[full]] = np.maximum(worst[target[full]], best[target[full], k - 1])
 
+    # each group of queries first meets the data leaf that promises most, so that pairs can be left out at any height
+    done = set()
+    for a in range(len(q_tree.centre)):
+        if q_tree.below[a] is None:
+            b = 0
+            while (kids := d_tree.below[b]) is not None:
+                b = kids[int(bounds(a, kids).argmax())]
+            compare(a, b)
+            done.add((a, b))
     stack = [(0, 0, float(bounds(0, [0])[0]))]
     while stack:
         a, b, most_here = stack.pop()
         if most_here < worst[q_tree.rows[a]].min():
             continue
         if q_tree.below[a] is None and d_tree.below[b] is None:
-            compare(a, b)
+            if (a, b) not in done:
+                compare(a, b)
             continue
         if q_tree.below[a] is not None and (d_tree.below[b] is None or q_tree.radius[a] >= d_tree.radius[b]):
             pairs = [(c, b, float(bounds(c, [b])[0])) for c in q_tree.below[a]]
@@ -174,7 +192,7 @@ def _search(groups: DataFrame, k: int) -> DataFrame:
                 block = own, ids, x, CoverTree(x)
             own, ids, qx, floor = (np.concatenate(v) for v in zip(*waiting, strict=True))
             waiting.clear()
-            found, score, got = dual_search(qx, own, block[2], block[0], block[1], k, floor, (CoverTree(qx), block[3]))
+            found, score, got = dual_search(qx, own, block[2], block[0], block[1], k, floor, (CoverTree(qx, 8, EACH_QUERY), block[3]))
             n = got.sum(axis=1)
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(own, n)), pa.array(found[got]), pa.array(score[got])], names=["query_id", "own", "vec_id", "score"])
 
