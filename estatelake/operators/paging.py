@@ -81,10 +81,34 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(rows.alias("_r")).select("_r.*").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+def positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds _position (from 1, by ``order``, which must be total) and _size within each group. Rows are dealt out by ranges and
+    numbered within a range; sums of the ranges before it, a row for each range and group, are added. A group of any size
+    is never sorted in one task."""
+    from pyspark.sql import Window
+
+    from ..storage import written
+
+    dealt = written(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range", *keys).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_range")
+    before = sums.select("_range", *keys, (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"))
+    before = before.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k_{k}") for k in keys], "_before", "_size")
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    numbered = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    return numbered.join(before, same).select(*df.columns, (F.col("_before") + F.col("_rn")).alias("_position"), "_size")
+
+
 def stratified_sample(df: DataFrame, keys: list[str], price: str, id_: str, seed: str, per_stratum: int) -> DataFrame:
-    """Price quartiles within each group; of each quartile the ids whose seeded md5 comes first."""
+    """Price quartiles within each group (the first ones a row larger where rows don't divide by four); of each quartile the
+    ids whose seeded md5 comes first."""
     from pyspark.sql import Window
 
-    q = df.withColumn("band", F.ntile(4).over(Window.partitionBy(*keys).orderBy(price, id_)))
+    small, extra, at = F.floor(F.col("_size") / 4), F.col("_size") % 4, F.col("_position") - 1
+    larger = extra * (small + 1)
+    band = F.when(at < larger, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - larger) / F.greatest(small, F.lit(1)))) + 1
+    q = positions(df, keys, [price, id_]).withColumn("band", band.cast("int")).drop("_position", "_size")
     h = F.md5(F.concat(F.lit(seed), F.col(id_).cast("string")))
     return q.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "band").orderBy(h, id_))).where(F.col("rank") <= per_stratum)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..storage import forget, written
 
 BOX = (0.25, 0.5, 0.75)
 #: Cut points of the seven price bands.
@@ -24,6 +26,39 @@ def points(column: str | Column, at: tuple[float, ...]) -> Column:
     return F.percentile(column, list(at))
 
 
+def global_points(df: DataFrame, columns: dict[str, Column], at: tuple[float, ...]) -> dict[str, list[float | None]]:
+    """Exact interpolated percentiles of a whole frame's columns, as numbers: counts per value are dealt out by ranges of the
+    value, the ranges' sums (one a partition and column) say which range holds each rank, and only these ranges are summed up
+    value by value. One scan, and no task holds all values. Nones for a column without values."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()]))
+    counts = df.select(each.alias("e")).select("e.*").where("v is not null and not isnan(v)").groupBy("name", "v").agg(F.count("*").alias("n"))
+    dealt = written(counts.repartitionByRange("name", "v").withColumn("part", F.spark_partition_id()), "counts")
+    sums = dealt.groupBy("name", "part").agg(F.sum("n").alias("n")).orderBy("name", "part").collect()
+    out: dict[str, list[float | None]] = {n: [None] * len(at) for n in columns}
+    needed, ranks = [], {}
+    for name in columns:
+        mine, total = [], 0
+        for r in sums:
+            if r["name"] == name:
+                mine.append((total, r["part"], r["n"]))
+                total += r["n"]
+        ranks[name] = [(total - 1) * p for p in at] if total else []
+        wanted = sorted({int(k) for r in ranks[name] for k in (math.floor(r), math.ceil(r))})
+        needed += [(name, part, first, [k for k in wanted if first <= k < first + n]) for first, part, n in mine if any(first <= k < first + n for k in wanted)]
+    if needed:
+        # a row for each rank at most, on either side
+        of = df.sparkSession.createDataFrame(needed, "name string, part int, first long, wanted array<long>")
+        summed = dealt.join(F.broadcast(of), ["name", "part"]).withColumn("upto", F.col("first") + F.sum("n").over(Window.partitionBy("name", "part").orderBy("v")))
+        hit = F.exists("wanted", lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n")))
+        found = sorted((r["name"], r["upto"], r["v"]) for r in summed.where(hit).select("name", "upto", "v").collect())
+        for name, rs in ranks.items():
+            at_rank = lambda k: next(v for n, end, v in found if n == name and k < end)  # noqa: B023, E731
+            if rs:
+                out[name] = [(math.ceil(r) - r) * at_rank(math.floor(r)) + (r - math.floor(r)) * at_rank(math.ceil(r)) if r != int(r) else at_rank(int(r)) for r in rs]
+    forget(dealt)
+    return out
+
+
 def distribution(df: DataFrame, field: str, keys: list[str]) -> DataFrame:
     """Per group: n, min, max, mean, median; from five values on also p10, p25, p75, p90, sample deviation and iqr."""
     v = F.col(field).cast("double")
@@ -69,20 +104,21 @@ def browse_stats(df: DataFrame, as_of: datetime) -> DataFrame:
     """One row: total, new in 7 and 30 days, quartiles of price and of price per m2."""
     first, ppm = F.col("first_seen_at"), values.price_per_m2(F.col("price_czk"), F.col("area_m2"))
     new = lambda days, name: F.count(F.when(first >= F.lit(as_of) - F.make_dt_interval(days=F.lit(days)), 1)).alias(name)
-    one = df.agg(F.count("*").alias("total"), new(7, "new_7d"), new(30, "new_30d"), points("price_czk", BOX).alias("_price"), points(ppm, BOX).alias("_ppm"))
-    return one.select("total", "new_7d", "new_30d", *[whole(F.col(f"_{n}")[i]).alias(f"{n}_p{int(p * 100)}") for n in ("price", "ppm") for i, p in enumerate(BOX)])
+    boxes_ = global_points(df, {"price": F.col("price_czk"), "ppm": ppm}, BOX)
+    one = df.agg(F.count("*").alias("total"), new(7, "new_7d"), new(30, "new_30d"))
+    return one.select("*", *[whole(F.lit(v).cast("double")).alias(f"{n}_p{int(p * 100)}") for n, at in boxes_.items() for p, v in zip(BOX, at, strict=True)])
 
 
 def price_band_velocity(df: DataFrame, price: str = "price_czk", tom: str = "tom_days") -> DataFrame:
     """Seven bands cut at percentiles of price: n, share, price range and the box of time on market. A price on a cut
     belongs to the lower band; empty bands keep a row."""
     priced = df.where(F.col(price).isNotNull())
-    cuts = priced.agg(F.percentile(price, F.lit(list(BAND_CUTS))).alias("_cuts"), F.count("*").alias("_total"))
-    with_cuts = priced.crossJoin(F.broadcast(cuts))  # one row, whatever the input
-    band = F.aggregate("_cuts", F.lit(1), lambda s, c: s + F.when(F.col(price) > c, 1).otherwise(0))
-    agg = with_cuts.groupBy(band.alias("band")).agg(
+    cuts = [c for c in global_points(priced, {"price": F.col(price)}, BAND_CUTS)["price"] if c is not None]
+    band = sum((F.when(F.col(price) > c, 1).otherwise(0) for c in cuts), F.lit(1))
+    total = priced.count()
+    agg = priced.groupBy(band.alias("band")).agg(
         F.count("*").alias("n"),
-        F.round(F.count("*") / F.max("_total"), 4).alias("share"),
+        F.round(F.count("*") / F.lit(total), 4).alias("share"),
         F.min(price).alias("price_min"),
         F.max(price).alias("price_max"),
         points(tom, BOX).alias("_tom"),

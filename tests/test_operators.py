@@ -246,3 +246,30 @@ def test_queries_without_sql_cover_whole_tables(spark):
     assert q["a55_greedy_phrases"](spark, sf).agg({"count": "sum"}).first()[0] == parts.count()
     got = {r["label"] for r in q["x20_zero_shot"](spark, sf).select("label").distinct().collect()}
     assert got - {r["label"] for r in vectors.where("label < 5").select("label").distinct().collect()}
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 400])
+def test_global_percentiles_equal_numpy(spark, n):
+    import numpy as np
+
+    v = np.round(np.random.default_rng(n).normal(size=n) * 20) / 2  # many ties
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double").repartition(3)
+    got = stats.global_points(df, {"x": F.col("v"), "none": F.lit(None), "y": -F.col("v")}, (0.0, 0.1, 0.37, 0.5, 1.0))
+    assert got["none"] == [None] * 5
+    for name, sign in (("x", 1), ("y", -1)):
+        assert got[name] == ([None] * 5 if not n else pytest.approx(np.percentile(sign * v, [0, 10, 37, 50, 100]).tolist()))
+
+
+def test_positions_and_quartiles_equal_a_plain_sort(spark):
+    import random as random_
+
+    rng = random_.Random(2)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, 3.0]), i) for i in range(211)]
+    df = spark.createDataFrame(data, "k string, price double, id int").repartition(4)
+    got = {r["id"]: (r["_position"], r["_size"]) for r in paging.positions(df, ["k"], ["price", "id"]).collect()}
+    for k in ("a", "b", None):
+        mine = sorted((x for x in data if x[0] == k), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        assert [got[x[2]] for x in mine] == [(i + 1, len(mine)) for i in range(len(mine))]
+    want = df.selectExpr("id", "ntile(4) over (partition by k order by price, id) as band")
+    q = paging.stratified_sample(df, ["k"], "price", "id", "s", 10_000)
+    assert rows(q.select("id", "band")) == rows(want)
