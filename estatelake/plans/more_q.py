@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text, values
 from ..operators import clustering, filters, golden, history, paging, quality, resolution, series
-from .frames import AS_OF, AS_OF_SQL, CHILD, LISTING, LISTING_NP, MONTHLY, SNAPSHOT, Family, Frames
+from .frames import AS_OF, AS_OF_SQL, CHILD, LISTING, LISTING_NP, MONTHLY, PEOPLE, SNAPSHOT, Family, Frames
 
 family = Family()
 add = family.add
@@ -221,3 +221,13 @@ def _resumed(f: Frames):
 
 
 add("k15_resume", _resumed, "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 40 OFFSET 120")
+
+
+def _gridded(f: Frames):
+    """Places to the national grid and back; those outside the country's box have no ordinates."""
+    g = f.people.select("id", "lat", "lng", geo.wgs84_to_grid(F.col("lat"), F.col("lng")).alias("g"))
+    p = g.select("id", "lat", "lng", "g", geo.grid_to_wgs84(F.col("g.y"), F.col("g.x")).alias("p"))
+    return p.select("id", F.col("g").isNotNull().alias("gridded"), ((F.abs(F.col("p.lat") - F.col("lat")) < 1e-5) & (F.abs(F.col("p.lng") - F.col("lng")) < 1e-5)).alias("back"))
+
+
+add("x27_grid_round_trip", _gridded, "SELECT id, lat BETWEEN 48.0 AND 51.5 AND lng BETWEEN 12.0 AND 19.0 AS gridded, CASE WHEN lat BETWEEN 48.0 AND 51.5 AND lng BETWEEN 12.0 AND 19.0 THEN TRUE END AS back FROM people", PEOPLE)

@@ -7,9 +7,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from estatelake.functions import text, values
+from estatelake.functions import geo, text, values
 from estatelake.operators import clustering, filters, golden, history, paging, quality, resolution, series, spatial, stats
-from estatelake.sources import readers
+from estatelake.sources import readers, shapes
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -273,3 +273,52 @@ def test_positions_and_quartiles_equal_a_plain_sort(spark):
     want = df.selectExpr("id", "ntile(4) over (partition by k order by price, id) as band")
     q = paging.stratified_sample(df, ["k"], "price", "id", "s", 10_000)
     assert rows(q.select("id", "band")) == rows(want)
+
+
+def test_national_grid_and_back(spark):
+    known = spark.createDataFrame([(744384.54, 1042569.73)], "y double, x double")
+    for y, x in (("y", "x"), ("-y", "-x")):
+        p = known.select(geo.grid_to_wgs84(F.expr(y), F.expr(x)).alias("p")).first()["p"]
+        assert abs(p["lat"] - 50.089480) * 111_000 < 5 and abs(p["lng"] - 14.398606) * 71_000 < 5
+    wrong = spark.createDataFrame([(1042569.73, 744384.54), (744384.54, -1042569.73), (1.0, 2.0), (None, 1e6), (500_000.0, 940_000.0)], "y double, x double")
+    assert [r["p"] is None for r in wrong.select(geo.grid_to_wgs84(F.col("y"), F.col("x")).alias("p")).collect()][:4] == [True] * 4
+    places = spark.createDataFrame([(48.6, 16.9), (50.1, 12.5), (49.8, 18.5), (51.0, 15.0), (60.0, 15.0)], "lat double, lng double")
+    g = places.select("lat", "lng", geo.wgs84_to_grid(F.col("lat"), F.col("lng")).alias("g"))
+    for r in g.select("lat", "lng", "g", geo.grid_to_wgs84(F.col("g.y"), F.col("g.x")).alias("p")).collect():
+        if r["lat"] > 51.5:
+            assert r["g"] is None and r["p"] is None
+        else:
+            assert abs(r["p"]["lat"] - r["lat"]) * 111_000 < 1 and abs(r["p"]["lng"] - r["lng"]) * 71_000 < 1
+
+
+def _shapefile(shapes, names):
+    import struct
+
+    body = b""
+    for i, rings in enumerate(shapes):
+        if rings is None:
+            rec = struct.pack("<i", 0)
+        else:
+            pts = [p for r in rings for p in r]
+            starts = [sum(map(len, rings[:k])) for k in range(len(rings))]
+            rec = struct.pack("<i4d2i", 5, 0, 0, 0, 0, len(rings), len(pts)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in pts)
+        body += struct.pack(">2i", i + 1, len(rec) // 2) + rec
+    fields = [(b"KOD", 8), (b"NAZEV", 12)]
+    head = struct.pack("<4BIHH20x", 3, 1, 1, 1, len(names), 32 + 32 * len(fields) + 1, 1 + sum(n for _, n in fields))
+    head += b"".join(n.ljust(11, b"\0") + b"C" + bytes(4) + bytes([size]) + bytes(15) for n, size in fields) + b"\r"
+    return bytes(100) + body, head + b"".join(b" " + c.encode().ljust(8) + n.encode("cp1250").ljust(12) for c, n in names)
+
+
+def test_shapefile_layer_with_broken_records(spark, tmp_path):
+    square = [(-744000.0, -1042000.0), (-743000.0, -1042000.0), (-743000.0, -1043000.0), (-744000.0, -1042000.0)]
+    hole = [(-743500.0, -1042300.0), (-743400.0, -1042300.0), (-743400.0, -1042400.0), (-743500.0, -1042300.0)]
+    shp, dbf = _shapefile([[square, hole], None, [square], [square]], [("11", "Žďár"), ("12", "none"), ("x", "no code"), ("14", "")])
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "OBCE_P.shp").write_bytes(shp)
+    (tmp_path / "a" / "OBCE_P.dbf").write_bytes(dbf)
+    (tmp_path / "OBCE_small.shp").write_bytes(bytes(100))
+    got = shapes.read_layer(spark, str(tmp_path), "obce")
+    assert rows(got.select("code", "name", F.size("rings"), "usable").where("code is not null")) == [(11, "Žďár", 2, True), (12, "none", 0, False), (14, "14", 1, True)]
+    assert got.where("code is null").count() == 1
+    turned = shapes.in_degrees(got).where("code = 11").first()
+    assert turned["usable"] and abs(turned["rings"][0][0]["lat"] - 50.09) < 0.02 and abs(turned["rings"][0][0]["lng"] - 14.4) < 0.02
