@@ -16,6 +16,16 @@ def model_file() -> str:
     return f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` has it, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (0 for a null id)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % F.lit(folds), F.lit(0))

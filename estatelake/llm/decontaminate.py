@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .common import free_names
 
 WINDOW = 10
 #: Fixed by the contract: words after A-Z became a-z.
@@ -129,5 +130,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = 400_000) -> DataFrame:
     """``docs`` without the rows in which any benchmark window occurs. Rows are told apart by id and text, so a clean row stays
     that shares its id (or the lack of one) with a contaminated one."""
-    bad = _digest(docs, benchmark, window, broadcast_windows).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("_t").alias("__t")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__t")), "left_anti")
+    id_, hash_ = free_names(docs, "_id", "_hash")
+    bad = _digest(docs, benchmark, window, broadcast_windows).where("contaminated").select(F.col("doc_id").alias(id_), F.col("_t").alias(hash_)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"].cast("string")) == F.col(hash_)), "left_anti")

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from ..operators.graph import components
 from ..storage import forget, written
 from .buffers import BLANK, pieces, text_bytes
+from .common import free_names
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Tokens by which a path grows, hash functions at least, and those that make up a sketch.
@@ -530,12 +531,12 @@ def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
     rows, info = _joined(docs, words, threshold, recall)
     of = rows.join(info.where("copies > 1 or first <> rep or first_th <> rep_th"), ["d1", "d2", "n"])
     wins = (F.col("doc_id") == F.col("first")) & (F.col("th") == F.col("first_th"))
-    of = of.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.max(wins).alias("__wins"), F.count("*").alias("__n"))
-    marked = written(of.where("not __wins or __n > 1"), "marked")
-    again = marked.where("__wins")
-    out = docs.join(marked.hint("merge"), (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th")), "left")
-    once = out.where("__id is null").select(*docs.columns)
-    if not again.limit(1).count():
+    id_, hash_, wins_, n_ = free_names(docs, "_id", "_hash", "_wins", "_n")
+    of = of.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_), F.col("th").alias(hash_)).agg(F.max(wins).alias(wins_), F.count("*").alias(n_))
+    marked = written(of.where(~F.col(wins_) | (F.col(n_) > 1)), "marked")
+    out = docs.join(marked.hint("merge"), (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"].cast("string")) == F.col(hash_)), "left")
+    once = out.where(F.col(id_).isNull()).select(*docs.columns)
+    if not marked.where(F.col(wins_)).limit(1).count():
         return once
-    repeated = out.where("__wins").dropDuplicates(["__id", "__th"]).select(*docs.columns)
+    repeated = out.where(F.col(wins_)).dropDuplicates([id_, hash_]).select(*docs.columns)
     return once.unionByName(repeated)

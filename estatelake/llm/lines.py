@@ -12,22 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .common import free_names
 
 #: A line of a site's own texts stands on a few pages, boilerplate on one in a hundred and more; on a small site a line that is
 #: on fewer than MIN_PAGES pages may still be a chance repetition.
 RATIO, MIN_PAGES = 0.01, 5
 
 
-def _free(df: DataFrame, *names: str) -> list[str]:
-    """The names, each made longer until no column of ``df`` has it."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n in taken:
-            n += "_"
-        out.append(n)
-    return out
-
-
 def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Rows (_host, _k1, _k2, pages, host_pages, share) of lines above the ratio, on at least ``min_pages`` pages.
 
@@ -60,7 +51,7 @@ def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RA
     with no lines; a text of boilerplate only becomes empty and its row stays, and so does every other row, repeated ones too.
     The added columns take names that ``docs`` hasn't. An empty table gives an empty one.
     """
-    drop, there, all_, kept, n_all, n_dropped = _free(docs, "_drop", "_there", "_all", "_kept", "_n_lines", "_n_dropped")
+    drop, there, all_, kept, n_all, n_dropped = free_names(docs, "_drop", "_there", "_all", "_kept", "_n_lines", "_n_dropped")
     found = written(boilerplate(docs, host, ratio, min_pages).groupBy("_host").agg(F.collect_set(F.struct("_k1", "_k2")).alias(drop), F.count("*").alias("_n")), "lines")
     small = (found.agg(F.sum("_n")).first()[0] or 0) <= broadcast_lines
     right = found.select(F.col("_host").alias(there), drop)

@@ -326,7 +326,7 @@ def test_lines_over_awkward_rows(spark):
     for limit in (400_000, 0):
         out = lines.drop_boilerplate(docs, broadcast_lines=limit)
         assert out.columns == docs.columns and out.count() == docs.count()
-    clash = docs.select("*", *[docs["lang"].alias(c) for c in ("_drop", "_all", "_kept", "_n_lines", "_there", "pages")])
+    clash = docs.select("*", *[docs["lang"].alias(c) for c in ("_drop", "_all", "_kept", "_n_lines", "_THERE", "pages")])
     out, n_lines, n_dropped = lines.without_boilerplate(clash)
     assert out.columns == [*clash.columns, n_lines, n_dropped] and out.count() == docs.count()
     assert lines.drop_boilerplate(docs.limit(0)).count() == 0
@@ -757,7 +757,10 @@ def test_pipeline_stages(spark):
 def test_pipeline_stages_over_awkward_rows(spark, tmp_path):
     from estatelake.llm import pipeline
 
-    docs, sf = awkward(spark), f"file://{tmp_path}"
+    from pyspark.sql import functions as F
+
+    clash = ("_id", "_hash", "_wins", "_n", "_t", "_h", "_drop", "_n_lines", "th", "n", "d1", "cls", "first")
+    docs, sf = awkward(spark).withColumns({c: F.lit(None).cast("string") for c in clash}), f"file://{tmp_path}"
     labels(spark, 9).write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([(1, "for all the people of it", 1), (None, None, 1), (2, "", 1)], "item_id long, text string, doc_id int").write.parquet(f"{sf}/benchmark.parquet")
     kept = {"toxicity": None, "line_dedup": docs.count(), "jaccard_join": docs.count() - 2, "decontamination": docs.count() - 2}
