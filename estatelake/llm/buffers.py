@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bytes after which a text may be cut, by default: white space.
 BLANK = np.arange(256) <= 32
 
