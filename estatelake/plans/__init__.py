@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filters_q, joins_q, more_q, quality_q, stats_q, stream_q
+from . import filters_q, joins_q, more_q, portals_q, quality_q, stats_q, stream_q
 
-FAMILIES = (filters_q.family, joins_q.family, more_q.family, quality_q.family, stats_q.family, stream_q.family)
+FAMILIES = (filters_q.family, joins_q.family, more_q.family, portals_q.family, quality_q.family, stats_q.family, stream_q.family)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -93,7 +93,6 @@ def _dossier(f: Frames):
 
 
 add("c11_dossier_search", _dossier, "SELECT c_custkey AS property_id, c_name, coalesce(listings, 0) AS listings, coalesce(active, 0) AS active, median FROM customer LEFT JOIN (SELECT property_id, count(*) AS listings, count(*) FILTER (WHERE is_active) AS active, CAST(quantile_cont(price_czk, 0.5) AS BIGINT) AS median FROM listing GROUP BY property_id) l ON l.property_id = c_custkey WHERE c_name LIKE '%7%'", LISTING)
-add("e01_attribution", lambda f: f.events.select("event_id", F.from_json("props", "struct<k: int>").alias("p"), "event_type").select("event_id", F.when(F.col("event_type").isin("click", "view"), F.col("p.k")).alias("broker"), F.when(F.col("event_type") == "error", "suppressed").otherwise("direct").alias("kind")), "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN CAST(props ->> '$.k' AS INT) END AS broker, CASE WHEN event_type = 'error' THEN 'suppressed' ELSE 'direct' END AS kind FROM events")
 
 
 def _labels(f: Frames):

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelake.functions import geo, text, values
-from estatelake.operators import clustering, filters, golden, history, paging, quality, resolution, series, spatial, stats
-from estatelake.sources import readers, shapes
+from estatelake.operators import attribution, clustering, filters, golden, history, paging, quality, resolution, series, spatial, stats
+from estatelake.sources import portals, readers, shapes
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -322,3 +322,87 @@ def test_shapefile_layer_with_broken_records(spark, tmp_path):
     assert got.where("code is null").count() == 1
     turned = shapes.in_degrees(got).where("code = 11").first()
     assert turned["usable"] and abs(turned["rings"][0][0]["lat"] - 50.09) < 0.02 and abs(turned["rings"][0][0]["lng"] - 14.4) < 0.02
+
+
+def test_portals_pages_give_first_labels_ticks_free_text_and_survive_anything():
+    page = portals.SHAPES["definitions"]
+    html = "<dl><dt><a>Výtah</a>:</dt><dd><i class='icon icon--check'></i></dd><dt>Sklep</dt><dd><span class='icon icon--cross'></span><dt>Cena</dt><dd>1&nbsp;000&nbsp;Kč<br>dohoda</dd><dt>Cena</dt><dd>2</dd><script>x</script>"
+    assert portals.page_facts(html, page) == {"vytah": "ano", "sklep": "ne", "cena": "1 000 Kč dohoda"}
+    assert portals.page_facts(None, page) == portals.page_facts("", page) == {}
+    assert portals.page_facts("<dt>a<dd>b</p></x><dl>", page) == {"a": "b"}
+    assert portals.page_facts("<div>" * 20_000 + "<dt>a</dt><dd>b</dd>", page) == {"a": "b"}
+    advert = portals.page_facts("<h1 class='nadpisdetail'>Byt 2 + kk</h1><table><tr><td>Lokalita:</td><td><img></td><td><b>110 00</b> Praha</td></tr><tr><td>alone</td></tr></table>", portals.SHAPES["advert"])
+    assert advert == {"lokalita": "110 00 Praha", portals.FREE: "Byt 2 + kk"}
+    two = """<a :property='{"id": 7, "price": 1}'></a><a :property='{"id": 8, "price": 2, "title": "longer"}'></a><a :property='{broken'></a>"""
+    facts = [portals.page_facts(two, portals.SHAPES["object"], i)[portals.EMBEDDED] for i in ("7", "nobody")]
+    assert '"price": 1' in facts[0] and '"price": 2' in facts[1]
+
+
+@pytest.mark.parametrize(
+    ("reader", "said", "value"),
+    [
+        ("price", "4 990 000 Kč", 4_990_000),
+        ("price", "4 990 000 Kč, dříve 5 200 000 Kč", 4_990_000),
+        ("price", "Cena dohodou", None),
+        ("price", "1 200 Kč/m²", None),
+        ("price", "99 999 999 999 Kč", None),
+        ("price", None, None),
+        ("area", "1 250,5 m²", 1250.5),
+        ("area", "Byt 3+1 78 m2", 78.0),
+        ("area", "78", None),
+        ("storey", "2. patro (3. NP)", 2),
+        ("storey", "3./6.", 3),
+        ("storey", "-1", -1),
+        ("storey", "přízemí", 0),
+        ("storey", "99", None),
+        ("disposition", "Prodej bytu 3 + KK", "3+kk"),
+        ("disposition", "atypický", None),
+        ("said", "4 m2", True),
+        ("said", "Ne", False),
+        ("said", " ", None),
+        ("building", "Zděná", "cihla"),
+        ("building", "neuvedeno", None),
+        ("condition", "velmi dobrý stav", "velmi_dobry"),
+        ("condition", "Prodáno", None),
+        ("condition", "K rekonstrukci", "pred_rekonstrukci"),
+        ("furnished", "částečně zařízený", "castecne"),
+        ("furnished", "Nevybavený", "ne"),
+        ("furnished", "jiné", None),
+        ("energy", "Třída G - mimořádně nehospodárná", "G"),
+    ],
+)
+def test_portals_readers(spark, reader, said, value):
+    df = spark.createDataFrame([(said,)], "s string")
+    assert df.select(getattr(portals, reader)(F.col("s")).alias("v")).first()["v"] == value
+
+
+def test_portals_json_empty_broken_unknown_and_clashing_columns(spark):
+    named = '{"price": 0, "surface": 55, "disposition": "GARSONIERA", "etage": 0, "balconySurface": 0, "terraceSurface": 3, "city": "Brno", "cityDistrict": "Brno", "penb": "X", "lift": false}'
+    coded = '{"price_summary_czk": 0, "price_czk": 5, "furnished": {"value": 0}, "building_condition": {"name": "Rezervováno"}, "elevator": {"value": 0, "name": "Ano"}, "balcony": 0}'
+    data = [("n", 1, named, 9.0), ("c", 2, coded, 9.0), ("n", 3, "{", 9.0), ("n", 4, None, 9.0), ("who", 5, named, 9.0), (None, 6, named, 9.0), ("d", 7, "<dt>Cena</dt><dd>7 Kč</dd>", 9.0)]
+    df = spark.createDataFrame(data, "source string, id int, payload string, area_m2 double")
+    got = {r["id"]: r for r in portals.listings(df, "source", "payload", "id", {"n": "names", "c": "codes", "d": "definitions"}).collect()}
+    assert (got[1]["price_czk"], got[1]["area_m2"], got[1]["disposition"], got[1]["floor"], got[1]["has_balcony"], got[1]["locality"], got[1]["energy_rating"], got[1]["has_lift"]) == (None, 55.0, "1+kk", None, True, "Brno", None, False)
+    assert (got[2]["price_czk"], got[2]["furnished"], got[2]["condition"], got[2]["has_lift"], got[2]["has_balcony"]) == (5, None, None, None, False)
+    assert all(got[i][c] is None for i in (3, 4, 5, 6) for c in portals.COLUMNS if c != "has_parking") and got[7]["price_czk"] == 7
+    assert portals.listings(df.limit(0), "source", "payload", "id", {"n": "names"}).count() == 0
+
+
+def test_attribution_newest_wins_contacts_are_normalised_and_switchboards_left_out(spark):
+    rules = {"a": attribution.Rule("user", "i", "n", "m", phones="p", prefix=True, rating="r"), "b": attribution.Rule("broker", "i", "n", phone="p", contacts=False)}
+    data = [
+        (1, "a", '{"user": {"i": 5, "n": "Old", "m": "X@Y.cz", "p": [{"phone": "777 123 456"}, {"phone": "12"}, {}], "r": "4.5"}}', 1, 2),
+        (2, "a", '{"user": {"i": 5, "n": "New", "m": "", "p": null}}', 1, 3),
+        (3, "a", '{"user": {"n": "no id"}}', 1, 1),
+        (4, "b", '{"broker": {"i": "k", "n": "", "p": "777123456"}}', 1, 1),
+        (5, "c", '{"user": {"i": 5}}', 1, 1),
+        (6, "a", None, 1, 1),
+    ]
+    df = spark.createDataFrame(data, "id int, source string, raw string, first_seen_at int, last_seen_at int")
+    found = attribution.attributed(df, rules)
+    assert rows(attribution.identities(found).select("source", "uid", "name", "email", "rating", "listings")) == [("a", "5", "New", None, None, 2), ("b", "k", None, None, None, 1)]
+    assert rows(attribution.contacts(found)) == [("a", "5", "email", "x@y.cz", 1, 2), ("a", "5", "phone", "420777123456", 1, 2)]
+    prints = {r["id"]: r["fingerprint"] for r in found.collect()}
+    assert prints[1] != prints[2] and set(prints) == {1, 2, 4}
+    known = spark.createDataFrame([("a", "5", "Known", "k@y.cz", 1.0, 3, 0, 9, 4), ("z", "1", "Z", None, None, None, 0, 1, 1)], attribution.identities(found).schema)
+    assert rows(attribution.upserted(known, attribution.identities(found)).select("source", "uid", "name", "first_seen_at", "last_seen_at")) == [("a", "5", "Known", 0, 9), ("b", "k", None, 1, 1), ("z", "1", "Z", 0, 1)]
