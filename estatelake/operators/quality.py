@@ -186,3 +186,42 @@ def epoch_changes(before: DataFrame, now: DataFrame, keys: list[str], state: str
     """Keys whose state differs between two aggregates, appearing and vanishing ones included."""
     a, b = before.select(*keys, F.col(state).alias("before")), now.select(*keys, F.col(state).alias("now"))
     return a.join(b, keys, "full").where(~F.col("before").eqNullSafe(F.col("now")))
+
+
+def windowed_counts(df: DataFrame, keys: list[str], ids: list[str], at: str, as_of: Column, days: tuple[int, ...] = (7, 30), sums: tuple[str, ...] = ()) -> DataFrame:
+    """Per group the distinct values of each of ``ids`` seen in the last so many days, and the sums of ``sums``: columns like id_7d.
+    A value counts in a window if it was seen last within it, so a single grouping by value serves all windows; nulls don't count,
+    and rows older than the longest window are left out."""
+    kinds = [F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value"), *[(F.col(s) if i == 0 else F.lit(None)).cast("double").alias(s) for s in sums]) for i, c in enumerate(ids)]
+    since = lambda d: as_of - F.make_dt_interval(days=F.lit(d))
+    rows = df.where(F.col(at) >= since(max(days))).select(*keys, F.col(at).alias("_at"), F.explode(F.array(*kinds)).alias("_r")).select(*keys, "_at", "_r.*")
+    parts = [F.sum(F.when(F.col("_at") >= since(d), F.col(s))).alias(f"_{s}_{d}") for s in sums for d in days]
+    g = rows.groupBy(*keys, "kind", "value").agg(F.max("_at").alias("_at"), *parts)
+    counts = [F.count(F.when((F.col("kind") == c) & F.col("value").isNotNull() & (F.col("_at") >= since(d)), 1)).alias(f"{c}_{d}d") for c in ids for d in days]
+    totals = [F.round(F.coalesce(F.sum(f"_{s}_{d}"), F.lit(0.0)), 4).alias(f"{s}_{d}d") for s in sums for d in days]
+    return g.groupBy(*keys).agg(*counts, *totals)
+
+
+def resolutions(audit: DataFrame, keys: list[str], as_of: Column, days: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """The funnel's outcomes: of audited pairs (id, run_at, left_property, left_listing, right_property, right_listing) the distinct
+    pairs, and the distinct properties and listings of either side, by ``keys`` and window."""
+    sides = F.explode(F.array(*[F.struct(F.col(f"{s}_property").alias("properties"), F.col(f"{s}_listing").alias("listings")) for s in ("left", "right")]))
+    rows = audit.select(*keys, "run_at", F.col("id").alias("pairs"), sides.alias("_s")).select(*keys, "run_at", "pairs", "_s.*")
+    return windowed_counts(rows, keys, ["pairs", "properties", "listings"], "run_at", as_of, days)
+
+
+def flow_counters(runs: DataFrame, counters: list[str], gauges: list[str], at: str, id_: str, as_of: Column, days: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """One row: runs and the sums of their counters by window, and the gauges of the latest run that has the first of them (a
+    gauge is a state, never summed)."""
+    since = lambda d: F.col(at) >= as_of - F.make_dt_interval(days=F.lit(d))
+    sums = [F.coalesce(F.sum(F.when(since(d), F.col(c))), F.lit(0)).alias(f"{c}_{d}d") for c in counters for d in days]
+    latest = [F.max_by(F.when(F.col(gauges[0]).isNotNull(), F.struct(*gauges)), F.when(F.col(gauges[0]).isNotNull(), F.col(id_))).alias("_g")] if gauges else []
+    out = runs.agg(*[F.count(F.when(since(d), 1)).alias(f"runs_{d}d") for d in days], *sums, *latest)
+    return out.select(*[c for c in out.columns if c != "_g"], *[F.col(f"_g.{g}").alias(g) for g in gauges])
+
+
+def unattributed(ledger: DataFrame, linked: DataFrame, key: str, call: str, cost: str) -> DataFrame:
+    """Per kind of call the whole cost, the part whose calls are linked to a category, and the rest."""
+    known = linked.where(F.col(call).isNotNull()).select(call).distinct().withColumn("_known", F.lit(True))
+    j = ledger.join(known, call, "left").groupBy(key).agg(F.round(F.sum(cost), 4).alias("total"), F.round(F.coalesce(F.sum(F.when(F.col("_known"), F.col(cost))), F.lit(0.0)), 4).alias("attributed"))
+    return j.withColumn("unattributed", F.round(F.col("total") - F.col("attributed"), 4))

@@ -230,3 +230,44 @@ def _gridded(f: Frames):
 
 
 add("x27_grid_round_trip", _gridded, "SELECT id, lat BETWEEN 48.0 AND 51.5 AND lng BETWEEN 12.0 AND 19.0 AS gridded, CASE WHEN lat BETWEEN 48.0 AND 51.5 AND lng BETWEEN 12.0 AND 19.0 THEN TRUE END AS back FROM people", PEOPLE)
+
+
+_NOW, _DAYS = "2024-01-28 00:00:00", (7, 20)
+
+
+def _audited(f: Frames):
+    """Pairs that were looked at, with the segment of the left one, and what was found."""
+    e, u = F.col("event_id"), F.col("user_id")
+    a = f.events.select((e % 4000).alias("id"), F.col("ts").alias("run_at"), F.col("event_type").alias("stage"), F.when(e % 5 == 0, "merged").otherwise("kept").alias("outcome"), (u % 90).alias("left_property"), u.alias("left_listing"), (e % 70).alias("right_property"), F.when(e % 9 != 0, e % 500).alias("right_listing"))
+    kinds = f.table("customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("left_listing"), "c_mktsegment")
+    return a.join(kinds, "left_listing", "left").withColumn("category", F.coalesce("c_mktsegment", F.lit("other")))
+
+
+_AUDIT = "audit AS (SELECT event_id % 4000 AS id, ts, event_type AS stage, CASE WHEN event_id % 5 = 0 THEN 'merged' ELSE 'kept' END AS outcome, coalesce(c_mktsegment, 'other') AS category, user_id % 90 AS lp, user_id AS ll, event_id % 70 AS rp, CASE WHEN event_id % 9 <> 0 THEN event_id % 500 END AS rl FROM events LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 10 <> 0), sides AS (SELECT id, ts, stage, outcome, category, lp AS property, ll AS listing FROM audit UNION ALL SELECT id, ts, stage, outcome, category, rp, rl FROM audit)"
+_WITHIN = lambda d: f"ts >= TIMESTAMP '{_NOW}' - INTERVAL {d} DAY"
+add(
+    "a40_resolutions",
+    lambda f: quality.resolutions(_audited(f), ["stage", "outcome", "category"], F.lit(_NOW).cast("timestamp"), _DAYS),
+    "SELECT stage, outcome, category, " + ", ".join(f"count(DISTINCT {c}) FILTER (WHERE {_WITHIN(d)}) AS {n}_{d}d" for c, n in (("id", "pairs"), ("property", "properties"), ("listing", "listings")) for d in _DAYS) + f" FROM sides WHERE {_WITHIN(20)} GROUP BY stage, outcome, category",
+    _AUDIT,
+)
+
+
+def _calls(f: Frames):
+    """Calls that cost something, linked to the segment of the customer they were made for."""
+    rows = f.events.select(F.col("event_type").alias("called_for"), "ts", F.col("event_id").alias("calls"), F.col("value").alias("cost"), F.col("user_id").alias("listings"))
+    kinds = f.table("customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("listings"), F.col("c_mktsegment").alias("category"))
+    return rows, rows.join(kinds, "listings")
+
+
+add(
+    "a40_costs_by_category",
+    lambda f: quality.windowed_counts(_calls(f)[1], ["called_for", "category"], ["calls", "listings"], "ts", F.lit(_NOW).cast("timestamp"), _DAYS, ("cost",)),
+    "SELECT event_type AS called_for, c_mktsegment AS category, " + ", ".join([f"count(DISTINCT {c}) FILTER (WHERE {_WITHIN(d)}) AS {n}_{d}d" for c, n in (("event_id", "calls"), ("user_id", "listings")) for d in _DAYS] + [f"round(coalesce(sum(value) FILTER (WHERE {_WITHIN(d)}), 0), 4) AS cost_{d}d" for d in _DAYS]) + f" FROM events JOIN customer ON c_custkey = user_id AND c_custkey % 10 <> 0 WHERE {_WITHIN(20)} GROUP BY 1, 2",
+)
+add("a40_unattributed", lambda f: quality.unattributed(*_calls(f), "called_for", "calls", "cost"), "SELECT event_type AS called_for, round(sum(value), 4) AS total, round(coalesce(sum(value) FILTER (WHERE c_custkey IS NOT NULL), 0), 4) AS attributed, round(round(sum(value), 4) - round(coalesce(sum(value) FILTER (WHERE c_custkey IS NOT NULL), 0), 4), 4) AS unattributed FROM events LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 10 <> 0 GROUP BY 1")
+add(
+    "a40_flow_counters",
+    lambda f: quality.flow_counters(f.events.select("event_id", "ts", F.col("user_id").alias("considered"), (F.col("event_id") % 3).alias("rejected"), F.when(F.col("event_type") == "signup", F.col("user_id")).alias("eligible"), (F.col("event_id") % 100).alias("flagged")), ["considered", "rejected"], ["eligible", "flagged"], "ts", "event_id", F.lit(_NOW).cast("timestamp"), _DAYS),
+    "SELECT " + ", ".join([f"count(*) FILTER (WHERE {_WITHIN(d)}) AS runs_{d}d" for d in _DAYS] + [f"CAST(sum({c}) FILTER (WHERE {_WITHIN(d)}) AS BIGINT) AS {n}_{d}d" for c, n in (("user_id", "considered"), ("event_id % 3", "rejected")) for d in _DAYS]) + ", arg_max(user_id, event_id) FILTER (WHERE event_type = 'signup') AS eligible, arg_max(event_id % 100, event_id) FILTER (WHERE event_type = 'signup') AS flagged FROM events",
+)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution
 from ..operators.attribution import Rule
-from ..sources import portals
+from ..sources import drain, portals
 from .frames import LISTING, Family, Frames, of, of_sql
 
 family = Family()
@@ -151,3 +151,28 @@ add(
     _B,
 )
 add("e01_links", lambda f: attribution.attributed(_with_brokers(f), _RULES).select("id", "source", "uid"), "SELECT id, source, uid FROM named", _B)
+
+
+# a detail queue
+
+
+def _fetched(i: int) -> tuple[str, str | None]:
+    """Stands for a portal's answers: some pages are gone, some fail."""
+    if i % 11 == 0:
+        raise OSError("no answer")
+    return ("gone", None) if i % 7 == 0 else ("ok", f"detail {i}")
+
+
+def _drain(f: Frames):
+    """What becomes of each row of the queue when its next 3,000 open rows are worked on."""
+    q = f.events.select(F.col("event_id").alias("id"), (F.col("event_id") % 3).alias("priority"), F.col("ts").alias("enqueued_at"), (F.col("event_id") % 6).alias("attempts"), F.when(F.col("event_id") % 4 == 0, F.col("ts")).alias("claimed_at"))
+    details, gone, after = drain.drained(drain.reclaimed(q, "2024-01-20 00:00:00", 60), _fetched, 3000)
+    state = lambda df, s, payload: df.select("id", F.lit(s).alias("state"), payload.cast("string").alias("payload"), (F.col("attempts") if s == "queued" else F.lit(None)).cast("long").alias("attempts"))
+    return state(details, "detail", F.col("payload")).unionByName(state(gone, "gone", F.lit(None))).unionByName(state(after, "queued", F.when(F.col("last_error").isNotNull(), "failed")))
+
+
+add(
+    "s03_detail_drain",
+    _drain,
+    "SELECT id, CASE WHEN NOT claimed OR id % 11 = 0 THEN 'queued' WHEN id % 7 = 0 THEN 'gone' ELSE 'detail' END AS state, CASE WHEN claimed AND id % 11 = 0 THEN 'failed' WHEN claimed AND id % 7 <> 0 THEN 'detail ' || id END AS payload, CASE WHEN NOT claimed OR id % 11 = 0 THEN id % 6 + CAST(claimed AND id % 11 = 0 AS BIGINT) END AS attempts FROM (SELECT event_id AS id, coalesce(row_number() OVER (PARTITION BY open ORDER BY event_id % 3 DESC, ts, event_id) <= 3000 AND open, FALSE) AS claimed FROM (SELECT *, event_id % 6 < 5 AND (event_id % 4 <> 0 OR ts <= TIMESTAMP '2024-01-20' - INTERVAL 60 MINUTE) AS open FROM events))",
+)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from estatelake.functions import geo, text, values
 from estatelake.operators import attribution, clustering, filters, golden, history, paging, quality, resolution, series, spatial, stats
-from estatelake.sources import portals, readers, shapes
+from estatelake.sources import drain, portals, readers, shapes
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -406,3 +406,34 @@ def test_attribution_newest_wins_contacts_are_normalised_and_switchboards_left_o
     assert prints[1] != prints[2] and set(prints) == {1, 2, 4}
     known = spark.createDataFrame([("a", "5", "Known", "k@y.cz", 1.0, 3, 0, 9, 4), ("z", "1", "Z", None, None, None, 0, 1, 1)], attribution.identities(found).schema)
     assert rows(attribution.upserted(known, attribution.identities(found)).select("source", "uid", "name", "first_seen_at", "last_seen_at")) == [("a", "5", "Known", 0, 9), ("b", "k", None, 1, 1), ("z", "1", "Z", 0, 1)]
+
+
+def test_drain_fetches_once_keeps_failures_and_frees_stale_claims(spark, tmp_path):
+    at, old = datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 1)
+    data = [(1, 0, at, 0, None), (2, 0, at, 0, None), (3, 0, at, 0, None), (4, 0, at, 5, None), (5, 0, at, 0, at), (6, 9, at, 1, old), (7, -1, at, 0, None)]
+    queue = spark.createDataFrame(data, "id long, priority int, enqueued_at timestamp_ntz, attempts int, claimed_at timestamp_ntz")
+    asked = str(tmp_path / "asked")
+
+    def fetch(i):
+        with open(asked, "a") as f:
+            f.write(f"{i}\n")
+        if i == 2:
+            raise OSError("down")
+        return ("gone", None) if i == 3 else ("odd", None) if i == 1 else ("ok", f"p{i}")
+
+    details, gone, after = drain.drained(drain.reclaimed(queue, "2024-01-01 12:30:00", 60), fetch, 4, tasks=2)
+    for _ in range(2):
+        assert rows(details) == [(6, "p6")] and rows(gone) == [(3,)]
+        assert rows(after.select("id", "attempts", F.col("last_error").isNotNull())) == [(1, 1, False), (2, 1, True), (4, 5, False), (5, 0, False), (7, 0, False)]
+    assert sorted(open(asked).read().split()) == ["1", "2", "3", "6"]
+    assert [x.count() for x in drain.drained(queue.limit(0), fetch, 4)] == [0, 0, 0]
+
+
+def test_windowed_counts_nulls_edges_and_empty_groups(spark):
+    day = lambda d: datetime(2024, 1, d)
+    df = spark.createDataFrame([("a", 1, day(30), 1.0), ("a", 1, day(2), 2.0), ("a", None, day(30), 4.0), ("b", None, day(24), None), ("c", 5, datetime(2023, 1, 1), 1.0)], "k string, x int, at timestamp, cost double")
+    got = rows(quality.windowed_counts(df, ["k"], ["x"], "at", F.lit("2024-01-31").cast("timestamp"), (7, 30), ("cost",)).select("k", "x_7d", "x_30d", "cost_7d", "cost_30d"))
+    assert got == [("a", 1, 1, 5.0, 7.0), ("b", 0, 0, 0.0, 0.0)]
+    linked = spark.createDataFrame([(1,), (1,), (None,)], "call int")
+    ledger = spark.createDataFrame([("k", 1, 2.0), ("k", None, 1.0), ("m", 9, 4.0)], "kind string, call int, cost double")
+    assert rows(quality.unattributed(ledger, linked, "kind", "call", "cost")) == [("k", 3.0, 2.0, 1.0), ("m", 4.0, 0.0, 4.0)]
