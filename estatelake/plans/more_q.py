@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, text, values
+from ..functions import axes, geo, text, values
 from ..operators import clustering, filters, golden, history, paging, quality, resolution, series
 from .frames import AS_OF, AS_OF_SQL, CHILD, LISTING, LISTING_NP, MONTHLY, PEOPLE, SNAPSHOT, Family, Frames
 
@@ -271,3 +271,38 @@ add(
     lambda f: quality.flow_counters(f.events.select("event_id", "ts", F.col("user_id").alias("considered"), (F.col("event_id") % 3).alias("rejected"), F.when(F.col("event_type") == "signup", F.col("user_id")).alias("eligible"), (F.col("event_id") % 100).alias("flagged")), ["considered", "rejected"], ["eligible", "flagged"], "ts", "event_id", F.lit(_NOW).cast("timestamp"), _DAYS),
     "SELECT " + ", ".join([f"count(*) FILTER (WHERE {_WITHIN(d)}) AS runs_{d}d" for d in _DAYS] + [f"CAST(sum({c}) FILTER (WHERE {_WITHIN(d)}) AS BIGINT) AS {n}_{d}d" for c, n in (("user_id", "considered"), ("event_id % 3", "rejected")) for d in _DAYS]) + ", arg_max(user_id, event_id) FILTER (WHERE event_type = 'signup') AS eligible, arg_max(event_id % 100, event_id) FILTER (WHERE event_type = 'signup') AS flagged FROM events",
 )
+
+
+def _time_axes(f: Frames):
+    """The axis of each listing's life."""
+    a = f.listing.select("id", axes.time_axis(F.col("first_seen_at"), F.col("last_seen_at")).alias("a"))
+    return a.select("id", "a.unit", "a.step", F.size("a.ticks").alias("n"), F.element_at("a.ticks", 1).alias("first"), F.element_at("a.ticks", -1).alias("last"))
+
+
+_AXIS = "axis AS (SELECT *, CASE WHEN d <= 6 THEN 1 WHEN d <= 12 THEN 2 WHEN d <= 18 THEN 3 WHEN d <= 42 THEN 7 WHEN d <= 84 THEN 14 WHEN d * 86400 <= 6 * 2629746 THEN 1 ELSE 3 END AS step, d * 86400 > 6 * 86400 * 14 AS months FROM (SELECT id, first_seen_at AS a, last_seen_at AS b, date_diff('day', first_seen_at, last_seen_at) AS d FROM listing))"
+_TICKS = "ticks AS (SELECT id, a, b, d, CASE WHEN d = 0 THEN 'minute' WHEN d * 4 <= 1 THEN 'hour' WHEN months THEN 'month' ELSE 'day' END AS unit, CAST(step AS INT) AS step, list_filter(CASE WHEN months THEN generate_series(date_trunc('month', a) - to_months(CAST((month(a) - 1) % step AS INT)), b, to_months(CAST(step AS INT))) WHEN step % 7 = 0 THEN generate_series(CAST(date_trunc('week', a) AS TIMESTAMP), b, to_days(CAST(step AS INT))) ELSE generate_series(a, b, to_days(CAST(step AS INT))) END, lambda t: t >= a) AS t FROM axis)"
+_HOURS = "CASE WHEN d = 0 THEN 1 WHEN d = 1 THEN 6 WHEN d = 2 THEN 12 WHEN d = 3 THEN 12 ELSE step END"
+add(
+    "x33_time_axis",
+    _time_axes,
+    f"SELECT id, CASE WHEN d BETWEEN 1 AND 3 THEN 'hour' ELSE unit END AS unit, CAST({_HOURS} AS INT) AS step, CAST(CASE WHEN d = 0 THEN 1 WHEN d BETWEEN 1 AND 3 THEN d * 24 // ({_HOURS}) + 1 WHEN len(t) = 0 THEN 2 ELSE len(t) END AS INT) AS n, CASE WHEN d <= 3 OR len(t) = 0 THEN a ELSE t[1] END AS first, CASE WHEN d <= 3 OR len(t) = 0 THEN b ELSE t[-1] END AS last FROM ticks",
+    LISTING,
+    _AXIS,
+    _TICKS,
+)
+
+
+def _value_axes(f: Frames):
+    """The axis of each district's prices, from zero and not."""
+    ends = f.listing.groupBy("district").agg(F.min("price_czk").alias("a"), F.max("price_czk").alias("b"))
+    both = ends.select("district", axes.value_axis(F.col("a"), F.col("b")).alias("x"), axes.value_axis(F.col("a"), F.col("b"), 8, zero_based=True, whole=True).alias("y"))
+    return both.select("district", "x.step", "x.low", "x.high", F.size("x.ticks").alias("n"), F.col("y.step").alias("step_0"), F.col("y.high").alias("high_0"))
+
+
+_NICE = lambda raw: f"pow(10, floor(log10({raw}))) * CASE WHEN {raw} / pow(10, floor(log10({raw}))) <= 1 THEN 1 WHEN {raw} / pow(10, floor(log10({raw}))) <= 2 THEN 2 WHEN {raw} / pow(10, floor(log10({raw}))) <= 5 THEN 5 ELSE 10 END"
+add(
+    "x33_value_axis",
+    _value_axes,
+    f"SELECT district, step, floor(a / step) * step AS low, ceil(b / step) * step AS high, CAST(ceil(b / step) - floor(a / step) + 1 AS INT) AS n, step_0, ceil(b / step_0) * step_0 AS high_0 FROM (SELECT *, {_NICE('(b - a) / 5')} AS step, {_NICE('b / 8')} AS step_0 FROM (SELECT district, min(price_czk) AS a, max(price_czk) AS b FROM listing GROUP BY district))",
+    LISTING,
+)

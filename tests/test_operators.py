@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from estatelake.functions import geo, text, values
+from estatelake.functions import axes, geo, text, values
 from estatelake.operators import attribution, clustering, filters, golden, history, paging, quality, resolution, series, spatial, stats
 from estatelake.sources import drain, portals, readers, shapes
 
@@ -437,3 +437,30 @@ def test_windowed_counts_nulls_edges_and_empty_groups(spark):
     linked = spark.createDataFrame([(1,), (1,), (None,)], "call int")
     ledger = spark.createDataFrame([("k", 1, 2.0), ("k", None, 1.0), ("m", 9, 4.0)], "kind string, call int, cost double")
     assert rows(quality.unattributed(ledger, linked, "kind", "call", "cost")) == [("k", 3.0, 2.0, 1.0), ("m", 4.0, 0.0, 4.0)]
+
+
+@pytest.mark.parametrize(
+    ("start", "end", "unit", "step", "ticks"),
+    [
+        (datetime(2024, 1, 1, 10, 3), datetime(2024, 1, 1, 10, 9), "minute", 1, [datetime(2024, 1, 1, 10, m) for m in range(3, 10)]),
+        (datetime(2024, 1, 1, 10, 3), datetime(2024, 1, 1, 10, 3), "minute", 1, [datetime(2024, 1, 1, 10, 3)]),
+        (datetime(2024, 1, 1, 10, 3, 1), datetime(2024, 1, 1, 10, 3, 9), "minute", 1, [datetime(2024, 1, 1, 10, 3, 1), datetime(2024, 1, 1, 10, 3, 9)]),
+        (datetime(2024, 1, 3, 5), datetime(2024, 2, 10), "day", 7, [datetime(2024, 1, d) for d in (8, 15, 22, 29)] + [datetime(2024, 2, 5)]),
+        (datetime(2023, 11, 20), datetime(2025, 3, 1), "month", 3, [datetime(2024, m, 1) for m in (1, 4, 7, 10)] + [datetime(2025, 1, 1)]),
+        (datetime(1989, 6, 1), datetime(2024, 1, 1), "year", 10, [datetime(y, 1, 1) for y in (1990, 2000, 2010, 2020)]),
+        (datetime(2024, 1, 2), datetime(2024, 1, 1), None, None, None),
+        (None, datetime(2024, 1, 1), None, None, None),
+    ],
+)
+def test_time_axis(spark, start, end, unit, step, ticks):
+    df = spark.createDataFrame([(start, end)], "a timestamp_ntz, b timestamp_ntz")
+    got = df.select(axes.time_axis(F.col("a"), F.col("b")).alias("x")).first()["x"]
+    assert (got is None) == (unit is None) and (got is None or (got["unit"], got["step"], got["ticks"]) == (unit, step, ticks))
+
+
+def test_value_axis_flat_null_and_whole(spark):
+    df = spark.createDataFrame([(3.0, 3.0), (0.12, 0.57), (None, None), (9.0, -4.0)], "a double, b double")
+    got = [r["x"] for r in df.select(axes.value_axis(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got[1]["ticks"] == [0.1, 0.2, 0.3, 0.4, 0.5, 0.6] and got[0]["low"] <= 2.7 and got[0]["high"] >= 3.3
+    assert (got[2]["low"], got[2]["high"], got[3]["low"], got[3]["high"]) == (-1.0, 1.0, -5.0, 10.0)
+    assert df.limit(1).select(axes.value_axis(F.col("a"), F.col("b"), 5, True, True).alias("x")).first()["x"]["ticks"] == [0.0, 1.0, 2.0, 3.0]
